@@ -1,0 +1,4 @@
+"""Queries that run the operators on the driver tables."""
+
+from evq.bindings import relational  # noqa: F401
+from evq.bindings.registry import ORACLES, QUERIES  # noqa: F401
