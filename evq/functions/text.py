@@ -16,11 +16,22 @@ def col(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def any_of(words: Sequence[str]) -> str:
+    """A pattern that finds any of the (literal) words."""
+    return "|".join(_quoted(w) for w in words)
+
+
 def strings(values: Sequence[str]) -> Column:
     """An array literal of strings; an empty one keeps its element type."""
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"array({', '.join(quoted)})")
 
 
 def blank(c: Col) -> Column:
@@ -102,7 +113,7 @@ def excerpt(text: Col, term: Col, radius: int = 280) -> Column:
     """The text around the first (case-insensitive) hit of a term."""
     compact = normalize_space(text)
     needle = F.lower(term if isinstance(term, Column) else F.lit(term))
-    at = F.locate(needle, F.lower(compact)) if isinstance(term, str) else F.instr(F.lower(compact), needle)
+    at = F.instr(F.lower(compact), needle)
     return around(compact, at, F.length(needle), radius, radius, F.substring(compact, 1, 2 * radius))
 
 

@@ -39,10 +39,11 @@ def split_on(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 def blocklist(df: DataFrame, blocked: DataFrame, key: str, exempt: Column | None = None) -> DataFrame:
     """Drop rows whose key is on a blocklist table, unless exempt."""
-    condition = df[key] == blocked[key]
+    listed = blocked.select(F.col(key).alias("_blocked"))
+    condition = F.col(key) == F.col("_blocked")
     if exempt is not None:
         condition = condition & ~F.coalesce(exempt, F.lit(False))
-    return df.join(blocked, condition, "left_anti")
+    return df.join(listed, condition, "left_anti")
 
 
 # --- joins -----------------------------------------------------------------
@@ -168,3 +169,14 @@ def unauthorized(cited: DataFrame, authorized: DataFrame, key: str) -> DataFrame
 def unseen(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Distinct new keys that the old table does not hold."""
     return new.join(old.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str, salts: int = 16) -> DataFrame:
+    """Left join to a side with one row per key, for keys that may hold a large share of the left rows.
+
+    A side that adaptive execution finds small is broadcast as usual; otherwise
+    the rows of a hot key spread over ``salts`` tasks.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")

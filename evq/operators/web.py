@@ -168,24 +168,26 @@ def _inside(node: Column, outer: Column) -> Column:
 EDGE = r"^[ ,;:\-–—]+|[ ,;:\-–—]+$"
 
 
+TITLE_WORDS = "(?i)" + tx.any_of(vocab.CARD_TITLE_KEYWORDS)
+STOP_WORDS = rf"(?i)(?:^|\s)(?:{tx.any_of(vocab.CARD_NAME_STOPS)})(?:\s|$)"
+
+
 def _looks_like_title(text: Column) -> Column:
-    return tx.contains_any(F.lower(text), vocab.CARD_TITLE_KEYWORDS)
+    return text.rlike(TITLE_WORDS)
 
 
 def card_name(text: Column) -> Column:
     """Person name at the start of a card text, NULL if none: title case first, then capitals."""
-    source = F.regexp_replace(tx.normalize_space(text), r"[,.;:]+$", "")
-    fits = F.length(source).between(5, 50)
-    stops = tx.strings(vocab.CARD_NAME_STOPS)
+    def usable(most: int):
+        shape = rf"^\S+(?:\s+\S+){{1,{most - 1}}}$"
+        return lambda name: F.when(name.rlike(shape) & ~name.rlike(STOP_WORDS), name)
 
-    def usable(name: Column, most: int) -> Column:
-        parts = F.split(name, r"\s+")
-        lowered = F.transform(parts, F.lower)
-        return (name != "") & F.size(parts).between(2, most) & ~F.arrays_overlap(lowered, stops)
+    def read(source: Column) -> Column:
+        plain = tx.let(F.trim(F.regexp_extract(source, vocab.CARD_NAME, 1)), usable(9))
+        caps = tx.let(F.trim(F.regexp_extract(source, vocab.CARD_NAME_CAPS, 1)), usable(3))
+        return F.when(F.length(source).between(5, 50), F.coalesce(plain, F.initcap(F.lower(caps))))
 
-    plain = F.trim(F.regexp_extract(source, vocab.CARD_NAME, 1))
-    caps = F.trim(F.regexp_extract(source, vocab.CARD_NAME_CAPS, 1))
-    return F.when(fits & usable(plain, 9), plain).when(fits & usable(caps, 3), F.initcap(F.lower(caps)))
+    return tx.let(F.regexp_replace(tx.normalize_space(text), r"[,.;:]+$", ""), read)
 
 
 def _first(items: Column, test) -> Column:
@@ -195,76 +197,88 @@ def _first(items: Column, test) -> Column:
 def _mail_and_profile(area: Column) -> Column:
     """struct(emails, profile) found in a list of elements: text addresses, else mailto links; first profile link."""
     inside = F.filter(F.col("nodes"), lambda n: n["href"].isNotNull() & F.exists(area, lambda a: _inside(n, a)))
-    hrefs = F.transform(inside, lambda n: n["href"])
     written = F.array_distinct(F.flatten(F.transform(area, lambda a: tx.emails(_cut(a)))))
-    mailto = F.filter(
-        F.transform(hrefs, lambda h: F.when(
-            F.lower(h).startswith("mailto:"), F.trim(F.element_at(F.split(F.substr(h, F.lit(8)), r"\?"), 1)))),
-        lambda m: policy.yes(m.rlike("^" + vocab.EMAIL_IN_TEXT)))
-    profile = F.regexp_extract(
-        F.coalesce(_first(hrefs, lambda h: h.rlike(vocab.PROFILE_IN_TEXT)), F.lit("")), vocab.PROFILE_IN_TEXT, 0)
-    return F.struct(
-        F.when(F.size(written) > 0, written).otherwise(F.slice(mailto, 1, 1)).alias("emails"), profile.alias("profile"))
+
+    def pick(found: Column) -> Column:
+        mailto = F.filter(
+            F.transform(found["hrefs"], lambda h: F.when(
+                F.lower(h).startswith("mailto:"), F.trim(F.element_at(F.split(F.substr(h, F.lit(8)), r"\?"), 1)))),
+            lambda m: policy.yes(m.rlike("^" + vocab.EMAIL_IN_TEXT)))
+        link = F.coalesce(_first(found["hrefs"], lambda h: h.rlike(vocab.PROFILE_IN_TEXT)), F.lit(""))
+        return F.struct(
+            F.when(F.size(found["written"]) > 0, found["written"]).otherwise(F.slice(mailto, 1, 1)).alias("emails"),
+            F.regexp_extract(link, vocab.PROFILE_IN_TEXT, 0).alias("profile"))
+
+    return tx.let(F.struct(written.alias("written"), F.transform(inside, lambda n: n["href"]).alias("hrefs")), pick)
+
+
+def _before_mark(text: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(text, r"[.|•\n]", 2), 1), EDGE, "")
 
 
 def _heading_person(h: Column) -> Column:
+    """Person of a heading row {id, parent, text, name}."""
     nodes = F.col("nodes")
     after = F.filter(nodes, lambda n: (n["parent"] == h["parent"]) & (n["id"] > h["id"]))
     parent = F.filter(nodes, lambda n: n["id"] == h["parent"])
     grand = F.filter(nodes, lambda n: F.exists(parent, lambda p: p["parent"] == n["id"]))
-    short = lambda t: F.regexp_replace(F.element_at(F.split(t, r"[.|•\n]", 2), 1), EDGE, "")
     by_sibling = _first(
-        F.transform(F.slice(after, 1, 4), lambda n: short(_cut(n))),
+        F.transform(F.slice(after, 1, 4), lambda n: _before_mark(_cut(n))),
         lambda t: (t != "") & _looks_like_title(t) & (F.length(t) < 160))
-    around = _cut(F.get(parent, F.lit(0)))
-    rest = F.substr(around, F.instr(around, _cut(h)) + F.length(_cut(h)), F.lit(200))
-    chunks = F.transform(F.split(rest, r"[.|•\n]"), lambda c: F.regexp_replace(c, EDGE, ""))
-    by_parent = _first(chunks, lambda c: _looks_like_title(c) & (F.length(c) > 3) & (F.length(c) < 160))
+
+    def behind(around: Column) -> Column:
+        rest = F.substr(around, F.instr(around, h["text"]) + F.length(h["text"]), F.lit(200))
+        chunks = F.transform(F.split(rest, r"[.|•\n]"), lambda c: F.regexp_replace(c, EDGE, ""))
+        return _first(chunks, lambda c: _looks_like_title(c) & (F.length(c) > 3) & (F.length(c) < 160))
+
+    by_parent = tx.let(_cut(F.get(parent, F.lit(0))), behind)
     found = _mail_and_profile(F.concat(parent, F.slice(after, 1, 6), grand))
-    return _person(card_name(_cut(h)), F.coalesce(by_sibling, by_parent, F.lit("")), found, "heading_tag_dom")
+    return _person(h["name"], F.coalesce(by_sibling, by_parent, F.lit("")), found, "heading_tag_dom")
+
+
+def _block_person(b: Column) -> Column:
+    """Person of a block row {text, name, node}: title right after the name, else around the first keyword that fits."""
+    rest = F.substr(b["text"], F.instr(b["text"], b["name"]) + F.length(b["name"]), F.lit(200))
 
+    def title(near: Column) -> Column:
+        spans = F.transform(tx.strings(vocab.CARD_TITLE_KEYWORDS), lambda kw: F.regexp_substr(
+            b["text"], F.concat(F.lit(r"(?i)[A-Z][^.\n]{0,80}"), kw, F.lit(r"[^.\n]{0,60}"))))
+        return F.when(_looks_like_title(near), near).otherwise(F.coalesce(F.trim(_first(spans, lambda x: x.isNotNull())), near))
 
-def _block_person(block: Column) -> Column:
-    text = _cut(block)
-    name = card_name(F.substring(text, 1, 100))
-    rest = F.substr(text, F.instr(text, name) + F.length(name), F.lit(200))
-    near = F.regexp_replace(F.element_at(F.split(rest, r"[.|•\n]", 2), 1), EDGE, "")
-    spans = [
-        F.nullif(F.trim(F.regexp_extract(text, rf"(?i)([A-Z][^.\n]{{0,80}}{kw}[^.\n]{{0,60}})", 1)), F.lit(""))
-        for kw in vocab.CARD_TITLE_KEYWORDS
-    ]
-    title = F.when(_looks_like_title(near), near).otherwise(F.coalesce(*spans, near))
-    return _person(name, F.substring(title, 1, 160), _mail_and_profile(F.array(block)), "card_block_fallback")
+    found = _mail_and_profile(F.array(b["node"]))
+    return _person(b["name"], F.substring(tx.let(_before_mark(rest), title), 1, 160), found, "card_block_fallback")
 
 
 def _person(name: Column, title: Column, found: Column, strategy: str) -> Column:
-    return F.struct(
-        name.alias("name"), title.alias("title"), found["emails"].alias("emails_on_page"),
-        F.coalesce(F.get(found["emails"], F.lit(0)), F.lit("")).alias("primary_email_on_page"),
-        found["profile"].alias("linkedin_on_page"), F.lit(strategy).alias("extraction_strategy"))
+    return tx.let(found, lambda f: F.struct(
+        name.alias("name"), title.alias("title"), f["emails"].alias("emails_on_page"),
+        F.coalesce(F.get(f["emails"], F.lit(0)), F.lit("")).alias("primary_email_on_page"),
+        f["profile"].alias("linkedin_on_page"), F.lit(strategy).alias("extraction_strategy")))
 
 
-def _once(people: Column) -> Column:
-    """Named people, the first of each name (case-insensitive)."""
-    named = F.filter(people, lambda p: p["name"].isNotNull())
-    lowered = F.transform(named, lambda p: F.lower(p["name"]))
-    return F.filter(named, lambda p, i: F.array_position(lowered, F.lower(p["name"])) == i + 1)
+def _once(rows: Column) -> Column:
+    """Named rows, the first of each name (case-insensitive)."""
+    named = F.filter(rows, lambda p: p["name"].isNotNull())
+    return tx.let(named, lambda kept: F.filter(kept, lambda p, i: F.array_position(
+        F.transform(kept, lambda k: F.lower(k["name"])), F.lower(p["name"])) == i + 1))
 
 
 def people(pages: DataFrame, keep: Sequence[str], html: str = "html") -> DataFrame:
     """People of each page: names in headings with a title nearby; if fewer than two, card blocks when they give more."""
     parsed = elements(pages, keep, html, ("script", "style", "nav", "footer", "header", "form"))
-    headings = F.filter("nodes", lambda n: n["tag"].isin("h1", "h2", "h3", "h4", "h5"))
-    blocks = F.filter("nodes", lambda n: n["tag"].isin("div", "li", "article", "section") & (
-        F.length(_cut(n)).between(1, 500)) & _looks_like_title(_cut(n)))
-    # Only elements that open with a name reach the costlier part.
-    named_headings = F.filter(headings, lambda h: card_name(_cut(h)).isNotNull())
-    named_blocks = F.filter(blocks, lambda b: card_name(F.substring(_cut(b), 1, 100)).isNotNull())
-    found = parsed.withColumn("_dom", _once(F.transform(named_headings, _heading_person)))
-    found = found.withColumn("_cards", F.when(
-        F.size("_dom") < 2, _once(F.transform(named_blocks, _block_person))).otherwise(F.slice("_dom", 1, 0)))
-    best = F.when(F.size("_cards") > F.size("_dom"), F.col("_cards")).otherwise(F.col("_dom"))
-    return found.select(*keep, F.inline(best))
+    headings = F.transform(
+        F.filter("nodes", lambda n: n["tag"].isin("h1", "h2", "h3", "h4", "h5")),
+        lambda n: F.struct(n["id"].alias("id"), n["parent"].alias("parent"), _cut(n).alias("text"), card_name(_cut(n)).alias("name")))
+    blocks = F.transform(
+        F.filter("nodes", lambda n: n["tag"].isin("div", "li", "article", "section") & (n["e"] - n["s"]).between(1, 500)),
+        lambda n: F.struct(n.alias("node"), _cut(n).alias("text"), card_name(F.substring(_cut(n), 1, 100)).alias("name")))
+    found = parsed.withColumn("_heads", _once(headings))
+    found = found.withColumn("_blocks", F.when(F.size("_heads") < 2, _once(
+        F.filter(blocks, lambda b: _looks_like_title(b["text"])))))
+    # Blocks count only if they name more people; the costly parts run for the chosen list alone.
+    use_blocks = F.coalesce(F.size("_blocks"), F.lit(0)) > F.size("_heads")
+    chosen = F.when(use_blocks, F.transform("_blocks", _block_person)).otherwise(F.transform("_heads", _heading_person))
+    return found.select(*keep, F.inline(chosen))
 
 
 def _route_of(href: Column, url: Column) -> Column:
@@ -300,7 +314,8 @@ def contact_routes(pages: DataFrame, keep: Sequence[str], homepage: Column, html
     routes = parsed.withColumn("_links", F.transform(
         links, lambda a: F.struct(_route_of(a["href"], F.col(url)).alias("route"), _cut(a).alias("label"), chain(a).alias("chain"))))
     rows = routes.select(*sorted({*keep, url}), F.posexplode("_links").alias("route_pos", "_l"))
-    near = _first(F.col("_l.chain"), lambda c: (tx.classify_role(c["text"])["title"] != "") & F.exists(c["heads"], policy.is_person_name))
+    any_role = "(?i)" + "|".join(f"(?:{p})" for p, _ in vocab.ROLE_RULES)
+    near = _first(F.col("_l.chain"), lambda c: c["text"].rlike(any_role) & F.exists(c["heads"], policy.is_person_name))
     widest = F.when(F.size("_l.chain") > 0, F.element_at("_l.chain", -1))
     alone = F.struct(F.col("_l.label").alias("text"), tx.strings([]).alias("heads"))
     rows = rows.withColumn("_card", F.coalesce(near, widest, alone))
