@@ -46,10 +46,11 @@ def pre_check(requests: DataFrame, evidence: DataFrame, roles: Sequence[str] = C
 
 def mentions(answers: DataFrame, kinds: Sequence[tuple[str, str]], text: str = "answer") -> DataFrame:
     """Mention rows of each answer: kind_no, kind, pos, value. ``kinds`` are (name, pattern) in check order."""
+    def rows(number: int, kind: str):
+        return lambda v, i: F.struct(F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), i.alias("pos"), v.alias("value"))
+
     found = F.flatten(F.array(*[
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(text_or_empty(text), F.lit(pattern), F.lit(0))),
-            lambda v, i, n=number, k=kind: F.struct(F.lit(n).alias("kind_no"), F.lit(k).alias("kind"), i.alias("pos"), v.alias("value")))
+        F.transform(F.array_distinct(F.regexp_extract_all(text_or_empty(text), F.lit(pattern), F.lit(0))), rows(number, kind))
         for number, (kind, pattern) in enumerate(kinds)]))
     return answers.select("*", F.inline(found))
 

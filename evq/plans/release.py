@@ -1,12 +1,24 @@
-"""Release build: gate, ids, both representations, manifest, reconciliation."""
+"""Release build: gate, ids, both representations, manifest, reconciliation.
+
+A release is a folder with ``jsonl``, ``csv`` and, written last, ``manifest``.
+Checksums are order-free digests of the lines, so that no file passes through
+one task: count, xor and sum of a 60-bit hash per line.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evq.functions import policy
-from evq.operators import ordering
+from evq import schemas
+from evq.functions import keys, policy
+from evq.functions.records import flat_release_columns
+from evq.operators import ordering, relational
+from evq.sources import files
 
 
 def duplicate_reasons(rows: DataFrame, record_id: str, identity: str, seq: str) -> DataFrame:
@@ -16,3 +28,177 @@ def duplicate_reasons(rows: DataFrame, record_id: str, identity: str, seq: str)
     return flagged.withColumn("duplicate_reasons", policy.fired([
         (~F.col("_id_first"), "record.duplicate_id"), (~F.col("_identity_first"), "record.duplicate_identity"),
     ])).drop("_id_first", "_identity_first")
+
+
+def prepare(records: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(publishable, blocked with reasons) of the records that ask for publication."""
+    asked = policy.evaluate(records.where(policy.one_of("lifecycle_status", ["publish"])))
+    flagged = duplicate_reasons(asked, "record_id", "identity_key", seq)
+    merged = flagged.withColumn("reasons", F.array_sort(F.array_distinct(F.concat("reasons", "duplicate_reasons"))))
+    merged = merged.drop("duplicate_reasons")
+    clean = F.size("reasons") == 0
+    return merged.where(clean), merged.where(~clean).select("record_id", "reasons", seq)
+
+
+def block_message(blocked: DataFrame, sample: int = 5) -> str | None:
+    """Why a release is blocked, with the first few offenders, or None."""
+    offenders = blocked.orderBy("record_id").limit(sample).collect()
+    if not offenders:
+        return None
+    shown = "; ".join(f"{r.record_id}: {','.join(r.reasons)}" for r in offenders)
+    return f"{blocked.count()} records requested publication but failed policy: {shown}"
+
+
+def digest_columns(line: Column) -> list[Column]:
+    """Order-free digest of lines: count, xor, sum."""
+    number = keys.hash_number(line)
+    return [
+        F.count(F.lit(1)).alias("lines"), F.coalesce(F.bit_xor(number), F.lit(0)).alias("xor"),
+        F.coalesce(F.sum(number.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("total")]
+
+
+def digest_text() -> Column:
+    return F.sha2(F.concat_ws("|", F.col("lines").cast("string"), F.col("xor").cast("string"), "total"), 256)
+
+
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row: digest of the canonical JSON lines of a frame."""
+    return df.select(files.canonical_json(df).alias("line")).agg(*digest_columns(F.col("line"))).select(
+        "lines", digest_text().alias("digest"))
+
+
+@dataclass(frozen=True)
+class ReleaseSpec:
+    record_id: str
+    statistics: Mapping[str, Column]  # named aggregates of the manifest
+    minimums: Mapping[str, int]  # readiness thresholds on those aggregates
+    flat: Sequence[Column]  # columns of the CSV row; 'release_id' may be used
+    id_column: str  # record id column of the CSV row
+    release_column: str  # release id column of the CSV row
+
+
+def release_spec(minimums: Mapping[str, int] | None = None) -> ReleaseSpec:
+    """The release of canonical records."""
+    return ReleaseSpec(
+        record_id="record_id",
+        statistics={
+            "record_count": F.count(F.lit(1)), "firm_count": F.countDistinct(F.lower("firm.name")),
+            "qualifying_email_count": F.count_if(F.col("qualifying_email_count") > 0)},
+        minimums=minimums or {"record_count": 500, "qualifying_email_count": 200},
+        flat=flat_release_columns("release_id"), id_column="Record ID", release_column="Release ID")
+
+
+@dataclass(frozen=True)
+class Release:
+    path: str
+    release_id: str
+    manifest: DataFrame
+
+
+def build(rows: DataFrame, path: str, spec: ReleaseSpec, created_at: str, final_gate: bool = False) -> Release:
+    """Write both representations of publishable rows in id order, then the manifest.
+
+    The release id depends on the content alone.
+    """
+    spark = rows.sparkSession
+    content = rows.select(*[c for c in rows.columns if c in _content_columns(rows)])
+    digest = content_digest(content).first()["digest"]
+    release_id = f"REL_{digest[:16].upper()}"
+    tagged = rows.withColumn("release_id", F.lit(release_id))
+    files.write_jsonl(content.withColumn("release_id", F.lit(release_id)), f"{path}/jsonl", spec.record_id)
+    flat = tagged.select(*spec.flat)
+    files.write_csv(flat, f"{path}/csv", flat.columns, [spec.id_column])
+
+    stats = rows.agg(*[c.alias(n) for n, c in spec.statistics.items()])
+    sums = representation_digests(spark, path, flat.columns)
+    failures = relational.readiness_failures(spec.minimums)
+    manifest = stats.crossJoin(F.broadcast(sums)).select(  # two one-row frames
+        F.lit("2.0").alias("schema_version"), F.lit(release_id).alias("release_id"), F.lit(created_at).alias("created_at"),
+        *spec.statistics, failures.alias("readiness_failures"), (F.size(failures) == 0).alias("release_ready"),
+        "csv_sha256", "jsonl_sha256")
+    files.write_manifest(manifest, f"{path}/manifest")
+    written = read_manifest(spark, path, manifest.schema)
+    if final_gate:
+        failed = written.first()["readiness_failures"]
+        if failed:
+            raise ValueError("final release gate failed: " + "; ".join(failed))
+    return Release(path, release_id, written)
+
+
+def _content_columns(rows: DataFrame) -> list[str]:
+    record = [f.name for f in schemas.RECORD.fields]
+    return record if set(record) <= set(rows.columns) else rows.columns
+
+
+def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(f"{path}/manifest")
+
+
+def _csv_lines(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """CSV records as text; a record may span file lines, so it is read as columns and joined again."""
+    rows = files.read_csv(spark, f"{path}/csv", columns)
+    return rows.select(F.to_json(F.array(*[F.col(f"`{c}`") for c in columns])).alias("value"))
+
+
+def representation_digests(spark: SparkSession, path: str, csv_columns: Sequence[str]) -> DataFrame:
+    """One row with the digests of the two written representations."""
+    parts = []
+    for name, lines in (("csv", _csv_lines(spark, path, csv_columns)), ("jsonl", spark.read.text(f"{path}/jsonl"))):
+        parts.append(lines.agg(*digest_columns(F.col("value"))).select(F.lit(name).alias("name"), digest_text().alias("d")))
+    both = parts[0].unionByName(parts[1])
+    return both.agg(*[F.max(F.when(F.col("name") == n, F.col("d"))).alias(f"{n}_sha256") for n in ("csv", "jsonl")])
+
+
+def reconcile(spark: SparkSession, release: Release, spec: ReleaseSpec, csv_columns: Sequence[str]) -> DataFrame:
+    """One row: passed, problems, record_count of a written release.
+
+    Ids are compared as multisets: both files are written in id order, so equal
+    ids mean equal order.
+    """
+    path = release.path
+    json_rows = spark.read.text(f"{path}/jsonl").select(
+        F.get_json_object("value", f"$.{spec.record_id}").alias("id"), F.get_json_object("value", "$.release_id").alias("rel"),
+        F.lit(1).alias("j"), F.lit(0).alias("c"))
+    csv_rows = files.read_csv(spark, f"{path}/csv", csv_columns).select(
+        F.col(f"`{spec.id_column}`").alias("id"), F.col(f"`{spec.release_column}`").alias("rel"), F.lit(0).alias("j"), F.lit(1).alias("c"))
+    per_id = json_rows.unionByName(csv_rows).groupBy("id", "rel").agg(F.sum("j").alias("j"), F.sum("c").alias("c"))
+    own = F.col("rel").eqNullSafe(F.lit(release.release_id))
+    totals = per_id.groupBy("id").agg(
+        F.sum("j").alias("j"), F.sum("c").alias("c"), F.max(~own).alias("foreign")
+    ).agg(
+        F.coalesce(F.sum("j"), F.lit(0)).alias("json_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("csv_rows"),
+        F.count_if(F.col("j") != F.col("c")).alias("id_gaps"), F.count_if(F.col("foreign")).alias("foreign_ids"))
+    now = representation_digests(spark, path, csv_columns).select(
+        F.col("csv_sha256").alias("now_csv"), F.col("jsonl_sha256").alias("now_jsonl"))
+    facts = totals.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(release.manifest))  # one row each
+    problems = policy.fired([
+        (F.col("now_csv") != F.col("csv_sha256"), "csv checksum differs from manifest"),
+        (F.col("now_jsonl") != F.col("jsonl_sha256"), "jsonl checksum differs from manifest"),
+        ((F.col("json_rows") != F.col("csv_rows")) | (F.col("json_rows") != F.col("record_count")), "row counts disagree"),
+        (F.col("id_gaps") > 0, "record IDs or ordering disagree"),
+        (F.col("foreign_ids") > 0, "release IDs disagree"),
+    ])
+    return facts.select(
+        (F.size(problems) == 0).alias("passed"), problems.alias("problems"), F.col("release_id"),
+        F.col("json_rows").cast("bigint").alias("record_count"))
+
+
+def export_release(records: DataFrame, path: str, created_at: str, seq: str = "seq", minimums=None, final_gate: bool = False) -> Release:
+    """Gate, build and reconcile a release of canonical records; raises if a record is blocked or the files drift."""
+    publishable, blocked = prepare(records, seq)
+    message = block_message(blocked)
+    if message:
+        raise ValueError(message)
+    spec = release_spec(minimums)
+    release = build(publishable, path, spec, created_at)
+    check_release(records.sparkSession, release, spec)
+    failed = release.manifest.first()["readiness_failures"]
+    if final_gate and failed:
+        raise ValueError("final release gate failed: " + "; ".join(failed))
+    return release
+
+
+def check_release(spark: SparkSession, release: Release, spec: ReleaseSpec | None = None) -> None:
+    outcome = reconcile(spark, release, spec or release_spec(), schemas.RELEASE_COLUMNS).first()
+    if not outcome["passed"]:
+        raise ValueError("release reconciliation failed: " + "; ".join(outcome["problems"]))
