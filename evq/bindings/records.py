@@ -13,6 +13,7 @@ from evq.bindings.registry import query
 from evq.functions import policy, text as tx
 from evq.functions.records import build_evidence, build_record, contact_columns, flat_release_columns
 from evq.operators import retrieval, state
+from evq.session import materialize
 
 DIGITS, LETTERS = "0123456789", "abcdefghij"
 OBSERVED = "2024-01-01T00:00:00Z"
@@ -117,11 +118,16 @@ def late(t):
     return t("orders").where(F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz"))
 
 
-def observations(t):
-    """Two observations of every record, the later one first by ``seq``."""
+def corpus(t):
+    """Authorised corpus of two observations of every record, the later one first by ``seq``.
+
+    The records are judged once and stored with the judgement, as a corpus that
+    many queries read would be.
+    """
     old = records(t, early(t)).withColumn("seq", F.col("c_custkey") * 2 + 1)
     new = records(t, late(t)).withColumn("seq", F.col("c_custkey") * 2)
-    return new.unionByName(old)
+    stored = materialize(policy.evaluate(new.unionByName(old)), "judged")
+    return retrieval.authorized(stored)
 
 
 def sql_records(name: str, where: str = "true") -> str:
@@ -257,7 +263,7 @@ SELECT count(*) AS authorized_corpus_count, count(*) FILTER (WHERE {MATCH_SQL})
        least(greatest(count(*) FILTER (WHERE {MATCH_SQL}) - 2, 0), 5) AS returned_record_count FROM txt
 """)
 def record_filters(t):
-    return retrieval.counts(retrieval.authorized(observations(t)), FILTERS)
+    return retrieval.counts(corpus(t), FILTERS)
 
 
 @query("record_page", f"""
@@ -268,7 +274,7 @@ SELECT record_id, firm_name AS firm, n_name AS country, person, score::BIGINT AS
 FROM s ORDER BY score DESC, record_id LIMIT 5 OFFSET 2
 """)
 def record_page(t):
-    page, _, _ = retrieval.retrieve(retrieval.authorized(observations(t)), FILTERS)
+    page, _, _ = retrieval.retrieve(corpus(t), FILTERS)
     return page.select("record_id", "firm", "country", "person", "score", F.size("routes").cast("bigint").alias("routes"))
 
 
@@ -283,12 +289,10 @@ UNION ALL SELECT 'firms', 'firms', count(DISTINCT lower(firm_name)) FROM auth
 UNION ALL SELECT 'records', 'records', count(*) FROM auth
 """)
 def route_mix(t):
-    from evq.session import materialize
-
-    corpus = materialize(retrieval.authorized(observations(t)).select("firm", "discovery", "contact_routes"), "corpus")
+    authorized = corpus(t)
     out = None
     for kind in retrieval.AGGREGATES:
-        rows = retrieval.aggregate(corpus, kind).select(F.lit(kind).alias("aggregate"), "key", F.col("n").cast("bigint").alias("n"))
+        rows = retrieval.aggregate(authorized, kind).select(F.lit(kind).alias("aggregate"), "key", F.col("n").cast("bigint").alias("n"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -312,8 +316,7 @@ SELECT 'REL_X' AS "Release ID", record_id AS "Record ID", firm_name AS "Family O
 FROM p WHERE rn = 1
 """)
 def contact_cards(t):
-    corpus = retrieval.authorized(observations(t))
-    return corpus.select(*flat_release_columns(F.lit("REL_X"))).drop("Route Evidence URL")
+    return corpus(t).select(*flat_release_columns(F.lit("REL_X"))).drop("Route Evidence URL")
 
 
 @query("contact_rows", """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evq import schemas, vocab
 from evq.functions import keys
 from evq.functions.text import (
-    Col, blank, col, contains_any, email_local, is_http_url, normalize_space, strings, text_or_empty, tokens, url_path,
+    Col, blank, col, contains_any, email_local, is_http_url, normalize_space, strings, text_or_empty,
 )
 
 Rules = Sequence[tuple[Column, str]]
@@ -150,29 +150,28 @@ def evidence_supported(
     require_quote: bool = True,
 ) -> Column:
     """Does an evidence struct prove what it is attached to? NULL struct = no."""
+    # Plain comparisons come first: the id, a hash over the normalised text, is worked out last.
     ok = (
         (ev["support"] == "supported")
-        & is_http_url(ev["url"])
-        & ~blank(ev["observed_at"])
-        & (ev["evidence_id"] == keys.evidence_id(ev["url"], ev["observed_at"], ev["quote"]))
         & ev["source_class"].isin(list(source_classes))
         & ~blank(ev["extraction_method"])
+        & ~blank(ev["observed_at"])
+        & is_http_url(ev["url"])
     )
     if require_quote:
         ok = ok & ~blank(ev["quote"])
     if required:
         held = F.coalesce(ev["supports"], strings([]))
         ok = ok & (F.size(F.array_except(strings(required), held)) == 0)
-    return yes(ok)
+    return yes(ok & (ev["evidence_id"] == keys.evidence_id(ev["url"], ev["observed_at"], ev["quote"])))
 
 
 ROUTE_SUPPORTS = ["person.name", "route.value", "route.ownership"]
 
 
 def email_route_reasons(route: Column) -> Column:
-    value = F.lower(normalize_space(route["value"]))
     rules = [
-        (yes(is_shared_mailbox(value)) | yes(route["shared"]), "route.email.generic_or_shared"),
+        (is_shared_mailbox(route["value"]) | yes(route["shared"]), "route.email.generic_or_shared"),
         (yes(route["inferred"]) | one_of(route["ownership_method"], vocab.INFERRED_METHODS), "route.email.inferred"),
         (~one_of(route["ownership_status"], ["source_names_person"]), "route.email.ownership_not_established"),
         (~one_of(route["current_status"], ["published_on_current_official_source", "mailbox_confirmed"]),
@@ -181,21 +180,20 @@ def email_route_reasons(route: Column) -> Column:
          "route.email.domain_mail_unconfirmed"),
         (~evidence_supported(route["evidence"], ROUTE_SUPPORTS), "route.email.evidence_missing"),
     ]
-    return F.when(~value.rlike(vocab.EMAIL_EXACT), strings(["route.email.invalid_format"])).otherwise(fired(rules))
+    bad = ~normalize_space(route["value"]).rlike(vocab.EMAIL_EXACT)
+    return F.when(bad, strings(["route.email.invalid_format"])).otherwise(fired(rules))
 
 
 def linkedin_route_reasons(route: Column) -> Column:
-    value = normalize_space(route["value"])
-    host = F.lower(F.regexp_extract(value, r"^(?i:https?)://([^/?#]*)", 1))
+    hosts = "|".join(h.replace(".", r"\.") for h in vocab.PROFILE_HOSTS)
     rules = [
-        (~host.isin(list(vocab.PROFILE_HOSTS)) | ~F.lower(url_path(value)).startswith("/in/"),
-         "route.linkedin.not_individual_profile"),
+        (~text_or_empty(route["value"]).rlike(rf"(?i)^\s*https?://(?:{hosts})/in/"), "route.linkedin.not_individual_profile"),
         (~one_of(route["ownership_status"], ["source_names_person"]), "route.linkedin.ownership_not_established"),
         (~one_of(route["current_status"], ["profile_link_currently_published"]),
          "route.linkedin.current_use_not_established"),
         (~evidence_supported(route["evidence"], ROUTE_SUPPORTS), "route.linkedin.evidence_missing"),
     ]
-    return F.when(~is_http_url(value), strings(["route.linkedin.invalid_url"])).otherwise(fired(rules))
+    return F.when(~is_http_url(route["value"]), strings(["route.linkedin.invalid_url"])).otherwise(fired(rules))
 
 
 def phone_route_reasons(route: Column) -> Column:
@@ -307,14 +305,14 @@ def claim_reasons(claims: Col = "claims") -> Column:
 def evaluate(df):
     """Add reasons, qualifies, qualifying_route_count and qualifying_email_count to record rows.
 
-    The rule groups land in columns of their own so that no single expression
-    grows without limit; they are dropped again.
+    Also adds qualifying_routes, so that read paths filter and count routes
+    without judging them again. The rule groups land in columns of their own so
+    that no single expression grows without limit; they are dropped again.
     """
-    good = qualifying_routes("contact_routes")
-    out = df.withColumn("_good", F.transform(good, lambda r: yes(r["type"] == "email")))
+    out = df.withColumn("qualifying_routes", qualifying_routes("contact_routes"))
     out = out.withColumns({
-        "qualifying_route_count": F.size("_good").cast("bigint"),
-        "qualifying_email_count": F.size(F.filter("_good", lambda x: x)).cast("bigint"),
+        "qualifying_route_count": F.size("qualifying_routes").cast("bigint"),
+        "qualifying_email_count": F.size(F.filter("qualifying_routes", lambda r: r["type"] == "email")).cast("bigint"),
     })
     groups = {
         "_r1": fired(_header_rules()), "_r2": fired(_firm_rules()), "_r3": fired(_person_rules()),
@@ -322,8 +320,7 @@ def evaluate(df):
     }
     out = out.withColumns(groups)
     out = out.withColumn("reasons", F.array_sort(F.array_distinct(F.concat(*groups))))
-    out = out.withColumn("qualifies", F.size("reasons") == 0)
-    return out.drop("_good", *groups)
+    return out.withColumn("qualifies", F.size("reasons") == 0).drop(*groups)
 
 
 # --- codes and buckets -----------------------------------------------------

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from evq import schemas, vocab
 from evq.functions import keys
-from evq.functions.policy import email_qualifies, qualifying_routes
 from evq.functions.text import Col, col, date_part, normalize_space, strings, text_or_empty, value_or
 
 
@@ -68,9 +67,9 @@ def best_of(items: Column, *order) -> Column:
     return F.get(F.array_sort(keyed), F.lit(0))["item"]
 
 
-def primary_route(routes: Col = "contact_routes") -> Column:
+def primary_route(routes: Col = "qualifying_routes") -> Column:
     return best_of(
-        qualifying_routes(routes), lambda r: route_priority(r["type"]), lambda r: text_or_empty(r["value"])
+        col(routes), lambda r: route_priority(r["type"]), lambda r: text_or_empty(r["value"])
     )
 
 
@@ -83,7 +82,7 @@ def primary_enrichment(enrichments: Col = "enrichments") -> Column:
 
 
 def flat_release_columns(release_id: Col) -> list[Column]:
-    """The 23 columns of the flat release row, from record columns."""
+    """The 23 columns of the flat release row, from the columns of a judged record."""
     route = primary_route()
     item = primary_enrichment()
     limits = F.filter(F.coalesce(F.col("known_limitations"), strings([])), lambda x: text_or_empty(x) != "")
@@ -91,7 +90,7 @@ def flat_release_columns(release_id: Col) -> list[Column]:
         col(release_id), F.col("record_id"), F.col("firm.name"), F.col("firm.type"), F.col("firm.country"),
         F.col("person.name"), F.col("person.title"), F.col("person.role_class"), route["type"],
         route["value"], route["ownership_status"], route["current_status"], route["evidence"]["url"],
-        F.when(F.coalesce(email_qualifies(route), F.lit(False)), "yes").otherwise("no"),
+        F.when(route["type"] == "email", "yes").otherwise("no"),
         F.col("discovery.source_class"), F.col("discovery.url"),
         item["value"], item["kind"], item["evidence"]["url"],
         F.col("firm.classification_evidence.url"), F.col("freshness.last_evidence_check_at"),
@@ -120,9 +119,9 @@ def evidence_brief(evidence: Column) -> Column:
 
 
 def evidence_summary() -> list[Column]:
-    """Nested customer-facing summary of a record."""
+    """Nested customer-facing summary of a judged record."""
     routes = F.transform(
-        qualifying_routes("contact_routes"),
+        "qualifying_routes",
         lambda r: F.struct(
             r["type"].alias("type"), r["value"].alias("value"),
             r["ownership_status"].alias("ownership_basis"), r["current_status"].alias("current_use_basis"),

@@ -34,9 +34,16 @@ def strings(values: Sequence[str]) -> Column:
     return F.expr(f"array({', '.join(quoted)})")
 
 
+# White space as Unicode and the control separators define it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def blank(c: Col) -> Column:
     """True for NULL, empty and white-space-only text."""
-    return normalize_space(c) == ""
+    return F.trim(F.translate(text_or_empty(c), WHITE_SPACE, " " * len(WHITE_SPACE))) == ""
 
 
 def text_or_empty(c: Col) -> Column:
@@ -45,7 +52,8 @@ def text_or_empty(c: Col) -> Column:
 
 def normalize_space(c: Col) -> Column:
     """Collapse runs of (Unicode) white space, trim; NULL becomes ''."""
-    return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
+    spaced = F.translate(text_or_empty(c), WHITE_SPACE, " " * len(WHITE_SPACE))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def contains_any(text: Col, phrases: Sequence[str]) -> Column:
@@ -76,7 +84,7 @@ def url_path(url: Col) -> Column:
 
 
 def is_http_url(url: Col) -> Column:
-    return normalize_space(url).rlike(r"^(?i:https?)://[^/?#]+")
+    return text_or_empty(url).rlike(r"^\s*(?i:https?)://[^/?#\s]")
 
 
 def same_host_family(a: Col, b: Col) -> Column:

@@ -48,9 +48,10 @@ class RetrievalQuery:
 def authorized(records: DataFrame, seq: str = "seq") -> DataFrame:
     """Policy filter first, then the first record of each identity by ``seq``.
 
-    Adds the flat flags the read paths need, so that they are computed once.
+    Records that were stored with their judgement are not judged again: the
+    filter then runs on plain columns and reaches the Parquet scan.
     """
-    judged = policy.evaluate(records)
+    judged = records if "qualifies" in records.columns else policy.evaluate(records)
     allowed = judged.where(
         policy.one_of("lifecycle_status", ["publish"]) & F.col("qualifies") & (text_or_empty("identity_key") != "")
     )
@@ -68,17 +69,16 @@ def record_text() -> Column:
 
 
 def record_filter(name: str, value) -> Column:
-    """One of the ten allowed filters as a condition on record columns."""
+    """One of the ten allowed filters as a condition on the columns of a judged record."""
     want = str(value).lower()
     low = lambda c: F.lower(text_or_empty(c))
-    good = policy.qualifying_routes("contact_routes")
     items = F.coalesce("enrichments", F.array().cast(schemas.RECORD["enrichments"].dataType))
     if name in ("firm_name", "country"):
         return low("firm.name" if name == "firm_name" else "firm.country").contains(want)
     if name == "has_email":
-        return F.exists(good, lambda r: policy.yes(r["type"] == "email")) == F.lit(bool(value))
+        return (F.col("qualifying_email_count") > 0) == F.lit(bool(value))
     if name == "route_type":
-        return F.exists(good, lambda r: low(r["type"]) == want)
+        return F.exists("qualifying_routes", lambda r: low(r["type"]) == want)
     if name == "intelligence_kind":
         return F.exists(items, lambda e: low(e["kind"]) == want)
     if name == "intelligence_term":
@@ -124,7 +124,7 @@ def aggregate(matched: DataFrame, kind: str) -> DataFrame:
     if kind == "firms":
         return matched.agg(F.lit("firms").alias("key"), F.countDistinct(F.lower("firm.name")).alias("n"))
     if kind == "route_mix":
-        routes = matched.select(F.explode(policy.qualifying_routes("contact_routes")).alias("r"))
+        routes = matched.select(F.explode("qualifying_routes").alias("r"))
         return routes.groupBy(F.col("r.type").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     key = F.col("discovery.source_class") if kind == "source_mix" else value_or("firm.country", "unknown")
     return matched.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
