@@ -24,6 +24,8 @@ def build_session(app: str = "evq", master: str | None = None, cores: int | None
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
+            # Small inputs with costly rows should still use every core.
+            builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             builder = builder.config("spark.driver.memory", os.environ.get("EVQ_DRIVER_MEMORY", "8g"))
     if cores:
         builder = builder.config("spark.sql.shuffle.partitions", str(cores))
