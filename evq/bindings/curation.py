@@ -157,9 +157,9 @@ def select_build(t):
     from evq.functions import policy
     from evq.plans.select import SelectSpec, select_rows
 
-    docs = t("documents").select(
-        "doc_id", "source", "lang", tx.normalize_space(F.split("text", "\n")[0]).alias("name"),
-        tx.normalize_space("text").alias("body"), text_key().alias("identity"))
+    docs = tx.pin(
+        t("documents").select("doc_id", "source", "lang", "text"), name=tx.normalize_space(F.split("text", "\n")[0]),
+        body=tx.normalize_space("text"), identity=text_key()).drop("text")
     curated = t("labels").where(F.col("quality") == 1).select("doc_id").distinct()
     reasons = [
         policy.name_rejection("name", ["license", "copyright"], max_len=600, max_tokens=100, token="(?s).*"),
@@ -185,7 +185,8 @@ UNION ALL SELECT doc_id, 'duplicate person within firm' FROM u WHERE copy > 1
 def select_audit(t):
     from evq.plans.select import SelectSpec, select_rows
 
-    docs = t("documents").select("doc_id", "source", tx.normalize_space("text").alias("body"), text_key().alias("identity"))
+    docs = tx.pin(
+        t("documents").select("doc_id", "source", "text"), body=tx.normalize_space("text"), identity=text_key()).drop("text")
     curated = t("labels").where(F.col("quality") == 1).select("doc_id").distinct()
     built = select_rows(docs, curated, SelectSpec(
         member_key="doc_id", group="source", identity="identity", seq="doc_id",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evq.bindings.registry import query
+from evq.bindings.registry import query, spread
 from evq.functions import policy, text as tx
 from evq.functions.records import build_evidence, build_record, contact_columns, flat_release_columns
 from evq.operators import retrieval, state
@@ -118,6 +118,11 @@ def late(t):
     return t("orders").where(F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz"))
 
 
+def stored(t, orders=None):
+    """The records written out, as every later step finds them."""
+    return spread(materialize(records(t, orders), "records"), "c_custkey")
+
+
 def corpus(t):
     """Authorised corpus of two observations of every record, the later one first by ``seq``.
 
@@ -126,8 +131,8 @@ def corpus(t):
     """
     old = records(t, early(t)).withColumn("seq", F.col("c_custkey") * 2 + 1)
     new = records(t, late(t)).withColumn("seq", F.col("c_custkey") * 2)
-    stored = materialize(policy.evaluate(new.unionByName(old)), "judged")
-    return retrieval.authorized(stored)
+    both = spread(materialize(new.unionByName(old), "observed"), "seq")
+    return retrieval.authorized(materialize(policy.evaluate(both), "judged"))
 
 
 def sql_records(name: str, where: str = "true") -> str:
@@ -212,7 +217,7 @@ SELECT c_custkey, record_id, array_to_string(list_sort(reasons), ',') AS reasons
        good AS qualifying_route_count, mails AS qualifying_email_count FROM rec
 """)
 def policy_reasons(t):
-    judged = policy.evaluate(records(t))
+    judged = policy.evaluate(stored(t))
     return judged.select(
         "c_custkey", "record_id", F.array_join("reasons", ",").alias("reasons"), "qualifies",
         "qualifying_route_count", "qualifying_email_count")
@@ -235,7 +240,7 @@ UNION ALL SELECT 'publishable', 'records', count(*) FROM rec WHERE lifecycle = '
 UNION ALL SELECT 'publishable', 'with_email', count(*) FROM rec WHERE lifecycle = 'publish' AND len(reasons) = 0 AND mails > 0
 """)
 def reason_histogram(t):
-    judged = policy.evaluate(records(t)).select("lifecycle_status", "reasons", "qualifies", "qualifying_email_count")
+    judged = policy.evaluate(stored(t)).select("lifecycle_status", "reasons", "qualifies", "qualifying_email_count")
     entry = lambda s, k: F.struct(F.lit(s).alias("section"), k.alias("key"))
     wanted = (F.col("lifecycle_status") == "publish") & F.col("qualifies")
     tags = F.concat(
@@ -358,7 +363,7 @@ SELECT identity_key, CASE WHEN len(reasons) = 0 THEN 'publish' ELSE 'quarantine'
        routes::BIGINT AS routes, good::BIGINT AS qualifying_route_count, mails::BIGINT AS qualifying_email_count FROM g
 """)
 def merge_records(t):
-    old, new = (records(t, o(t)).where(F.col("identity_key").isNotNull()).drop("c_custkey") for o in (early, late))
+    old, new = (stored(t, o(t)).where(F.col("identity_key").isNotNull()).drop("c_custkey") for o in (early, late))
     merged = state.merge_records(old, new)
     return merged.select(
         "identity_key", "lifecycle_status", F.array_join("reasons", ",").alias("reasons"),

@@ -10,6 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Tables of long texts: the work per row is large next to its size.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Use every core for a table that arrives in fewer pieces than there are cores.
+
+    A large table is read in many pieces already and is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 class Tables:
     """Access to the Parquet tables of one data folder: ``t("orders")``."""
 
@@ -18,7 +31,9 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = TEXT_KEYS.get(name)
+        return spread(table, key) if key else table
 
 
 def query(name: str, sql: str | None = None):

@@ -233,7 +233,7 @@ def lexical_rank(t):
 
     terms = ["eaux", "src1", "Tion the"]
     low = F.lower(tx.normalize_space(tx.synthesize([("", "lang", ""), ("", "source", ""), ("", "text", "")])))
-    docs = t("documents").withColumn("_x", low)
+    docs = tx.pin(t("documents"), _x=low)
     found = docs.where(tx.contains_any("_x", [w.lower() for w in terms]))
     score = lexical_score(F.col("_x"), F.lower(F.concat_ws(" ", "lang", "source")), terms).cast("bigint")
     return ordering.page(found.select("doc_id", score.alias("score")), [F.desc("score"), F.col("doc_id")], limit=100)
@@ -472,6 +472,6 @@ SELECT page_id, phrase, trim(substr(txt, greatest(1, strpos(lower(txt), phrase)
 FROM f WHERE phrase IS NOT NULL
 """)
 def self_description(t):
-    visible = t("pages").select("page_id", tx.html_text("html").alias("txt"))
-    found = visible.withColumn("d", tx.self_description("txt", ["ation the", "eaux", "heit"])).where("d IS NOT NULL")
+    described = tx.self_description(tx.html_text("html"), ["ation the", "eaux", "heit"])
+    found = tx.pin(t("pages").select("page_id", "html"), d=described).where("d IS NOT NULL")
     return found.select("page_id", F.col("d.phrase").alias("phrase"), F.col("d.snippet").alias("snippet"))

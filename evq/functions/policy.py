@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evq import schemas, vocab
 from evq.functions import keys
 from evq.functions.text import (
-    Col, blank, col, contains_any, email_local, is_http_url, normalize_space, strings, text_or_empty,
+    Col, blank, col, contains_any, email_local, is_http_url, normalize_space, pin, strings, text_or_empty,
 )
 
 Rules = Sequence[tuple[Column, str]]
@@ -231,15 +231,15 @@ def qualifying_routes(routes: Col = "contact_routes") -> Column:
 
 # --- whole records ---------------------------------------------------------
 
-def _header_rules() -> Rules:
-    key = keys.identity_key(F.col("firm.name"), F.col("person.name"))
-    rid = keys.record_id(F.col("firm.name"), F.col("person.name"))
+def _header_rules(prefix: str = "FOC_") -> Rules:
+    """``_identity`` holds the identity worked out from the two names."""
     return [
         (~one_of("schema_version", ["2.0"]), "record.schema_version"),
         (blank("record_id"), "record.id_missing"),
         (blank("identity_key"), "record.identity_key_missing"),
-        ((text_or_empty("identity_key") != "") & (F.col("identity_key") != key), "record.identity_key_mismatch"),
-        ((text_or_empty("record_id") != "") & (F.col("record_id") != rid), "record.id_mismatch"),
+        ((text_or_empty("identity_key") != "") & (F.col("identity_key") != F.col("_identity")), "record.identity_key_mismatch"),
+        ((text_or_empty("record_id") != "") & (F.col("record_id") != keys.short_id(prefix, F.col("_identity"), 12)),
+         "record.id_mismatch"),
     ]
 
 
@@ -306,21 +306,19 @@ def evaluate(df):
     """Add reasons, qualifies, qualifying_route_count and qualifying_email_count to record rows.
 
     Also adds qualifying_routes, so that read paths filter and count routes
-    without judging them again. The rule groups land in columns of their own so
-    that no single expression grows without limit; they are dropped again.
+    without judging them again.
     """
-    out = df.withColumn("qualifying_routes", qualifying_routes("contact_routes"))
-    out = out.withColumns({
+    identity = keys.identity_key("firm.name", "person.name")
+    out = pin(df, qualifying_routes=qualifying_routes("contact_routes"), _identity=identity).withColumns({
         "qualifying_route_count": F.size("qualifying_routes").cast("bigint"),
         "qualifying_email_count": F.size(F.filter("qualifying_routes", lambda r: r["type"] == "email")).cast("bigint"),
     })
-    groups = {
-        "_r1": fired(_header_rules()), "_r2": fired(_firm_rules()), "_r3": fired(_person_rules()),
-        "_r4": fired(_source_rules()), "_r5": fired(_content_rules()), "_r6": claim_reasons(),
-    }
-    out = out.withColumns(groups)
-    out = out.withColumn("reasons", F.array_sort(F.array_distinct(F.concat(*groups))))
-    return out.withColumn("qualifies", F.size("reasons") == 0).drop(*groups)
+    groups = [
+        fired(_header_rules()), fired(_firm_rules()), fired(_person_rules()), fired(_source_rules()),
+        fired(_content_rules()), claim_reasons(),
+    ]
+    out = pin(out, reasons=F.array_sort(F.array_distinct(F.concat(*groups))))
+    return out.withColumn("qualifies", F.size("reasons") == 0).drop("_identity")
 
 
 # --- codes and buckets -----------------------------------------------------

@@ -21,6 +21,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pin(df, **columns: Column):
+    """Add costly columns so that later filters and projections reuse them.
+
+    A generator is a border the optimizer does not copy expressions across; a
+    plain column would be worked out again in every place that mentions it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def any_of(words: Sequence[str]) -> str:
     """A pattern that finds any of the (literal) words."""
     return "|".join(_quoted(w) for w in words)
@@ -119,10 +128,9 @@ def token_overlap(a: Col, b: Col, pattern: str = "[a-z]{3,}") -> Column:
 
 def excerpt(text: Col, term: Col, radius: int = 280) -> Column:
     """The text around the first (case-insensitive) hit of a term."""
-    compact = normalize_space(text)
     needle = F.lower(term if isinstance(term, Column) else F.lit(term))
-    at = F.instr(F.lower(compact), needle)
-    return around(compact, at, F.length(needle), radius, radius, F.substring(compact, 1, 2 * radius))
+    return let(normalize_space(text), lambda compact: let(F.instr(F.lower(compact), needle), lambda at: around(
+        compact, at, F.length(needle), radius, radius, F.substring(compact, 1, 2 * radius))))
 
 
 def around(text: Column, at: Column, size: Column, before: int, after: int, otherwise: Column) -> Column:
@@ -134,14 +142,16 @@ def around(text: Column, at: Column, size: Column, before: int, after: int, othe
 
 def self_description(text: Col, phrases: Sequence[str] = vocab.SELF_DESCRIPTION_PHRASES) -> Column:
     """First phrase (in list order) found in the text, with a snippet (60 before, 120 from its start)."""
-    compact = normalize_space(text)
-    low = F.lower(compact)
-    phrase = F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in phrases])
-    at = F.coalesce(*[F.when(low.contains(p), F.instr(low, p)) for p in phrases])
-    return F.when(
-        phrase.isNotNull(),
-        F.struct(phrase.alias("phrase"), around(compact, at, F.lit(0), 60, 120, F.lit("")).alias("snippet")),
-    )
+    def find(t: Column) -> Column:
+        phrase = F.coalesce(*[F.when(t["low"].contains(p), F.lit(p)) for p in phrases])
+        return F.struct(t["compact"].alias("compact"), phrase.alias("phrase"), F.instr(t["low"], phrase).alias("at"))
+
+    def cut(t: Column) -> Column:
+        return F.when(t["phrase"].isNotNull(), F.struct(
+            t["phrase"].alias("phrase"), around(t["compact"], t["at"], F.lit(0), 60, 120, F.lit("")).alias("snippet")))
+
+    both = lambda c: F.struct(c.alias("compact"), F.lower(c).alias("low"))
+    return let(let(let(normalize_space(text), both), find), cut)
 
 
 def split_name(full: Col, keep_single: bool = False) -> Column:

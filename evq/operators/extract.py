@@ -37,7 +37,7 @@ def tag_vocabulary(
             F.coalesce(*[F.when(low.contains(t), F.lit(t)) for t in terms]).alias("term")))
         for (kind, value), terms in grouped.items()
     ]
-    prepared = df.withColumn("_compact", tx.normalize_space(text)).withColumn("_low", F.lower("_compact"))
+    prepared = tx.pin(tx.pin(df, _compact=tx.normalize_space(text)), _low=F.lower("_compact"))
     tagged = prepared.withColumn("_tag", F.explode(F.array_compact(F.array(*tags))))
     at = F.instr(F.col("_low"), F.col("_tag.term"))
     cut = tx.around(F.col("_compact"), at, F.length("_tag.term"), radius, radius, F.lit(""))
@@ -71,22 +71,15 @@ def candidates(
 
     ``hits`` must hold source_class, url, observed_at and extraction_method.
     """
-    clean = tx.clean_page_title_name(name)
-    home = tx.normalize_space(homepage)
-    said = tx.normalize_space(quote)
-    folded = F.replace(F.lower(said), F.lit("-"), F.lit(" "))
+    rows = tx.pin(
+        hits, firm_name=tx.clean_page_title_name(name), homepage=tx.normalize_space(homepage), quote=tx.normalize_space(quote))
+    folded = F.replace(F.lower("quote"), F.lit("-"), F.lit(" "))
     accepted = (
-        (clean != "") & tx.is_http_url(home) & folded.contains(phrase) & ~tx.host_of(home).isin(list(excluded_hosts))
-    )
-    return hits.where(accepted).select(
-        "*",
-        keys.candidate_id(clean, home).alias("candidate_id"),
-        clean.alias("firm_name"),
-        tx.firm_type(said).alias("firm_type"),
-        home.alias("homepage"),
-        said.alias("quote"),
-        F.lit("candidate").alias("status"),
-    )
+        (F.col("firm_name") != "") & tx.is_http_url("homepage") & folded.contains(phrase)
+        & ~tx.host_of("homepage").isin(list(excluded_hosts)))
+    return rows.where(accepted).select(
+        "*", keys.candidate_id("firm_name", "homepage").alias("candidate_id"), tx.firm_type("quote").alias("firm_type"),
+        F.lit("candidate").alias("status"))
 
 
 def entity_mentions(hits: DataFrame, text: Column, patterns=vocab.ENTITY_PATTERNS, **rules) -> DataFrame:
@@ -105,11 +98,9 @@ def snippet_routes(
     The first accepted name of the snippet owns the address. With a home page,
     the address must belong to the same site.
     """
-    compact = tx.normalize_space(text)
-    names = F.filter(F.regexp_extract_all(compact, F.lit(name_pattern), F.lit(0)), name_filter)
+    names = F.filter(F.regexp_extract_all("_text", F.lit(name_pattern), F.lit(0)), name_filter)
     found = (
-        hits.withColumn("_text", compact)
-        .withColumn("name", F.get(names, F.lit(0)))
+        tx.pin(tx.pin(hits, _text=tx.normalize_space(text)), name=F.get(names, F.lit(0)))
         .where(F.col("name").isNotNull())
         .withColumn("email", F.explode(F.array_distinct(F.transform(tx.emails("_text"), F.lower))))
     )

@@ -15,8 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evq.session import materialize
+
 RANGES = 64
 SAMPLE_ROWS = 4096
+SMALL_ROWS = 200_000  # up to here one task may hold a group
 
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -60,36 +63,34 @@ def flag_first(df: DataFrame, keys: Sequence[str], seq: str, flag: str = "is_fir
     return df.join(firsts, seq, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _order_ranges(df: DataFrame, order: Sequence[Column], ranges: int) -> Column | None:
+def _order_ranges(df: DataFrame, order: Sequence[Column], ranges: int, small: int) -> Column | None:
     """Range number of a row by its order key, or None when the table is small.
 
     The bounds come from a hash-ordered sample of fixed size, so they are the
     same on every run and only balance the work: any bounds give the same ranks.
+    The input is read a few times; write it out first if it is costly.
     """
-    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS).orderBy("k")
-    rows = [r.k for r in sample.collect()]
-    if len(rows) < SAMPLE_ROWS:
+    if df.count() <= small:
         return None
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    bounds = [rows[i * len(rows) // ranges] for i in range(1, ranges)]
-    number = F.lit(0)
-    for bound in bounds:
-        literal = F.struct(*[
-            F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bound, key_type.fields, strict=True)
-        ])
-        number = number + (literal <= key).cast("int")
-    return number
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("k"))
+    rows = [r.k for r in keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS).orderBy("k").collect()]
+    bounds = sorted({i * len(rows) // ranges for i in range(1, ranges)})
+    fields = keys.schema["k"].dataType.fields
+    literals = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(rows[i], fields, strict=True)]) for i in bounds]
+    return F.size(F.filter(F.array(*literals), lambda bound: bound <= key))
 
 
 def split_row_number(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "row_number", ranges: int = RANGES
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "row_number", ranges: int = RANGES,
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Exact row_number of every row, with hot groups cut into order ranges.
 
     ``order`` holds ascending key expressions that form a total order in a group.
     """
-    number = _order_ranges(df, order, ranges)
+    number = _order_ranges(df, order, ranges, small)
     if number is None:
         return df.withColumn(out, F.row_number().over(_window(group, order)).cast("bigint"))
     ranged = df.withColumn("_range", number)
@@ -102,10 +103,11 @@ def split_row_number(
 
 
 def split_lag(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, out: str, ranges: int = RANGES
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, out: str, ranges: int = RANGES,
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Previous value within a group, with hot groups cut into order ranges."""
-    number = _order_ranges(df, order, ranges)
+    number = _order_ranges(df, order, ranges, small)
     if number is None:
         return df.withColumn(out, F.lag(value).over(_window(group, order)))
     ranged = df.withColumn("_range", number).withColumn("_value", value)
@@ -133,17 +135,19 @@ def _join_on_group(left: DataFrame, right: DataFrame, group: Sequence[str], boun
     return left.join(side, on, "inner").drop(*[f"_r_{n}" for n in names])
 
 
-def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_", width: int = 3, out: str = "record_id") -> DataFrame:
+def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_", width: int = 3, out: str = "record_id", small: int = SMALL_ROWS) -> DataFrame:
     """'PREFIX001', 'PREFIX002', ... over a total order of the whole table."""
-    numbered = split_row_number(df, [], order, "_n")
+    numbered = split_row_number(df, [], order, "_n", small=small)
     digits = F.greatest(F.length(F.col("_n").cast("string")), F.lit(width))
     return numbered.withColumn(out, F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), digits, F.lit("0")))).drop("_n")
 
 
-def round_robin(df: DataFrame, classes: str, order: Sequence[Column], out: str = "position") -> DataFrame:
+def round_robin(df: DataFrame, classes: str, order: Sequence[Column], out: str = "position", small: int = SMALL_ROWS) -> DataFrame:
     """Fair order: first of every class (classes sorted), then every second, and so on."""
-    ranked = split_row_number(df, [classes], order, "_turn")
-    return split_row_number(ranked, [], [F.col("_turn"), F.col(classes)], out).drop("_turn")
+    ranked = split_row_number(df, [classes], order, "_turn", small=small)
+    if df.count() > small:  # the second ranking reads its input several times
+        ranked = materialize(ranked, "turns")
+    return split_row_number(ranked, [], [F.col("_turn"), F.col(classes)], out, small=small).drop("_turn")
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, max_limit: int = 500) -> DataFrame:

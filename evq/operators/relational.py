@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evq.functions.text import contains_fold, text_or_empty
+from evq.functions.text import contains_fold, pin, text_or_empty
 
 
 # --- filters ---------------------------------------------------------------
@@ -33,7 +33,7 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 def split_on(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected with reason) by a reason column that is NULL for kept rows."""
-    tagged = df.withColumn("reason", reason)
+    tagged = pin(df, reason=reason)
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evq import schemas
 from evq.functions import policy
 from evq.functions.records import evidence_summary
-from evq.functions.text import contains_any, normalize_space, text_or_empty, value_or
+from evq.functions.text import contains_any, let, normalize_space, text_or_empty, value_or
 from evq.operators import ordering
 
 ALLOWED_FILTERS = (
@@ -93,7 +93,7 @@ def match_condition(query: RetrievalQuery) -> Column:
     for name, value in query.filters.items():
         condition = condition & record_filter(name, value)
     if query.terms:
-        condition = condition & contains_any(record_text(), [t.lower() for t in query.terms])
+        condition = condition & let(record_text(), lambda x: contains_any(x, [t.lower() for t in query.terms]))
     return condition
 
 
@@ -111,8 +111,7 @@ def retrieve(corpus: DataFrame, query: RetrievalQuery) -> tuple[DataFrame, DataF
     query.validate()
     matched = corpus.where(match_condition(query))
     names = F.lower(F.concat_ws(" ", "firm.name", "person.name"))
-    score = lexical_score(record_text(), names, query.terms).cast("bigint")
-    ranked = matched.withColumn("score", score)
+    ranked = matched.withColumn("score", let(record_text(), lambda x: lexical_score(x, names, query.terms)).cast("bigint"))
     rows = ordering.page(ranked, [F.desc("score"), F.col("record_id")], query.limit, query.offset)
     return rows.select(*evidence_summary(), "score"), aggregate(matched, query.aggregate), counts(corpus, query)
 

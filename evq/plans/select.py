@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evq.functions import policy
+from evq.functions.text import pin
 from evq.operators import ordering
 
 
@@ -41,7 +42,7 @@ def select_rows(rows: DataFrame, members: DataFrame, spec: SelectSpec) -> Select
     """
     joined = rows.join(members.select(spec.member_key).withColumn("_member", F.lit(True)), spec.member_key, "left")
     reason = F.coalesce(F.when(F.col("_member").isNull(), F.lit(spec.not_member)), *spec.reasons)
-    judged = joined.withColumn("reason", reason).drop("_member")
+    judged = pin(joined, reason=reason).drop("_member")
     kept = judged.where(F.col("reason").isNull()).drop("reason")
 
     scored = ordering.keep_first(kept, [spec.group, spec.identity], [F.col(spec.seq)]).withColumn(
