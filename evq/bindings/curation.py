@@ -18,7 +18,7 @@ SQL_TEXT_KEY = f"sha256(lower({sql_norm('text')}))"
 
 @query("dedupe_first", f"SELECT {SQL_TEXT_KEY} AS text_key, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def dedupe_first(t):
-    docs = t("documents").select("doc_id", text_key().alias("text_key"))
+    docs = tx.pin(t("documents").select("doc_id", "text"), text_key=text_key()).drop("text")
     return ordering.keep_first(docs, ["text_key"], [F.col("doc_id")]).select("text_key", "doc_id")
 
 
@@ -84,8 +84,9 @@ FROM r
 def duplicate_flags(t):
     from evq.plans.release import duplicate_reasons
 
-    docs = t("documents").select(
-        "doc_id", text_key().alias("identity"), F.concat_ws("|", "lang", "source", "n_chars").alias("record_id"))
+    docs = tx.pin(
+        t("documents").select("doc_id", "text", F.concat_ws("|", "lang", "source", "n_chars").alias("record_id")),
+        identity=text_key()).drop("text")
     flagged = duplicate_reasons(docs, "record_id", "identity", "doc_id")
     return flagged.select("doc_id", F.array_join("duplicate_reasons", ",").alias("reasons"))
 
@@ -95,7 +96,7 @@ SELECT doc_id FROM documents WHERE {SQL_TEXT_KEY} || lang NOT IN (
   SELECT {SQL_TEXT_KEY} || lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
 """)
 def anti_identity(t):
-    docs = t("documents").select("doc_id", "lang", text_key().alias("identity"))
+    docs = tx.pin(t("documents").select("doc_id", "lang", "text"), identity=text_key()).drop("text")
     trusted = docs.join(t("labels").where(F.col("quality") == 1), "doc_id", "left_semi").select("identity", "lang").distinct()
     return docs.join(trusted, ["identity", "lang"], "left_anti").select("doc_id")
 

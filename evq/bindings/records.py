@@ -54,7 +54,7 @@ def records(t, orders=None):
     gathered = routes.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.array_sort(F.collect_list(F.struct("o_orderstatus", "o_orderpriority", "route")))["route"].alias("routes"),
         F.max("day").alias("last_day"))
-    base = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(gathered, "c_custkey", "left")
+    base = spread(t("customer"), "c_custkey").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(gathered, "c_custkey", "left")
     balance, segment, nation = F.col("c_acctbal"), F.col("c_mktsegment"), F.col("c_nationkey")
     official = F.lit("official_firm_site")
     proof = lambda quote, supports: build_evidence(
