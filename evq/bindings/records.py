@@ -132,7 +132,7 @@ def corpus(t):
     old = records(t, early(t)).withColumn("seq", F.col("c_custkey") * 2 + 1)
     new = records(t, late(t)).withColumn("seq", F.col("c_custkey") * 2)
     both = spread(materialize(new.unionByName(old), "observed"), "seq")
-    return retrieval.authorized(materialize(policy.evaluate(both), "judged"))
+    return retrieval.authorized(both)
 
 
 def sql_records(name: str, where: str = "true") -> str:

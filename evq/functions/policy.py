@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evq import schemas, vocab
 from evq.functions import keys
 from evq.functions.text import (
-    Col, blank, col, contains_any, email_local, is_http_url, normalize_space, pin, strings, text_or_empty,
+    Col, blank, col, contains_any, email_local, is_http_url, normalize_space, strings, text_or_empty,
 )
 
 Rules = Sequence[tuple[Column, str]]
@@ -306,10 +306,11 @@ def evaluate(df):
     """Add reasons, qualifies, qualifying_route_count and qualifying_email_count to record rows.
 
     Also adds qualifying_routes, so that read paths filter and count routes
-    without judging them again.
+    without judging them again. Store the result before filtering on it: a
+    filter on ``qualifies`` would repeat the rules in the filter.
     """
     identity = keys.identity_key("firm.name", "person.name")
-    out = pin(df, qualifying_routes=qualifying_routes("contact_routes"), _identity=identity).withColumns({
+    out = df.withColumns({"qualifying_routes": qualifying_routes("contact_routes"), "_identity": identity}).withColumns({
         "qualifying_route_count": F.size("qualifying_routes").cast("bigint"),
         "qualifying_email_count": F.size(F.filter("qualifying_routes", lambda r: r["type"] == "email")).cast("bigint"),
     })
@@ -317,7 +318,7 @@ def evaluate(df):
         fired(_header_rules()), fired(_firm_rules()), fired(_person_rules()), fired(_source_rules()),
         fired(_content_rules()), claim_reasons(),
     ]
-    out = pin(out, reasons=F.array_sort(F.array_distinct(F.concat(*groups))))
+    out = out.withColumn("reasons", F.array_sort(F.array_distinct(F.concat(*groups))))
     return out.withColumn("qualifies", F.size("reasons") == 0).drop("_identity")
 
 

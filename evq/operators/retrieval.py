@@ -13,6 +13,7 @@ from evq.functions import policy
 from evq.functions.records import evidence_summary
 from evq.functions.text import contains_any, let, normalize_space, text_or_empty, value_or
 from evq.operators import ordering
+from evq.session import materialize
 
 ALLOWED_FILTERS = (
     "firm_name", "country", "firm_type", "role_class", "route_type", "has_email",
@@ -48,10 +49,11 @@ class RetrievalQuery:
 def authorized(records: DataFrame, seq: str = "seq") -> DataFrame:
     """Policy filter first, then the first record of each identity by ``seq``.
 
-    Records that were stored with their judgement are not judged again: the
-    filter then runs on plain columns and reaches the Parquet scan.
+    Records that come with a stored judgement are not judged again; others are
+    judged and written to the shared folder first. Either way the filter runs on
+    plain columns and reaches the Parquet scan.
     """
-    judged = records if "qualifies" in records.columns else policy.evaluate(records)
+    judged = records if "qualifies" in records.columns else materialize(policy.evaluate(records), "judged")
     allowed = judged.where(
         policy.one_of("lifecycle_status", ["publish"]) & F.col("qualifies") & (text_or_empty("identity_key") != "")
     )

@@ -18,6 +18,7 @@ from evq import schemas
 from evq.functions import keys, policy
 from evq.functions.records import flat_release_columns
 from evq.operators import ordering, relational
+from evq.session import materialize
 from evq.sources import files
 
 
@@ -32,7 +33,7 @@ def duplicate_reasons(rows: DataFrame, record_id: str, identity: str, seq: str)
 
 def prepare(records: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(publishable, blocked with reasons) of the records that ask for publication."""
-    asked = policy.evaluate(records.where(policy.one_of("lifecycle_status", ["publish"])))
+    asked = materialize(policy.evaluate(records.where(policy.one_of("lifecycle_status", ["publish"]))), "asked")
     flagged = duplicate_reasons(asked, "record_id", "identity_key", seq)
     merged = flagged.withColumn("reasons", F.array_sort(F.array_distinct(F.concat("reasons", "duplicate_reasons"))))
     merged = merged.drop("duplicate_reasons")
