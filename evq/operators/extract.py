@@ -46,15 +46,16 @@ def tag_vocabulary(
 
 def enrichments(observations: DataFrame, text: str, url: str, observed_at: str, firm_type: str) -> DataFrame:
     """Vocabulary tags of page text as enrichment structs, with the self-description as one more kind."""
-    tagged = tag_vocabulary(observations, text).withColumn("enrichment", _enrichment(
-        F.col("kind"), F.col("value"), url, observed_at, F.col("excerpt"), "official_page_controlled_vocabulary_match"))
-    low = F.lower(tx.normalize_space(text))
+    rows = observations.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    at = lambda name: F.col(f"_row.{name}")
+    tagged = tag_vocabulary(rows, "_text").withColumn("enrichment", _enrichment(
+        F.col("kind"), F.col("value"), at(url), at(observed_at), F.col("excerpt"), "official_page_controlled_vocabulary_match"))
+    low = F.lower(tx.normalize_space("_text"))
     term = F.when(low.contains("family office"), "family office").when(low.contains("family-office"), "family-office")
-    described = observations.where(term.isNotNull()).withColumn("enrichment", _enrichment(
-        F.lit("family_office_classification"), F.col(firm_type), url, observed_at, tx.excerpt(text, term),
+    described = rows.where(term.isNotNull()).withColumn("enrichment", _enrichment(
+        F.lit("family_office_classification"), at(firm_type), at(url), at(observed_at), tx.excerpt("_text", term),
         "official_page_text_phrase"))
-    columns = [*observations.columns, "enrichment"]
-    return described.select(*columns).unionByName(tagged.select(*columns))
+    return described.select("_row.*", "enrichment").unionByName(tagged.select("_row.*", "enrichment"))
 
 
 def _enrichment(kind, value, url, observed_at, quote, method) -> Column:

@@ -30,8 +30,9 @@ def label_of(anchor: Column) -> Column:
 
 
 def anchors_of(html: tx.Col) -> Column:
-    """The anchor elements of a page, in order."""
-    return F.regexp_extract_all(tx.text_or_empty(html), F.lit(ANCHOR), F.lit(0))
+    """The anchor elements of a page, in order; scripts, styles and comments hold none."""
+    shown = F.regexp_replace(tx.text_or_empty(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(0))
 
 
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -196,20 +197,21 @@ def _first(items: Column, test) -> Column:
 
 def _mail_and_profile(area: Column) -> Column:
     """struct(emails, profile) found in a list of elements: text addresses, else mailto links; first profile link."""
-    inside = F.filter(F.col("nodes"), lambda n: n["href"].isNotNull() & F.exists(area, lambda a: _inside(n, a)))
-    written = F.array_distinct(F.flatten(F.transform(area, lambda a: tx.emails(_cut(a)))))
-
-    def pick(found: Column) -> Column:
-        mailto = F.filter(
-            F.transform(found["hrefs"], lambda h: F.when(
-                F.lower(h).startswith("mailto:"), F.trim(F.element_at(F.split(F.substr(h, F.lit(8)), r"\?"), 1)))),
-            lambda m: policy.yes(m.rlike("^" + vocab.EMAIL_IN_TEXT)))
-        link = F.coalesce(_first(found["hrefs"], lambda h: h.rlike(vocab.PROFILE_IN_TEXT)), F.lit(""))
-        return F.struct(
-            F.when(F.size(found["written"]) > 0, found["written"]).otherwise(F.slice(mailto, 1, 1)).alias("emails"),
-            F.regexp_extract(link, vocab.PROFILE_IN_TEXT, 0).alias("profile"))
-
-    return tx.let(F.struct(written.alias("written"), F.transform(inside, lambda n: n["href"]).alias("hrefs")), pick)
+    def hrefs(a: Column) -> Column:
+        inside = F.filter(F.col("nodes"), lambda n: n["href"].isNotNull() & _inside(n, a))
+        return F.transform(inside, lambda n: n["href"])
+
+    def mailto(a: Column) -> Column:
+        address = F.transform(F.filter(hrefs(a), lambda h: F.lower(h).startswith("mailto:")), lambda h: F.trim(
+            F.element_at(F.split(F.substr(h, F.lit(8)), r"\?"), 1)))
+        return F.filter(address, lambda m: m.rlike("^" + vocab.EMAIL_IN_TEXT))
+
+    # Element by element: addresses in its text; its mailto links only while nothing is found yet.
+    emails = F.aggregate(area, tx.strings([]), lambda found, a: tx.let(
+        F.concat(found, tx.emails(_cut(a))), lambda now: F.when(F.size(now) > 0, now).otherwise(mailto(a))))
+    link = F.coalesce(_first(F.flatten(F.transform(area, hrefs)), lambda h: h.rlike(vocab.PROFILE_IN_TEXT)), F.lit(""))
+    return F.struct(
+        F.array_distinct(emails).alias("emails"), F.regexp_extract(link, vocab.PROFILE_IN_TEXT, 0).alias("profile"))
 
 
 def _before_mark(text: Column) -> Column:
