@@ -240,7 +240,8 @@ def _heading_person(h: Column) -> Column:
 
 def _block_person(b: Column) -> Column:
     """Person of a block row {text, name, node}: title right after the name, else around the first keyword that fits."""
-    rest = F.substr(b["text"], F.instr(b["text"], b["name"]) + F.length(b["name"]), F.lit(200))
+    # Names in capitals are re-cased, so they are looked up without regard to case.
+    rest = F.substr(b["text"], F.instr(F.lower(b["text"]), F.lower(b["name"])) + F.length(b["name"]), F.lit(200))
 
     def title(near: Column) -> Column:
         spans = F.transform(tx.strings(vocab.CARD_TITLE_KEYWORDS), lambda kw: F.regexp_substr(
