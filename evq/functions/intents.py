@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evq import vocab
-from evq.functions.text import Col, contains_any, normalize_space, strings
+from evq.functions.text import Col, contains_any, let, normalize_space, strings
 
 # Words that ask for a contact field, first group wins.
 FIELD_WORDS = [
@@ -24,14 +24,12 @@ def low(request: Col) -> Column:
 
 def requested_field(request: Col, words=FIELD_WORDS) -> Column:
     """The contact field a request asks for, or NULL."""
-    q = low(request)
-    return F.coalesce(*[F.when(contains_any(q, group), F.lit(name)) for name, group in words])
+    return let(low(request), lambda q: F.coalesce(*[F.when(contains_any(q, group), F.lit(name)) for name, group in words]))
 
 
 def mentioned_role(request: Col, roles=vocab.QUESTION_ROLES) -> Column:
     """First role phrase (in list order) named in a request, or NULL."""
-    q = low(request)
-    return F.coalesce(*[F.when(q.contains(r), F.lit(r)) for r in roles])
+    return let(low(request), lambda q: F.coalesce(*[F.when(q.contains(r), F.lit(r)) for r in roles]))
 
 
 def request_filters(request: Col) -> Column:
@@ -74,7 +72,10 @@ def request_aggregates(request: Col) -> Column:
 
 def structured_route(request: Col) -> Column:
     """Which structured query answers a question; the most specific rule comes first."""
-    q = low(request)
+    return let(low(request), _structured_route)
+
+
+def _structured_route(q: Column) -> Column:
     counting = q.contains("how many") | q.contains("count")
     rules = [
         (counting & q.contains("email"), "count_people:has_email"),

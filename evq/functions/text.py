@@ -175,18 +175,18 @@ def normalize_title(title: Col, roles: Sequence[str] = vocab.NORMAL_TITLES) -> C
 def clean_page_title_name(value: Col, generic: Sequence[str] = vocab.GENERIC_PAGE_TITLES) -> Column:
     """Entity name from a page title: cut tails, lead words and office suffix; '' when nothing usable."""
     edge = r"^[ \-|–—:,.]+|[ \-|–—:,.]+$"
-    text = F.regexp_replace(normalize_space(value), r"\s+[|–—]\s+.*$", "")
-    text = F.regexp_replace(text, vocab.NAME_LEAD, "")
-    stripped = F.regexp_replace(F.regexp_replace(text, vocab.NAME_TAIL, ""), edge, "")
-    usable = (stripped != "") & ~F.lower(stripped).isin(list(generic))
-    text = F.regexp_replace(normalize_space(F.when(usable, stripped).otherwise(text)), edge, "")
-    bad = (
-        (F.length(text) < 2)
-        | (F.length(text) > 120)
-        | F.lower(text).isin(list(generic))
-        | (F.size(F.split(text, r"\s+")) > 12)
-    )
-    return F.when(bad, "").otherwise(text)
+    known = list(generic)
+
+    def shorten(text: Column) -> Column:
+        stripped = F.regexp_replace(F.regexp_replace(text, vocab.NAME_TAIL, ""), edge, "")
+        return let(stripped, lambda s: F.when((s != "") & ~F.lower(s).isin(known), s).otherwise(text))
+
+    def check(text: Column) -> Column:
+        fits = F.length(text).between(2, 120) & ~F.lower(text).isin(known) & (F.size(F.split(text, r"\s+")) <= 12)
+        return F.when(fits, text).otherwise("")
+
+    head = F.regexp_replace(F.regexp_replace(normalize_space(value), r"\s+[|–—]\s+.*$", ""), vocab.NAME_LEAD, "")
+    return let(F.regexp_replace(normalize_space(let(head, shorten)), edge, ""), check)
 
 
 def clean_captured_name(value: Col) -> Column:

@@ -135,9 +135,15 @@ def _join_on_group(left: DataFrame, right: DataFrame, group: Sequence[str], boun
     return left.join(side, on, "inner").drop(*[f"_r_{n}" for n in names])
 
 
-def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_", width: int = 3, out: str = "record_id", small: int = SMALL_ROWS) -> DataFrame:
-    """'PREFIX001', 'PREFIX002', ... over a total order of the whole table."""
-    numbered = split_row_number(df, [], order, "_n", small=small)
+def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_", width: int = 3, out: str = "record_id", small: int = SMALL_ROWS, bounded: bool = False) -> DataFrame:
+    """'PREFIX001', 'PREFIX002', ... over a total order of the whole table.
+
+    ``bounded``: the rows already come from a limit, so they need no counting.
+    """
+    if bounded:
+        numbered = df.withColumn("_n", F.row_number().over(_window([], order)).cast("bigint"))
+    else:
+        numbered = split_row_number(df, [], order, "_n", small=small)
     digits = F.greatest(F.length(F.col("_n").cast("string")), F.lit(width))
     return numbered.withColumn(out, F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), digits, F.lit("0")))).drop("_n")
 

@@ -51,7 +51,7 @@ def select_rows(rows: DataFrame, members: DataFrame, spec: SelectSpec) -> Select
     ranked = ordering.top_n_per_group(scored, [spec.group], order, spec.per_group)
     # The result is capped by spec.limit rows, so one ordered task numbers them.
     final = ordering.page(ranked, [F.col(spec.group), F.col("rank")], spec.limit, max_limit=10_000)
-    numbered = ordering.sequential_ids(final, [F.col(spec.group), F.col("rank")], spec.prefix)
+    numbered = ordering.sequential_ids(final, [F.col(spec.group), F.col("rank")], spec.prefix, bounded=True)
 
     flagged = ordering.flag_first(kept.select(spec.group, spec.identity, spec.seq), [spec.group, spec.identity], spec.seq)
     copies = flagged.where(~F.col("is_first")).select(spec.seq, F.lit(spec.duplicate).alias("reason"))
