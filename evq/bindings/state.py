@@ -104,7 +104,7 @@ def mail_domain_loss(t):
     emails = t("documents").select("doc_id", "lang", F.explode(tx.emails("text")).alias("email")).withColumn(
         "domain", tx.email_domain("email"))
     known = emails.where(F.col("lang") == "en").select("domain").distinct()
-    return emails.join(known, "domain", "left_anti").select("doc_id", "email", F.lit("email_bounced").alias("check_type"))
+    return rel.salted_anti_join(emails, known, ["domain"], ["doc_id", "email"]).select("doc_id", "email", F.lit("email_bounced").alias("check_type"))
 
 
 @query("cycle_rollup", """
@@ -147,8 +147,8 @@ def sources_roundtrip(t):
     files.write_jsonl(low, f"{base}/low", "s_suppkey")
     files.write_jsonl(high, f"{base}/high", "s_suppkey")
     union = files.read_union(spark, [f"{base}/low", f"{base}/absent", f"{base}/high"], SUPPLIER)
-    files.append_unseen(low, f"{base}/hits", "s_suppkey")
-    files.append_unseen(union.select(*SUPPLIER.fieldNames()), f"{base}/hits", "s_suppkey")
+    files.append_unseen(low, f"{base}/hits", "s_suppkey", [F.col("s_name")])
+    files.append_unseen(union.select(*SUPPLIER.fieldNames()), f"{base}/hits", "s_suppkey", [F.col("s_name")])
     files.write_snapshot(low, f"{base}/state")
     files.write_snapshot(high, f"{base}/state")
     newest = suppliers.agg(F.max("s_suppkey").alias("s_suppkey"))

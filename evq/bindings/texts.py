@@ -458,7 +458,7 @@ def tier_matrix(t):
     pages = t("pages").select("page_id", tx.host_of("url").alias("host"), F.regexp_extract("html", TITLE, 1).alias("title"))
     known = rel.distribution(pages, ["host"]).where(F.col("n") >= 3).select(
         "host", F.concat(F.lit("Known "), "host").alias("known_name"))
-    joined = pages.join(known, "host", "left")
+    joined = rel.salted_left_join(pages, known, ["host"], ["page_id"])
     tier = policy.verification_tier(tx.token_overlap("host", "title"), F.col("known_name").isNotNull())
     return joined.select("page_id", "known_name", tier["tier"].alias("tier"), tier["notes"].alias("notes"))
 

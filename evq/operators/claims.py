@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evq import vocab
 from evq.functions import intents, policy
 from evq.functions.text import Col, contains_any, text_or_empty
+from evq.operators import relational
 
 CHECK_ROLES = [
     "chief investment officer", "chief financial officer", "chief executive officer", "chief operating officer",
@@ -82,7 +83,7 @@ def post_check(answers: DataFrame, values: DataFrame, keys: Sequence[str], match
     """
     said = mentions(answers.select(*keys, text), kinds, text).withColumn("_low", F.lower("value")).drop(text)
     known = values.withColumnRenamed("value", "_low").withColumn("_known", F.lit(True))
-    joined = said.join(known, [*match, "kind", "_low"], "left")
+    joined = relational.salted_left_join(said, known, [*match, "kind", "_low"], keys)
     ok = policy.yes(F.col("_known") if supported is None else F.col("_known") & supported)
     offending = F.when(~ok, F.struct("kind_no", "pos", F.concat_ws(":", "kind", "value").alias("violation")))
     checked = joined.groupBy(*keys).agg(F.min(offending).alias("_first"), F.count(F.lit(1)).alias("mentions"))

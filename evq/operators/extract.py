@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evq import vocab
 from evq.functions import keys, policy, text as tx
 from evq.functions.records import build_evidence
+from evq.operators import relational
 
 
 def explode_values(df: DataFrame, values: Column, out: str, pos: str | None = None) -> DataFrame:
@@ -137,4 +138,4 @@ def mail_codes(emails: DataFrame, domains: DataFrame, email: str = "email") -> D
     """P0/V2/U2 per address from a table (domain, has_mx) instead of a lookup per row."""
     known = domains.groupBy(F.lower("domain").alias("_domain")).agg(F.max("has_mx").alias("_mx"))
     keyed = emails.withColumn("_domain", tx.email_domain(email))
-    return keyed.join(known, "_domain", "left").withColumn("code", policy.mail_code(email, F.col("_mx"))).drop("_domain", "_mx")
+    return relational.salted_left_join(keyed, known, ["_domain"]).withColumn("code", policy.mail_code(email, F.col("_mx"))).drop("_domain", "_mx")

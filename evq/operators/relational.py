@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evq.functions.text import contains_fold, pin, text_or_empty
+from evq.operators import ordering
 
 
 # --- filters ---------------------------------------------------------------
@@ -39,11 +40,11 @@ def split_on(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 def blocklist(df: DataFrame, blocked: DataFrame, key: str, exempt: Column | None = None) -> DataFrame:
     """Drop rows whose key is on a blocklist table, unless exempt."""
-    listed = blocked.select(F.col(key).alias("_blocked"))
-    condition = F.col(key) == F.col("_blocked")
+    listed = blocked.select(key).distinct().withColumn("_blocked", F.lit(True))
+    free = F.col("_blocked").isNull()
     if exempt is not None:
-        condition = condition & ~F.coalesce(exempt, F.lit(False))
-    return df.join(listed, condition, "left_anti")
+        free = free | F.coalesce(exempt, F.lit(False))
+    return salted_left_join(df, listed, [key]).where(free).drop("_blocked")
 
 
 # --- joins -----------------------------------------------------------------
@@ -77,10 +78,10 @@ def allow_or_reject(
     default: str = "Not in curated allowlist for final build.",
 ) -> DataFrame:
     """Curation decision per row: kept if the key is allowed, else the listed or the default reason."""
-    decided = df.join(allowed.select(key).distinct().withColumn("_ok", F.lit(True)), key, "left")
+    decided = salted_left_join(df, allowed.select(key).distinct().withColumn("_ok", F.lit(True)), [key], df.columns)
     reason = F.lit(default)
     if rejections is not None:
-        decided = decided.join(rejections.select(key, F.col("reason").alias("_listed")), key, "left")
+        decided = salted_left_join(decided, rejections.select(key, F.col("reason").alias("_listed")), [key], df.columns)
         reason = F.coalesce("_listed", F.lit(default))
     kept = F.coalesce("_ok", F.lit(False))
     return (
@@ -92,8 +93,8 @@ def allow_or_reject(
 
 def canonical_names(df: DataFrame, aliases: DataFrame, name: str, raw: str, canonical: str) -> DataFrame:
     """Map names to canonical ones; the alias table answers to raw and canonical spelling."""
-    table = aliases.select(F.explode(F.array(raw, canonical)).alias("_alias"), F.col(canonical).alias("canonical_name"))
-    return df.join(table.distinct(), F.col(name) == F.col("_alias"), "left").drop("_alias")
+    table = aliases.select(F.explode(F.array(raw, canonical)).alias(name), F.col(canonical).alias("canonical_name"))
+    return salted_left_join(df, table.distinct(), [name])
 
 
 def carry_over(new: DataFrame, prior: DataFrame, key: str, columns: Mapping[str, object]) -> DataFrame:
@@ -166,17 +167,27 @@ def unauthorized(cited: DataFrame, authorized: DataFrame, key: str) -> DataFrame
     return cited.select(key).distinct().join(authorized.select(key), key, "left_anti")
 
 
-def unseen(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """Distinct new keys that the old table does not hold."""
-    return new.join(old.select(key), key, "left_anti").dropDuplicates([key])
+def unseen(new: DataFrame, old: DataFrame | None, key: str, order: Sequence[Column]) -> DataFrame:
+    """New rows whose key the old table does not hold, the first per key in the given order."""
+    first = ordering.keep_first(new, [key], order)
+    return first if old is None else first.join(old.select(key), key, "left_anti")
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str, salts: int = 16) -> DataFrame:
+def salted_left_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str] | None = None, salts: int = 16
+) -> DataFrame:
     """Left join to a side with one row per key, for keys that may hold a large share of the left rows.
 
-    A side that adaptive execution finds small is broadcast as usual; otherwise
-    the rows of a hot key spread over ``salts`` tasks.
+    Adaptive execution broadcasts a small right side as usual. Otherwise the
+    rows of a hot key spread over ``salts`` tasks by a hash of the ``spread``
+    columns (all columns by default), which gives the same salt on every run.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+
+
+def salted_anti_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str] | None = None) -> DataFrame:
+    """Left rows whose key the right side lacks, for keys that may be hot on the left."""
+    known = right.select(*on).distinct().withColumn("_known", F.lit(True))
+    return salted_left_join(left, known, on, spread).where(F.col("_known").isNull()).drop("_known")

@@ -11,6 +11,7 @@ from evq import schemas, vocab
 from evq.functions import policy
 from evq.functions.records import build_record
 from evq.functions.text import strings, text_or_empty
+from evq.operators import relational
 
 
 def _legacy_evidence(url: Column, observed_at: Column, quote: Column) -> Column:
@@ -58,5 +59,5 @@ def drifted(rows: DataFrame, authoritative: DataFrame, firm: str, person: str) -
     key = lambda: [F.lower(text_or_empty(firm)).alias("_f"), F.lower(text_or_empty(person)).alias("_p")]
     known = authoritative.select(*key()).distinct()
     marked = rows.select("*", *key())
-    return marked.join(known, ["_f", "_p"], "left_anti").drop("_f", "_p").withColumns({
+    return relational.salted_anti_join(marked, known, ["_f", "_p"]).drop("_f", "_p").withColumns({
         "decision": F.lit("rejected"), "reason_code": F.lit(vocab.STAGE_REASON)})

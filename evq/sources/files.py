@@ -129,13 +129,11 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/version={version}") if version else None
 
 
-def append_unseen(new: DataFrame, path: str, key: str) -> None:
-    """Append only rows whose key the table does not hold yet, one per key."""
+def append_unseen(new: DataFrame, path: str, key: str, order: Sequence[Column]) -> None:
+    """Append only rows whose key the table does not hold yet: the first per key in the given order."""
     spark = new.sparkSession
-    fresh = new.dropDuplicates([key])
-    if exists(spark, path):
-        fresh = relational.unseen(new, spark.read.parquet(path), key)
-    fresh.write.mode("append").parquet(path)
+    old = spark.read.parquet(path) if exists(spark, path) else None
+    relational.unseen(new, old, key, order).write.mode("append").parquet(path)
 
 
 def write_split(kept: DataFrame, rejected: DataFrame, kept_path: str, rejected_path: str) -> None:

@@ -87,7 +87,8 @@ def test_page_bounds(spark):
 
 def test_salted_join_keeps_every_row(skewed, spark):
     right = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, w long")
-    got = relational.salted_left_join(skewed, right, ["k"], "id", salts=4)
+    got = relational.salted_left_join(skewed, right, ["k"], ["id"], salts=4)
+    assert relational.salted_anti_join(skewed, right, ["k"]).count() == skewed.where("k not in ('hot', 'k0')").count()
     assert got.count() == 9000 and got.where("w = 1").count() == 6000
 
 
