@@ -24,12 +24,17 @@ def test_compound_filter_and_aggregate(frame):
     assert page[0].record_id == golden()["record_id"] and page[0].routes[0].value == "jane.smith@example.com"
 
 
-@pytest.mark.parametrize(("filters", "expected"), [
-    ({"route_type": "email"}, 1), ({"route_type": "linkedin"}, 0), ({"has_email": False}, 0), ({"country": "united states"}, 1),
-    ({"firm_type": "multi_family_office"}, 1), ({"role_class": "other"}, 0), ({"intelligence_kind": "sector"}, 1),
-    ({"source_class": "association_directory"}, 1), ({"trust_state": "stale"}, 0), ({"firm_name": "EXAMPLE"}, 1)])
-def test_filters(frame, filters, expected):
-    assert run(frame, RetrievalQuery(filters=filters), golden())[2].matched_record_count == expected
+def test_filters_and_aggregates(frame):
+    corpus = retrieval.authorized(frame(golden()))
+    cases = [
+        ({"route_type": "email"}, 1), ({"route_type": "linkedin"}, 0), ({"has_email": False}, 0), ({"country": "united states"}, 1),
+        ({"firm_type": "multi_family_office"}, 1), ({"role_class": "other"}, 0), ({"intelligence_kind": "sector"}, 1),
+        ({"source_class": "association_directory"}, 1), ({"trust_state": "stale"}, 0), ({"firm_name": "EXAMPLE"}, 1)]
+    for filters, expected in cases:
+        assert corpus.where(retrieval.match_condition(RetrievalQuery(filters=filters))).count() == expected, filters
+    for kind, expected in {
+        "source_mix": {"association_directory": 1}, "route_mix": {"email": 1}, "countries": {"United States": 1}, "records": {"records": 1}}.items():
+        assert {r.key: r.n for r in retrieval.aggregate(corpus, kind).collect()} == expected
 
 
 def test_bad_queries_are_refused_before_a_plan_exists():
@@ -40,12 +45,6 @@ def test_bad_queries_are_refused_before_a_plan_exists():
             bad.validate()
 
 
-def test_aggregates(frame):
-    for kind, expected in {
-        "source_mix": {"association_directory": 1}, "route_mix": {"email": 1}, "countries": {"United States": 1}, "records": {"records": 1}}.items():
-        assert run(frame, RetrievalQuery(aggregate=kind), golden())[1] == expected
-
-
 def test_only_authorized_records_are_read(frame):
     stale = golden()
     stale["freshness"]["trust_state"] = "stale"
@@ -60,12 +59,13 @@ def test_an_invalid_first_copy_does_not_hide_a_valid_second(frame):
 
 def test_rank_and_pages(frame):
     records = [golden(person=p) for p in ("Jane Smith", "Mary Jones", "Anna Lee")]
-    page, _, _ = run(frame, RetrievalQuery(terms=("jones", "managing")), *records)
+    corpus = retrieval.authorized(frame(*records))
+    page = retrieval.retrieve(corpus, RetrievalQuery(terms=("jones", "managing")))[0].collect()
     assert page[0].person == "Mary Jones" and page[0].score == 3 + 2 + 3
     assert [r.score for r in page[1:]] == [3, 3]
     assert [r.record_id for r in page[1:]] == sorted(r.record_id for r in page[1:])
-    second, _, counts = run(frame, RetrievalQuery(limit=2, offset=2), *records)
-    assert len(second) == 1 and counts.returned_record_count == 1
+    second, _, counts = retrieval.retrieve(corpus, RetrievalQuery(limit=2, offset=2))
+    assert second.count() == 1 and counts.first().returned_record_count == 1
 
 
 def test_fit_needs_published_evidence(frame):
