@@ -83,7 +83,8 @@ def post_check(answers: DataFrame, values: DataFrame, keys: Sequence[str], match
     """
     said = mentions(answers.select(*keys, text), kinds, text).withColumn("_low", F.lower("value")).drop(text)
     known = values.withColumnRenamed("value", "_low").withColumn("_known", F.lit(True))
-    joined = relational.salted_left_join(said, known, [*match, "kind", "_low"], keys)
+    # The evidence side can be large too, so few copies of it are made.
+    joined = relational.salted_left_join(said, known, [*match, "kind", "_low"], keys, salts=4)
     ok = policy.yes(F.col("_known") if supported is None else F.col("_known") & supported)
     offending = F.when(~ok, F.struct("kind_no", "pos", F.concat_ws(":", "kind", "value").alias("violation")))
     checked = joined.groupBy(*keys).agg(F.min(offending).alias("_first"), F.count(F.lit(1)).alias("mentions"))
