@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import ngram_lm
+from evq.llm import ngram_lm, packing, sentencepiece_codec, simple8b
+from evq.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,20 @@ def op1_lm_scoring(spark, sf_dir):
     scored = ngram_lm.score(docs, model, keep=("held_out",))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                          "base_score", "score", "perplexity")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_simple8b")
+def op9_simple8b(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    simple8b.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return simple8b.read(spark, path)
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
