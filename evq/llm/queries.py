@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import ngram_lm, packing, sentencepiece_codec, simple8b
+from evq.llm import minhash, ngram_lm, packing, sentencepiece_codec, simple8b
 from evq.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op9_simple8b(spark, sf_dir):
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark, sf_dir):
+    return minhash.groups(table(spark, sf_dir, "documents"))
