@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import minhash, ngram_lm, packing, sentencepiece_codec, simple8b
+from evq.llm import minhash, ngram_lm, packing, quality, secrets, sentencepiece_codec, simple8b
 from evq.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,51 @@ def op3_best_fit_packing(spark, sf_dir):
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_scans")
+def op10_secret_scans(spark, sf_dir):
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    counts = [secrets.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed(F.col("spans"), secrets.BASE), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, words[i:i + 4] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 5) AS t(k) GROUP BY doc_id),
+m AS (
+    SELECT w.doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+f AS (
+    SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, n_symbols > n_words AS symbols,
+           2 * n_dup_lines > n_lines AS "lines", (word_chars > 15 * n_words OR word_chars < 2 * n_words) AS "length" FROM m),
+h AS (
+    SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS bad
+    FROM (SELECT source, base_failed OR symbols OR "lines" OR "length" AS "any", symbols, "lines", "length" FROM f)
+    UNPIVOT (failed FOR rule IN ("any", symbols, "lines", "length")) GROUP BY source, rule),
+t AS (SELECT rule, count(*) AS k, sum(n) AS n, sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) AS square FROM h GROUP BY rule),
+v AS (SELECT rule, n, mean, mean * (1 - mean) AS inside, square - mean * mean - mean * (1 - mean) * k / n AS outside FROM t),
+p AS (SELECT rule, mean, CASE WHEN inside = 0 OR outside <= inside / (n + 1) THEN n ELSE greatest(inside / outside - 1, 1) END AS strength FROM v),
+s AS (
+    SELECT source, max(rate) FILTER (WHERE rule = 'any') >= 0.5 AS bad_host, max(rate) FILTER (WHERE rule = 'symbols') >= 0.02 AS h_symbols,
+           max(rate) FILTER (WHERE rule = 'lines') >= 0.02 AS h_lines, max(rate) FILTER (WHERE rule = 'length') >= 0.02 AS h_length
+    FROM (SELECT h.source, h.rule, (bad + mean * strength) / (h.n + strength) AS rate FROM h JOIN p ON h.rule = p.rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR bad_host OR symbols AND h_symbols OR "lines" AND h_lines OR "length" AND h_length) AS kept
+FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
+"""
+
+
+@query("op2_quality_rules", QUALITY_SQL)
+def op2_quality_rules(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select("doc_id", *(F.col(f"__q.{n}").alias(n) for n in names), F.col("__q_kept").alias("kept"))
