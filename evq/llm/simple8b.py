@@ -182,7 +182,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = F
     # One row per shard, of which there are as many as the writing job had tasks.
     sizes = sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     before = np.cumsum([0, *(r["n"] for r in sizes)])
-    shards = spark.createDataFrame([(r["shard"], int(b)) for r, b in zip(sizes, before, strict=False)], "shard int, before long")
+    starts = spark.sparkContext.broadcast({r["shard"]: int(b) for r, b in zip(sizes, before, strict=False)})
     names = ["key", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
@@ -192,12 +192,12 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = F
                 ends = np.cumsum(counts)
                 plain = ids.astype("<u4")
                 crc = [zlib.crc32(plain[a:b].tobytes()) for a, b in zip(ends - counts, ends, strict=True)]
-                columns = [pa.array(keys, pa.int64()), pa.array(row["before"] + row["first"] + ends - counts, pa.int64()),
+                columns = [pa.array(keys, pa.int64()), pa.array(starts.value[row["shard"]] + row["first"] + ends - counts, pa.int64()),
                            pa.array(counts, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), pa.array(ids.astype(np.int64))).cast(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "key long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    found = files.join(shards, "shard").select("first", "data", "before").mapInArrow(run, schema)
+    found = files.select("shard", "first", "data").mapInArrow(run, schema)
     return found.withColumnRenamed("key", key)

@@ -2,13 +2,15 @@
 
 Both tokenizer files of this kind split a text by a pattern before they merge, and no split crosses a single space that
 stands between two other characters. Such a space is therefore a safe cut: the ids of a text are the ids of its cuts in
-a row, and a worker keeps the ids of cuts it has met. The memory for that is bounded; what falls out is encoded again.
+a row, and a worker keeps the ids of cuts it has met. Between a Latin letter and a comma or stop that ends a cut is a split
+too, so "word", "word," and "word." are encoded once. The memory is bounded; what falls out is encoded again.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,9 +20,10 @@ import pyarrow as pa
 from evq.llm.flat import slices, text_bytes
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r" \s|\s ")
+BLANK = re.compile(r"[^\S \n]")
+TAILS = ",."
 #: Pieces that a worker keeps, and the longest that it keeps.
-KEPT, LONGEST = 600_000, 64
+KEPT, LONGEST = 800_000, 64
 
 
 class PieceMemory:
@@ -52,15 +55,48 @@ class Tokenizer:
 
         self.backend = Backend.from_file(path)
         self.backend.encode_special_tokens = True
-        self.heads = PieceMemory(lambda new: self._ids(new))
-        self.rest = PieceMemory(lambda new: self._ids([f" {x}" for x in new]))
+        self.heads = PieceMemory(self._ids)
+        self.rest = PieceMemory(self._rest)
+        self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
+        # Ids that end a word, or else ids that begin one after a space.
+        vocabulary = self.backend.get_vocab()
+        self.ends = any(t.endswith("</w>") for t in vocabulary)
+        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marks[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("Ġ"))]] = True
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = self.backend.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32).tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in self.backend.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str], together: int = 256) -> list[bytes]:
+        """Ids of words of Latin letters after a space: encoded as lines of words and cut at the marks."""
+        lines = [words[i:i + together] for i in range(0, len(words), together)]
+        out: list[bytes] = []
+        for line, found in zip(lines, self.backend.encode_batch_fast([f" {' '.join(x)}" for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.marks[ids])
+            cuts = [0, *(cuts + 1).tolist()] if self.ends else [*cuts.tolist(), len(ids)]
+            if len(cuts) != len(line) + 1 or cuts[0] or cuts[-1] != len(ids):
+                out += self._ids([f" {x}" for x in line])
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a:4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _rest(self, new: list[str]) -> list[bytes]:
+        known, cores = self.rest.known, [x[:-1] if x[-1:] in self.tails and x[-2:-1].isalpha() and x[-2] <= "ɏ" else x for x in new]
+        fresh = {x for x in cores if x not in known}
+        words = [x for x in fresh if x.isalpha() and max(x) <= "ɏ"]
+        other = list(fresh.difference(words))
+        found = dict(zip(words, self._words(words), strict=True))
+        found.update(zip(other, self._ids([f" {x}" for x in other]), strict=True))
+        for x, ids in found.items():
+            if len(x) < LONGEST:
+                known[x] = ids
+        whole = [known[c] if c in known else found[c] for c in cores]
+        return [ids if c == x else ids + self.tails[x[-1]] for c, x, ids in zip(cores, new, whole, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
+        pieces = [CUT.split(t) if "  " in t or " \n" in t or "\n " in t or BLANK.search(t) else t.split(" ") for t in texts]
         heads = self.heads.of([p[:1] if p[0] else [] for p in pieces])
         return [a + b for a, b in zip(heads, self.rest.of([p[1:] for p in pieces]), strict=True)]
 
