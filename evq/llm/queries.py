@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import minhash, ngram_lm, packing, quality, secrets, sentencepiece_codec, simple8b
+from evq.llm import licenses, minhash, ngram_lm, packing, pivots, preferences, quality, secrets, sentencepiece_codec, simple8b
 from evq.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,67 @@ def op2_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select("doc_id", *(F.col(f"__q.{n}").alias(n) for n in names), F.col("__q_kept").alias("kept"))
+
+
+VECTOR_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query("op5_pivot_topk", VECTOR_SQL)
+def op5_pivot_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", pivots.quantise(F.col("embedding")).alias("vector"))
+    return pivots.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
+
+
+@query("op4_license_scans")
+def op4_license_scans(spark, sf_dir):
+    return licenses.find(table(spark, sf_dir, "documents"))
+
+
+PREFERENCE_SQL = """
+WITH c AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t
+    FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id),
+p AS (
+    SELECT a.conv_id AS pair_id, a.t AS c, a.t[:len(a.t) // 2] || b.t[len(b.t) // 2 + 1:] AS r
+    FROM c AS a JOIN c AS b ON b.conv_id = xor(a.conv_id, 1)),
+n AS (
+    SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1,
+                       least(len(c), len(r))) AS n FROM p),
+s AS (SELECT pair_id, n, c[:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM n),
+o AS (
+    SELECT pair_id, n, (len(list_filter(c, lambda t: t.role = 'assistant')) > 0 AND len(list_filter(r, lambda t: t.role = 'assistant')) > 0) AS usable,
+           list_transform([p, c, r], lambda x: coalesce(array_to_string(list_transform(
+               x, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '')) AS texts,
+           list_transform([c, r], lambda x: coalesce(array_to_string(list_transform(
+               x, lambda t: (length(t.role) + 13) || ':false,' || (length(t.text) + 11) || ':' || (t.role = 'assistant')::VARCHAR), ','), '')) AS masks
+    FROM s)
+SELECT pair_id, n::INTEGER AS n_prompt_turns, sha256(texts[1]) AS prompt_sha256, sha256(texts[2]) AS chosen_sha256,
+       sha256(texts[3]) AS rejected_sha256, masks[1] AS chosen_mask, masks[2] AS rejected_mask, usable FROM o
+"""
+
+
+@query("op8_preference_formatting", PREFERENCE_SQL)
+def op8_preference_formatting(spark, sf_dir):
+    """Every conversation is the chosen one; the rejected one leaves it half way for the end of its neighbour."""
+    own = preferences.conversations(table(spark, sf_dir, "conversations"))
+    other = own.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("turns").alias("end"))
+    half = F.floor(F.size("turns") / 2).cast("int")
+    after = F.floor(F.size("end") / 2).cast("int")
+    rejected = F.concat(F.slice("turns", F.lit(1), half), F.slice("end", after + 1, F.size("end") - after))
+    pairs = own.join(other, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen_turns"), rejected.alias("rejected_turns"))
+    made = preferences.format_pairs(pairs)
+
+    def runs(c: str):
+        return F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["length"], m["trained"].cast("string"))), ",").alias(c)
+
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    return made.select("pair_id", "n_prompt_turns", *digests, runs("chosen_mask"), runs("rejected_mask"), "usable")
