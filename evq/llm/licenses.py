@@ -1,7 +1,7 @@
 """License texts in documents, found by patience alignment with templates.
 
-A window of the document around a word that names a license, as long as the template and a quarter more on both sides,
-is aligned with the template: words that occur once in both are anchors, their longest increasing subsequence is kept,
+A window of the document around a word that names a license, as long as the template, and one that is a quarter longer on
+both sides, are aligned with the template (the shorter one tells copies that follow each other apart): words that occur once in both are anchors, their longest increasing subsequence is kept,
 and the gaps between anchors are aligned in the same way, after equal words at their ends. The coverage is the share of
 template words that are matched. A match is reported from ``least`` on; of overlapping matches the one with more matched
 words stays, then the higher coverage, the earlier start and the first name.
@@ -117,14 +117,17 @@ def matches(text: str, templates: list[tuple[str, list[str], list[int]]], least:
             for seed in seeds:
                 if words[hit] != own[seed]:
                     continue
-                first = max(0, hit - seed - slack)
-                if first in seen:
+                if hit - seed in seen:
                     continue
-                seen.add(first)
-                pairs = align(words[first:hit - seed + len(own) + slack], own)
-                if len(pairs) >= least * len(own):
-                    a, b = places[first + pairs[0][0]][0], places[first + pairs[-1][0]][1]
-                    found.append((a, b, name, len(pairs), len(pairs) / len(own)))
+                seen.add(hit - seed)
+                for more in (0, slack):
+                    first = max(0, hit - seed - more)
+                    pairs = align(words[first:hit - seed + len(own) + more], own)
+                    if len(pairs) >= least * len(own):
+                        a, b = places[first + pairs[0][0]][0], places[first + pairs[-1][0]][1]
+                        found.append((a, b, name, len(pairs), len(pairs) / len(own)))
+                    if len(pairs) == len(own):
+                        break
     chosen: list[tuple[int, int, str, int, float]] = []
     taken: list[tuple[int, int]] = []  # kept spans by start; they don't overlap
     for m in sorted(set(found), key=lambda m: (-m[3], -m[4], m[0], m[2])):
