@@ -7,10 +7,13 @@ empty set and no links. Sets are kept as 64-bit hashes of their shingles.
    the hash range; an empty slot takes the value of a slot drawn by a hash of (slot, attempt), the first that is not empty
    (Shrivastava 2017). Texts with equal sets form a class; only one text of a class goes on.
 2. Slots are joined to bands, classes with an equal band share a bucket.
-3. In a bucket, edges go from one member, the centre, to the others: as many edges as members. An edge is confirmed on
-   the full sets. Members that a confirmed link already joins need no further edge. While a bucket still has members of
-   different components, another member becomes the centre: each round has at most one edge per member and bucket, and
-   no pair is looked at twice, so a bucket of equal texts costs one round and no pair of different texts is lost.
+3. In a bucket, edges form a star: from one member, the leader, to the others, as many edges as members, and each edge is
+   confirmed on the full sets. Members that no confirmed link has joined to a leader of the bucket, through whatever
+   texts, are loose. Of the loose ones some become leaders in their turn, drawn by a hash of bucket and member, and they
+   and as many members drawn from the whole bucket are compared with the loose ones; each round draws twice as many.
+   This ends when no member is loose, so two loose members of a bucket are always compared, and a bucket of mutually
+   near texts costs one star. Pairs of members that were both joined to leaders are compared only if one is drawn; two
+   texts over the limit share a dozen buckets on average, each with draws of its own.
 4. Components of the confirmed links come from alternating large and small stars (Kiveris et al. 2014).
 
 Every table of a round is written to the shared folder. Nothing is collected but sums.
@@ -142,17 +145,17 @@ def components(links: DataFrame) -> DataFrame:
         return pairs.join(low, "u")
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, state = materialize(edges, "stars"), None
+    edges = materialize(edges, "stars")
     while True:
+        # Done when every node points to one other that points nowhere.
+        out = edges.groupBy("u").agg(F.count("*").alias("n"))
+        if out.where("n > 1").select("u").union(edges.join(out.select(F.col("u").alias("v")), "v", "left_semi").select("u")).isEmpty():
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "stars")
-        seen = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if seen == state:
-            break
-        state = seen
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
 
@@ -187,35 +190,41 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     same = own.where("n_shingles > 0 and key is not null").join(classes.select("digest", "node"), "digest")
     many = same.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     links = materialize(same.join(many.select("key", "a"), "key").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "links")
-    labels = components(links)
-    centres, looked_at, turn = members.where("node = centre"), None, 0
+
+    def edges(of: DataFrame) -> DataFrame:
+        return of.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+    pairs = materialize(edges(members.where("node <> centre")), "pairs")
+    leaders = members.where("node = centre").select("bucket", "node")
+    looked_at, share, entries = pairs, 1, 0
     while True:
-        # Buckets whose members are not yet all in one component.
-        known = members.select("bucket", "node", "n", "m").join(labels, "node", "left")
-        known = known.withColumn("component", F.coalesce("component", "node"))
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        known = materialize(known.join(mixed, "bucket", "left_semi"), "mixed")
-        if turn:
-            centres = known.where(F.pmod(F.xxhash64("bucket", "node"), F.col("m")) < F.lit(2**turn))
-        middle = centres.select("bucket", F.col("node").alias("c"), F.col("n").alias("cn"))
-        if not turn:
-            middle = middle.join(mixed, "bucket", "left_semi")
-        middle = middle.join(labels.withColumnRenamed("node", "c").withColumnRenamed("component", "cc"), "c", "left")
-        pairs = known.join(middle, "bucket").where(F.col("component") != F.coalesce("cc", "c"))
-        pairs = pairs.where((100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (F.col("node") != F.col("c")))
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        if looked_at is not None:
-            pairs = pairs.join(looked_at, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        looked_at = pairs if looked_at is None else looked_at.union(pairs)
-        found = materialize(confirmed(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = materialize(components(links), "labels")
-        largest = known.agg(F.max("m")).first()[0] or 0
-        if 2**turn >= largest:  # every member has been a centre
+        links = links.union(materialize(confirmed(pairs, sets, percent), "links"))
+        labels = materialize(components(links), "labels")
+
+        def labelled(of: DataFrame, labels=labels) -> DataFrame:
+            return of.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+        # Members of a bucket that no confirmed link joins to one of its leaders.
+        led = labelled(leaders).select("bucket", "component").distinct()
+        known = labelled(members.select("bucket", "node", "n", "m"))
+        loose = materialize(known.join(led, ["bucket", "component"], "left_anti"), "loose")
+        sizes = loose.groupBy("bucket").agg(F.count("*").alias("k"))
+        largest, left = sizes.agg(F.max("k"), F.sum(F.col("k") * F.col("k"))).first()
+        if not largest:
             break
-        turn += 1
+        # Twice as many new leaders each round; all loose members once that costs no more than the first round.
+        entries = entries or members.count()
+        share = largest if left <= 2 * entries else 2 * share
+        drawn = F.xxhash64("bucket", "node")
+        new = materialize(loose.join(sizes, "bucket").where(F.pmod(drawn, "k") < share).drop("k"), "leaders")
+        others = known.join(sizes, "bucket").where(F.pmod(drawn, "m") < F.least(F.lit(share), "k")).drop("k")
+        centres = new.union(others.select(new.columns)).select(
+            "bucket", F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))
+        near = loose.join(centres, "bucket").where(
+            (F.col("component") != F.col("centre_component"))
+            & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")))
+        pairs = materialize(edges(near).join(looked_at, ["a", "b"], "left_anti"), "pairs")
+        looked_at, leaders = looked_at.union(pairs), leaders.union(new.select("bucket", "node"))
 
     named = own.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     group = F.when(F.col("key").isNotNull(), F.coalesce("component", "node", "key"))
