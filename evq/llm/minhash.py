@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evq.llm.flat import expand, join_hash, mix, slices, text_bytes, word_hashes
 from evq.session import materialize

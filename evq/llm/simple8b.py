@@ -33,6 +33,16 @@ HEAD = struct.Struct("<3sBIQQQQ")
 _U = np.uint64
 
 
+SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs; one more at most for values that a double rounds up."""
+    if len(values) and int(values.max()) < len(SHORT):
+        return SHORT[values]
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block and the end, places of escapes, their values) of unsigned integers."""
     values = np.asarray(ids, dtype=_U).copy()
@@ -44,21 +54,24 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     if not blocks:
         return np.zeros(0, _U), np.zeros(1, np.int64), escaped, escapes
     pad = int(COUNTS[0])
-    grid = np.zeros((blocks, block + pad), _U)
+    grid = np.zeros((blocks, block + pad), _U)  # zeros behind every block
     whole = np.zeros(blocks * block, _U)
     whole[:n] = values
     grid[:, :block] = whole.reshape(blocks, block)
-    width = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)
+    width = np.zeros(grid.shape, np.uint8)
+    width[:, :block] = widths(whole).reshape(blocks, block)
     # Maximum width over windows of 1, 2, 4, ... ids; a window of any length is two of them.
     spans = [width]
     while 2 ** len(spans) <= pad:
         half, last = 2 ** (len(spans) - 1), spans[-1]
         spans.append(np.maximum(last[:, :-half], last[:, half:]))
+    least = [int(x[:, :block].min()) for x in spans]
     chosen = np.full((blocks, block), 15, np.uint8)
     for s in range(14, -1, -1):
         count, k = int(COUNTS[s]), int(COUNTS[s]).bit_length() - 1
-        most = np.maximum(spans[k][:, :block], spans[k][:, count - 2**k:count - 2**k + block])
-        chosen[most <= BITS[s]] = s
+        if least[k] <= BITS[s]:
+            most = np.maximum(spans[k][:, :block], spans[k][:, count - 2**k:count - 2**k + block])
+            np.copyto(chosen, s, where=most <= BITS[s])
     lengths = np.full(blocks, block)
     lengths[-1] = n - (blocks - 1) * block
     row, at = np.arange(blocks), np.zeros(blocks, np.int64)
@@ -75,10 +88,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     order = np.argsort(rows, kind="stable")
     rows, places, selectors = rows[order], places[order], selectors[order]
     words = selectors.astype(_U) << _U(60)
+    flat, first = grid.reshape(-1), rows * (block + pad) + places
     for s in range(2, 16):
         here = np.flatnonzero(selectors == s)
-        for k in range(int(COUNTS[s]) if len(here) else 0):
-            words[here] |= grid[rows[here], places[here] + k] << _U(k * BITS[s])
+        if len(here):
+            packed, start = words[here], first[here]
+            for k in range(int(COUNTS[s])):
+                packed |= flat[start + k] << _U(k * BITS[s])
+            words[here] = packed
     return words, np.searchsorted(rows, np.arange(blocks + 1)), escaped, escapes
 
 

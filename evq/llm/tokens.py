@@ -23,7 +23,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 BLANK = re.compile(r"[^\S \n]")
 TAILS = ",."
 #: Pieces that a worker keeps, and the longest that it keeps.
-KEPT, LONGEST = 800_000, 64
+KEPT, LONGEST = 1_200_000, 64
 
 
 class PieceMemory:
@@ -83,9 +83,10 @@ class Tokenizer:
         return out
 
     def _rest(self, new: list[str]) -> list[bytes]:
-        known, cores = self.rest.known, [x[:-1] if x[-1:] in self.tails and x[-2:-1].isalpha() and x[-2] <= "ɏ" else x for x in new]
-        fresh = {x for x in cores if x not in known}
-        words = [x for x in fresh if x.isalpha() and max(x) <= "ɏ"]
+        known = self.rest.known
+        cores = [x[:-1] if x[-1:] in self.tails and x[-2:-1].isalpha() and x[-2] <= "ɏ" else x for x in new]
+        fresh = set(cores).difference(known)
+        words = [x for x in fresh if x.isalpha() and (x.isascii() or max(x) <= "ɏ")]
         other = list(fresh.difference(words))
         found = dict(zip(words, self._words(words), strict=True))
         found.update(zip(other, self._ids([f" {x}" for x in other]), strict=True))
