@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evq.bindings.registry import query, sql_norm
 from evq.functions import keys, text as tx
-from evq.operators import ordering, relational as rel
+from evq.operators import ordering
 
 
 def text_key():
@@ -98,7 +98,7 @@ SELECT doc_id FROM documents WHERE {SQL_TEXT_KEY} || lang NOT IN (
 def anti_identity(t):
     docs = tx.pin(t("documents").select("doc_id", "lang", "text"), identity=text_key()).drop("text")
     trusted = docs.join(t("labels").where(F.col("quality") == 1), "doc_id", "left_semi").select("identity", "lang").distinct()
-    return rel.salted_anti_join(docs, trusted, ["identity", "lang"], ["doc_id"]).select("doc_id")
+    return docs.join(trusted, ["identity", "lang"], "left_anti").select("doc_id")
 
 
 @query("token_sets", f"""
@@ -111,7 +111,7 @@ def token_sets(t):
     words = lambda: tx.tokens(F.lower("text"))
     docs = t("documents").select("doc_id", F.explode(F.array_distinct(words())).alias("token"))
     bench = t("benchmark").select(F.explode(words()).alias("token")).distinct()
-    marked = rel.salted_left_join(docs, bench.withColumn("_in", F.lit(True)), ["token"], ["doc_id"])
+    marked = docs.join(bench.withColumn("_in", F.lit(True)), "token", "left")
     return marked.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("distinct_tokens"), F.count("_in").alias("shared"),
         (F.count(F.lit(1)) - F.count("_in")).alias("own"))

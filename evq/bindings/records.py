@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evq.bindings.registry import query, spread
+from evq.bindings.registry import query
 from evq.functions import policy, text as tx
 from evq.functions.records import build_evidence, build_record, contact_columns, flat_release_columns
 from evq.operators import retrieval, state
@@ -54,7 +54,7 @@ def records(t, orders=None):
     gathered = routes.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.array_sort(F.collect_list(F.struct("o_orderstatus", "o_orderpriority", "route")))["route"].alias("routes"),
         F.max("day").alias("last_day"))
-    base = spread(t("customer"), "c_custkey").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(gathered, "c_custkey", "left")
+    base = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(gathered, "c_custkey", "left")
     balance, segment, nation = F.col("c_acctbal"), F.col("c_mktsegment"), F.col("c_nationkey")
     official = F.lit("official_firm_site")
     proof = lambda quote, supports: build_evidence(
@@ -120,7 +120,7 @@ def late(t):
 
 def stored(t, orders=None):
     """The records written out, as every later step finds them."""
-    return spread(materialize(records(t, orders), "records"), "c_custkey")
+    return materialize(records(t, orders), "records")
 
 
 def corpus(t):
@@ -131,7 +131,7 @@ def corpus(t):
     """
     old = records(t, early(t)).withColumn("seq", F.col("c_custkey") * 2 + 1)
     new = records(t, late(t)).withColumn("seq", F.col("c_custkey") * 2)
-    both = spread(materialize(new.unionByName(old), "observed"), "seq")
+    both = materialize(new.unionByName(old), "observed")
     return retrieval.authorized(both)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from evq.bindings.registry import query, sql_host
 from evq.bindings.texts import _sql_html_text
 from evq.functions import policy, text as tx
-from evq.operators import ordering, relational as rel, state
+from evq.operators import relational as rel, state
 from evq.plans import migration, release
 from evq.session import scratch_path
 from evq.sources import files
@@ -104,7 +104,7 @@ def mail_domain_loss(t):
     emails = t("documents").select("doc_id", "lang", F.explode(tx.emails("text")).alias("email")).withColumn(
         "domain", tx.email_domain("email"))
     known = emails.where(F.col("lang") == "en").select("domain").distinct()
-    return rel.salted_anti_join(emails, known, ["domain"], ["doc_id", "email"]).select("doc_id", "email", F.lit("email_bounced").alias("check_type"))
+    return emails.join(known, "domain", "left_anti").select("doc_id", "email", F.lit("email_bounced").alias("check_type"))
 
 
 @query("cycle_rollup", """

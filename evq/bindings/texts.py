@@ -302,11 +302,89 @@ def best_link(t):
     return web.best_link(t("pages"), LINK_HINTS).select("page_id", "link_score", "best_link")
 
 
-@query("people_from_pages")
+# Card pages of suppliers, built from their keys by a rule: heading cards, block cards, and pages without a person.
+CARD_FIRST = ("Jane", "Mary", "John", "Ann", "Peter")
+CARD_LAST = ("Smith", "Jones", "Doe", "Lee", "Brown")
+CARD_TITLES = ("Managing Partner", "Chief Investment Officer", "Investment Director")
+
+
+def _pick(values, key):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+
+
+def _sql_pick(values, key):
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({key}) % {len(values)} + 1]"
+
+
+def card_pages(t):
+    k = F.col("s_suppkey")
+
+    def card(n):
+        name = F.concat(_pick(CARD_FIRST, k + n), F.lit(" "), _pick(CARD_LAST, k + 2 * n + 1))
+        mail = F.concat(F.lower(F.substring(_pick(CARD_FIRST, k + n), 1, 1)), F.lit("@f"), k, F.lit(".co"))
+        heading = F.concat(
+            F.lit("<article><h3>"), name, F.lit("</h3><p>"), _pick(CARD_TITLES, k + n), F.lit('</p><a href="mailto:'), mail,
+            F.lit('?subject=x">Email</a><a href="https://www.linkedin.com/in/p'), k + n, F.lit('/?t=1">Profile</a></article>'))
+        block = F.concat(F.lit("<div>"), name, F.lit(", "), _pick(CARD_TITLES, k + n), F.lit(". "), mail, F.lit("</div>\n"))
+        return heading, block
+
+    (h0, b0), (h1, b1) = card(0), card(1)
+    html = F.when(k % 3 == 0, F.concat(F.lit("<body><nav><a href='/x'>Home</a></nav><section>"), b0, b1, F.lit("</section></body>"))).when(
+        k % 3 == 1, F.concat(F.lit("<body>"), h0, h1, F.lit("</body>"))).otherwise(F.concat(
+            F.lit("<body><article><h3>Our Office</h3><p>"), k, F.lit("</p><a href='mailto:office@f"), k, F.lit(".co'>Email</a></article></body>")))
+    url = F.concat(F.lit("https://www.f"), k, F.lit(".co/team"))
+    return t("supplier").select(k.alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+CARD_SQL = f"""
+WITH c AS (SELECT s_suppkey AS page_id, n, {_sql_pick(CARD_FIRST, 's_suppkey + n')} || ' ' || {_sql_pick(CARD_LAST, 's_suppkey + 2 * n + 1')} AS name,
+                  {_sql_pick(CARD_TITLES, 's_suppkey + n')} AS title, lower({_sql_pick(CARD_FIRST, 's_suppkey + n')}[1]) || '@f' || s_suppkey || '.co' AS mail
+           FROM supplier, range(0, 2) AS r(n))
+"""
+
+
+@query("people_from_pages", CARD_SQL + """
+SELECT page_id, name, title, mail AS emails, CASE WHEN page_id % 3 = 1 THEN 'https://www.linkedin.com/in/p' || (page_id + n) || '/' ELSE '' END AS linkedin,
+       CASE WHEN page_id % 3 = 1 THEN 'heading_tag_dom' ELSE 'card_block_fallback' END AS strategy
+FROM c WHERE page_id % 3 < 2
+""")
 def people_from_pages(t):
-    return web.people(t("pages"), ["page_id", "url"]).select(
-        "page_id", "name", "title", F.array_join("emails_on_page", "|").alias("emails"), "linkedin_on_page",
-        "extraction_strategy")
+    return web.people(card_pages(t), ["page_id", "url"]).select(
+        "page_id", "name", "title", F.array_join("emails_on_page", "|").alias("emails"), F.col("linkedin_on_page").alias("linkedin"),
+        F.col("extraction_strategy").alias("strategy"))
+
+
+@query("page_routes", CARD_SQL + """
+, r AS (
+    SELECT page_id, 2 * n AS route_pos, 'email' AS route_type, mail AS route_value, name, title FROM c WHERE page_id % 3 = 1
+    UNION ALL
+    SELECT page_id, 2 * n + 1, 'linkedin', 'https://www.linkedin.com/in/p' || (page_id + n) || '/', name, title FROM c WHERE page_id % 3 = 1
+    UNION ALL
+    SELECT page_id, 0, 'email', 'office@f' || page_id || '.co', '', '' FROM c WHERE page_id % 3 = 2 AND n = 0)
+SELECT page_id, route_pos::INTEGER AS route_pos, route_type, route_value, name, title,
+       CASE title WHEN '' THEN '' WHEN 'Managing Partner' THEN 'partner_or_principal' ELSE 'investment_decision_maker' END AS role_class,
+       CASE WHEN title = '' THEN 'explicit_name_or_decision_title_missing'
+            WHEN route_type = 'email' AND page_id % 4 = 1 THEN 'email_domain_not_official_site' END AS reason
+FROM r
+""")
+def page_routes(t):
+    homepage = F.when(F.col("page_id") % 4 == 1, F.lit("https://other.org/")).otherwise(F.col("url"))
+    return web.contact_routes(card_pages(t), ["page_id"], homepage).select(
+        "page_id", "route_pos", "route_type", "route_value", "name", "title", "role_class", "reason")
+
+
+@query("outside_links", """
+SELECT s_suppkey AS page_id, 'https://acme' || s_suppkey || '.com' AS href, 'Acme Partners' AS label,
+       'Acme Partners is a multi-family office' AS context, 'Acme Partners' AS name
+FROM supplier WHERE s_suppkey % 4 <> 3
+""")
+def outside_links(t):
+    k = F.col("s_suppkey")
+    host = F.when(k % 4 == 3, F.lit("firm")).otherwise(F.concat(F.lit("acme"), k))
+    html = F.concat(F.lit('<ul><li><a href="https://'), host, F.lit('.com">Acme Partners</a> is a multi-family office</li>'
+                    '<li><a href="/own">Own family office</a></li><li><a href="https://shop.com">Shop</a> sells</li></ul>'))
+    pages = t("supplier").select(k.alias("page_id"), F.lit("https://firm.com/list").alias("url"), html.alias("html"))
+    return web.directory_links(pages, ["page_id"]).select("page_id", "href", "label", "context", "name")
 
 
 @query("page_headings", rf"""
@@ -458,7 +536,7 @@ def tier_matrix(t):
     pages = t("pages").select("page_id", tx.host_of("url").alias("host"), F.regexp_extract("html", TITLE, 1).alias("title"))
     known = rel.distribution(pages, ["host"]).where(F.col("n") >= 3).select(
         "host", F.concat(F.lit("Known "), "host").alias("known_name"))
-    joined = rel.salted_left_join(pages, known, ["host"], ["page_id"])
+    joined = pages.join(known, "host", "left")
     tier = policy.verification_tier(tx.token_overlap("host", "title"), F.col("known_name").isNotNull())
     return joined.select("page_id", "known_name", tier["tier"].alias("tier"), tier["notes"].alias("notes"))
 

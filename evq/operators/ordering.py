@@ -3,9 +3,9 @@
 A plain ranking window puts a whole key into one task. Two ways around it are
 used here. When only the first n rows per key are wanted, the filter on
 ``row_number`` lets Spark cut every map task to n rows per key before the
-shuffle. When every row needs its rank, the order key is cut into ranges, each
-(key, range) is ranked on its own and the counts of the earlier ranges are
-added.
+shuffle. When every row needs its rank, the rows are sorted into ranges of
+(key, order), each (key, range) is ranked on its own and the counts of the
+earlier ranges are added.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 
 from evq.session import materialize
 
-RANGES = 64
-SAMPLE_ROWS = 4096
-SMALL_ROWS = 200_000  # up to here one task may hold a group
-
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """First n rows per group in a total order, with their rank."""
@@ -63,37 +59,22 @@ def flag_first(df: DataFrame, keys: Sequence[str], seq: str, flag: str = "is_fir
     return df.join(firsts, seq, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _order_ranges(df: DataFrame, order: Sequence[Column], ranges: int, small: int) -> Column | None:
-    """Range number of a row by its order key, or None when the table is small.
+def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows sorted into ranges of (group, order), written once, with the number of their range in ``_range``.
 
-    The bounds come from a hash-ordered sample of fixed size, so they are the
-    same on every run and only balance the work: any bounds give the same ranks.
-    The input is read a few times; write it out first if it is costly.
+    A hot group lies in several ranges. The number of ranges follows the data: it is the session's shuffle partitions,
+    of which adaptive execution merges small neighbours.
     """
-    if df.count() <= small:
-        return None
-    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    keys = df.select(key.alias("k"))
-    rows = [r.k for r in keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS).orderBy("k").collect()]
-    bounds = sorted({i * len(rows) // ranges for i in range(1, ranges)})
-    fields = keys.schema["k"].dataType.fields
-    literals = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(rows[i], fields, strict=True)]) for i in bounds]
-    return F.size(F.filter(F.array(*literals), lambda bound: bound <= key))
-
-
-def split_row_number(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "row_number", ranges: int = RANGES,
-    small: int = SMALL_ROWS,
-) -> DataFrame:
+    cut = df.repartitionByRange(*[F.col(g).asc() for g in group], *order).withColumn("_range", F.spark_partition_id())
+    return materialize(cut, "ranges")
+
+
+def split_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "row_number") -> DataFrame:
     """Exact row_number of every row, with hot groups cut into order ranges.
 
     ``order`` holds ascending key expressions that form a total order in a group.
     """
-    number = _order_ranges(df, order, ranges, small)
-    if number is None:
-        return df.withColumn(out, F.row_number().over(_window(group, order)).cast("bigint"))
-    ranged = df.withColumn("_range", number)
+    ranged = _ranged(df, group, order)
     counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = _window(group, [F.col("_range")]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
@@ -102,15 +83,9 @@ def split_row_number(
     return joined.withColumn(out, (F.col("_inner") + F.col("_offset")).cast("bigint")).drop("_range", "_inner", "_offset")
 
 
-def split_lag(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, out: str, ranges: int = RANGES,
-    small: int = SMALL_ROWS,
-) -> DataFrame:
+def split_lag(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """Previous value within a group, with hot groups cut into order ranges."""
-    number = _order_ranges(df, order, ranges, small)
-    if number is None:
-        return df.withColumn(out, F.lag(value).over(_window(group, order)))
-    ranged = df.withColumn("_range", number).withColumn("_value", value)
+    ranged = _ranged(df, group, order).withColumn("_value", value)
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     tails = ranged.groupBy(*group, "_range").agg(F.max_by(F.struct("_value"), key).alias("_tail"))
     carried = tails.select(*group, "_range", F.lag("_tail").over(_window(group, [F.col("_range")])).alias("_carry"))
@@ -135,7 +110,7 @@ def _join_on_group(left: DataFrame, right: DataFrame, group: Sequence[str], boun
     return left.join(side, on, "inner").drop(*[f"_r_{n}" for n in names])
 
 
-def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_", width: int = 3, out: str = "record_id", small: int = SMALL_ROWS, bounded: bool = False) -> DataFrame:
+def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_", width: int = 3, out: str = "record_id", bounded: bool = False) -> DataFrame:
     """'PREFIX001', 'PREFIX002', ... over a total order of the whole table.
 
     ``bounded``: the rows already come from a limit, so they need no counting.
@@ -143,17 +118,15 @@ def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str = "FOC_",
     if bounded:
         numbered = df.withColumn("_n", F.row_number().over(_window([], order)).cast("bigint"))
     else:
-        numbered = split_row_number(df, [], order, "_n", small=small)
+        numbered = split_row_number(df, [], order, "_n")
     digits = F.greatest(F.length(F.col("_n").cast("string")), F.lit(width))
     return numbered.withColumn(out, F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), digits, F.lit("0")))).drop("_n")
 
 
-def round_robin(df: DataFrame, classes: str, order: Sequence[Column], out: str = "position", small: int = SMALL_ROWS) -> DataFrame:
+def round_robin(df: DataFrame, classes: str, order: Sequence[Column], out: str = "position") -> DataFrame:
     """Fair order: first of every class (classes sorted), then every second, and so on."""
-    ranked = split_row_number(df, [classes], order, "_turn", small=small)
-    if df.count() > small:  # the second ranking reads its input several times
-        ranked = materialize(ranked, "turns")
-    return split_row_number(ranked, [], [F.col("_turn"), F.col(classes)], out, small=small).drop("_turn")
+    ranked = split_row_number(df, [classes], order, "_turn")
+    return split_row_number(ranked, [], [F.col("_turn"), F.col(classes)], out).drop("_turn")
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, max_limit: int = 500) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from evq.functions.text import contains_fold, pin, text_or_empty
 from evq.operators import ordering
 
+# Fixed value: reason of a row that no list mentions.
+DEFAULT_REJECTION = "Not in curated allowlist for final build."
+
 
 # --- filters ---------------------------------------------------------------
 
@@ -44,7 +47,7 @@ def blocklist(df: DataFrame, blocked: DataFrame, key: str, exempt: Column | None
     free = F.col("_blocked").isNull()
     if exempt is not None:
         free = free | F.coalesce(exempt, F.lit(False))
-    return salted_left_join(df, listed, [key]).where(free).drop("_blocked")
+    return df.join(listed, key, "left").where(free).drop("_blocked")
 
 
 # --- joins -----------------------------------------------------------------
@@ -75,13 +78,17 @@ def merge_arms(left: DataFrame, right: DataFrame, key: str, take: Mapping[str, s
 
 def allow_or_reject(
     df: DataFrame, allowed: DataFrame, key: str, rejections: DataFrame | None = None,
-    default: str = "Not in curated allowlist for final build.",
+    default: str = DEFAULT_REJECTION, seq: str | None = None,
 ) -> DataFrame:
-    """Curation decision per row: kept if the key is allowed, else the listed or the default reason."""
-    decided = salted_left_join(df, allowed.select(key).distinct().withColumn("_ok", F.lit(True)), [key], df.columns)
+    """Curation decision per row: kept if the key is allowed, else the listed or the default reason.
+
+    Of several listed reasons of a key the last by ``seq`` counts, without ``seq`` the greatest.
+    """
+    decided = df.join(allowed.select(key).distinct().withColumn("_ok", F.lit(True)), key, "left")
     reason = F.lit(default)
     if rejections is not None:
-        decided = salted_left_join(decided, rejections.select(key, F.col("reason").alias("_listed")), [key], df.columns)
+        listed = rejections.groupBy(key).agg((F.max_by("reason", seq) if seq else F.max("reason")).alias("_listed"))
+        decided = decided.join(listed, key, "left")
         reason = F.coalesce("_listed", F.lit(default))
     kept = F.coalesce("_ok", F.lit(False))
     return (
@@ -91,10 +98,14 @@ def allow_or_reject(
     )
 
 
-def canonical_names(df: DataFrame, aliases: DataFrame, name: str, raw: str, canonical: str) -> DataFrame:
-    """Map names to canonical ones; the alias table answers to raw and canonical spelling."""
-    table = aliases.select(F.explode(F.array(raw, canonical)).alias(name), F.col(canonical).alias("canonical_name"))
-    return salted_left_join(df, table.distinct(), [name])
+def canonical_names(df: DataFrame, aliases: DataFrame, name: str, raw: str, canonical: str, seq: str | None = None) -> DataFrame:
+    """Map names to canonical ones; the alias table answers to raw and canonical spelling.
+
+    Of several canonical names of a spelling the last by ``seq`` counts, without ``seq`` the greatest.
+    """
+    rows = aliases.select(F.explode(F.array(raw, canonical)).alias(name), F.col(canonical).alias("_canonical"), *([seq] if seq else []))
+    table = rows.groupBy(name).agg((F.max_by("_canonical", seq) if seq else F.max("_canonical")).alias("canonical_name"))
+    return df.join(table, name, "left")
 
 
 def carry_over(new: DataFrame, prior: DataFrame, key: str, columns: Mapping[str, object]) -> DataFrame:
@@ -171,23 +182,3 @@ def unseen(new: DataFrame, old: DataFrame | None, key: str, order: Sequence[Colu
     """New rows whose key the old table does not hold, the first per key in the given order."""
     first = ordering.keep_first(new, [key], order)
     return first if old is None else first.join(old.select(key), key, "left_anti")
-
-
-def salted_left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str] | None = None, salts: int = 16
-) -> DataFrame:
-    """Left join to a side with one row per key, for keys that may hold a large share of the left rows.
-
-    Adaptive execution broadcasts a small right side as usual. Otherwise the
-    rows of a hot key spread over ``salts`` tasks by a hash of the ``spread``
-    columns (all columns by default), which gives the same salt on every run.
-    """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
-
-
-def salted_anti_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str] | None = None) -> DataFrame:
-    """Left rows whose key the right side lacks, for keys that may be hot on the left."""
-    known = right.select(*on).distinct().withColumn("_known", F.lit(True))
-    return salted_left_join(left, known, on, spread).where(F.col("_known").isNull()).drop("_known")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +19,7 @@ TITLE_BONUS = 0.15
 
 @dataclass(frozen=True)
 class TopK:
-    """Shape of a top-k search: column names, k, and how many queries one task may hold."""
+    """Shape of a top-k search: column names, k, and the rows of one block of queries, slice of records and tile."""
 
     k: int = 10
     query_id: str = "query_id"
@@ -31,8 +30,9 @@ class TopK:
     title: str | None = None  # record column searched for the phrase
     bonus: float = TITLE_BONUS
     digits: int = 6
-    max_queries: int = 4096
-    slice_rows: int = 100_000
+    block_rows: int = 1024
+    slice_rows: int = 16_384
+    tile_rows: int = 2048
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -47,8 +47,8 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _best(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame:
-    """Top k records of one batch for every query, by (rounded effective distance, record id)."""
+def _tile(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame:
+    """Top k records of one tile for every query, by (rounded effective distance, record id)."""
     distance = 1.0 - _unit(query["vec"]) @ _unit(record["vec"]).T
     effective = distance.copy()
     if spec.phrase:
@@ -67,6 +67,12 @@ def _best(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame
     return _cut(out, spec.k)
 
 
+def _best(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame:
+    """Top k records of a slice for every query; the product exists for one tile at a time."""
+    found = [_tile(query, record[i:i + spec.tile_rows], spec) for i in range(0, len(record), spec.tile_rows)]
+    return _cut(pd.concat(found), spec.k)
+
+
 def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = found.sort_values(["query_id", "effective_distance", "record_id"], kind="stable")
     return ordered[ordered.groupby("query_id").cumcount() < k]
@@ -75,10 +81,8 @@ def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
 def cosine_topk(queries: DataFrame, corpus: DataFrame, spec: TopK) -> DataFrame:
     """The k nearest records of every query: query_id, record_id, distance, effective_distance, rank.
 
-    A query set under ``max_queries`` travels to the corpus: each partition
-    keeps its own best k per query, so only k rows per query and partition are
-    shuffled. A larger set is cut into blocks that meet slices of the corpus by
-    key; each task again keeps only its best k.
+    Blocks of queries meet slices of the corpus by key; each task holds one block and one slice, works through the slice
+    in tiles and keeps only its best k, so memory is bounded and k rows per query and slice are shuffled.
     """
     q = queries.select(
         F.col(spec.query_id).alias("id"), F.col(spec.query_vec).alias("vec"),
@@ -89,35 +93,14 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, spec: TopK) -> DataFrame:
     schema = (
         f"query_id {q.schema['id'].dataType.simpleString()}, record_id {c.schema['id'].dataType.simpleString()}, "
         "distance double, effective_distance double")
-    small = q.limit(spec.max_queries + 1).toPandas()
-    if len(small) <= spec.max_queries:
-        partial = _search_broadcast(small, c, spec, schema)
-    else:
-        partial = _search_blocks(q, c, spec, schema)
+    partial = _search_blocks(q, c, spec, schema)
     order = Window.partitionBy("query_id").orderBy("effective_distance", "record_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).withColumn(
         "rank", F.col("rank").cast("bigint"))
 
 
-def _search_broadcast(queries: pd.DataFrame, corpus: DataFrame, spec: TopK, schema: str) -> DataFrame:
-    if queries.empty:
-        return corpus.sparkSession.createDataFrame([], schema)
-    shared = corpus.sparkSession.sparkContext.broadcast(queries)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            if len(batch):
-                found = _best(shared.value, batch, spec)
-                best = found if best is None else _cut(pd.concat([best, found]), spec.k)
-        if best is not None:
-            yield best
-
-    return corpus.mapInPandas(search, schema)
-
-
 def _search_blocks(queries: DataFrame, corpus: DataFrame, spec: TopK, schema: str) -> DataFrame:
-    blocks = queries.count() // spec.max_queries + 1
+    blocks = queries.count() // spec.block_rows + 1
     slices = corpus.count() // spec.slice_rows + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))

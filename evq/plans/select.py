@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evq.functions import policy
 from evq.functions.text import pin
-from evq.operators import ordering, relational
+from evq.operators import ordering
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ def select_rows(rows: DataFrame, members: DataFrame, spec: SelectSpec) -> Select
     ``members`` holds each member key once.
     """
     listed = members.select(spec.member_key).withColumn("_member", F.lit(True))
-    joined = relational.salted_left_join(rows, listed, [spec.member_key], [spec.seq])
+    joined = rows.join(listed, spec.member_key, "left")
     reason = F.coalesce(F.when(F.col("_member").isNull(), F.lit(spec.not_member)), *spec.reasons)
     judged = pin(joined, reason=reason).drop("_member")
     kept = judged.where(F.col("reason").isNull()).drop("reason")

@@ -56,7 +56,7 @@ def compare(spark, name: str, sf_dir: str, con=None) -> tuple[bool, str]:
     got = rows_of(df.columns, df.collect())
     sql = oracle_sql().get(name)
     if sql is None:
-        return True, f"rows only: {len(got)}"
+        return False, f"no oracle: {len(got)} rows"
     cur = (con or duck(sf_dir)).execute(sql)
     names = [d[0] for d in cur.description]
     types = {d[0]: kind(str(d[1])) for d in cur.description}

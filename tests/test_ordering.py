@@ -19,29 +19,31 @@ def skewed(spark):
 
 def test_split_row_number_equals_the_plain_window(skewed):
     order = [F.col("o"), F.col("id")]
-    split = ordering.split_row_number(skewed, ["k"], order, "n", ranges=16, small=0)
+    split = ordering.split_row_number(skewed, ["k"], order, "n")
     plain = skewed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint"))
     assert relational.difference_counts(split.select("k", "id", "n"), plain.select("k", "id", "n")).first() == (0, 0)
-    whole = ordering.split_row_number(skewed, [], order, "n", ranges=16, small=0)
+    whole = ordering.split_row_number(skewed, [], order, "n")
     assert whole.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first() == (1, 9000, 9000)
 
 
 def test_split_lag_equals_the_plain_window(skewed):
     order = [F.col("o"), F.col("id")]
-    split = ordering.split_lag(skewed, ["k"], order, F.col("id"), "p", ranges=16, small=0)
+    split = ordering.split_lag(skewed, ["k"], order, F.col("id"), "p")
     plain = skewed.withColumn("p", F.lag("id").over(Window.partitionBy("k").orderBy(*order)))
     assert relational.difference_counts(split.select("k", "id", "p"), plain.select("k", "id", "p")).first() == (0, 0)
 
 
 def test_round_robin_is_fair_and_complete(skewed):
-    small, large = (ordering.round_robin(skewed, "k", [F.col("id")], small=s) for s in (10**6, 0))
-    assert relational.difference_counts(small.select("id", "position"), large.select("id", "position")).first() == (0, 0)
-    head = [r.k for r in large.orderBy("position").limit(18).collect()]
+    fair = ordering.round_robin(skewed, "k", [F.col("id")])
+    turn = skewed.withColumn("turn", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    plain = turn.withColumn("position", F.row_number().over(Window.orderBy("turn", "k")).cast("bigint"))
+    assert relational.difference_counts(fair.select("id", "position"), plain.select("id", "position")).first() == (0, 0)
+    head = [r.k for r in fair.orderBy("position").limit(18).collect()]
     assert len(set(head[:17])) == 17 and head[:17] == sorted(head[:17])
 
 
 def test_sequential_ids(skewed):
-    ids = ordering.sequential_ids(skewed, [F.col("o"), F.col("id")], small=0)
+    ids = ordering.sequential_ids(skewed, [F.col("o"), F.col("id")])
     assert [r.record_id for r in ids.orderBy("o").limit(2).collect()] == ["FOC_001", "FOC_002"]
     assert ids.agg(F.max(F.length("record_id"))).first()[0] == len("FOC_9000")
 
@@ -85,11 +87,29 @@ def test_page_bounds(spark):
             ordering.page(df, [F.col("id")], limit, offset)
 
 
-def test_salted_join_keeps_every_row(skewed, spark):
-    right = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, w long")
-    got = relational.salted_left_join(skewed, right, ["k"], ["id"], salts=4)
-    assert relational.salted_anti_join(skewed, right, ["k"]).count() == skewed.where("k not in ('hot', 'k0')").count()
-    assert got.count() == 9000 and got.where("w = 1").count() == 6000
+def test_ranges_grow_with_the_rows_and_cut_hot_groups(spark, skewed):
+    settings_ = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k",
+                 "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k, None) for k in settings_}
+    for k, v in settings_.items():
+        spark.conf.set(k, v)
+    try:
+        small, large = (ordering._ranged(skewed.where(f"id < {n}"), ["k"], [F.col("id")]) for n in (500, 9000))
+        few, many = (x.select("_range").distinct().count() for x in (small, large))
+        assert many > 2 * few
+        assert large.where("k = 'hot'").select("_range").distinct().count() > 2
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_keys_with_several_entries_do_not_multiply_rows(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "k string")
+    listed = spark.createDataFrame([("a", "first", 1), ("a", "again", 2)], "k string, reason string, seq long")
+    got = relational.allow_or_reject(rows, rows.limit(0), "k", listed, seq="seq").orderBy("k").collect()
+    assert [(r.k, r.reason) for r in got] == [("a", "again"), ("b", relational.DEFAULT_REJECTION)]
+    aliases = spark.createDataFrame([("a", "A", 2), ("a", "B", 1)], "raw string, name string, seq long")
+    assert [r.canonical_name for r in relational.canonical_names(rows, aliases, "k", "raw", "name", "seq").orderBy("k").collect()] == ["A", None]
 
 
 def test_curation_joins(spark):

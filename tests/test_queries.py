@@ -5,9 +5,8 @@ from conftest import SF_DIR
 from oracle import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from evq.bindings import ORACLES, QUERIES
 
-STREAMS = {n for n in queries() if n.startswith("stream_")}
-PYTHON_SIDE = {"people_from_pages", "page_headings", "cosine_topk", "cosine_gate", "evidence_bindings", "packed_evidence"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_oracle(spark, con, name):
     ok, note = compare(spark, name, SF_DIR, con)
     assert ok, note
@@ -23,7 +22,7 @@ def test_query_matches_its_oracle(spark, con, name):
 
 def test_registry(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"people_from_pages"}
+    assert set(QUERIES) == set(ORACLES)
     assert entry(spark).columns == ["record_id", "doc_id", "source", "confidence", "rank"]
 
 

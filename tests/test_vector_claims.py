@@ -7,14 +7,14 @@ from evq.functions import intents
 from evq.operators import claims, relational, vector
 
 
-def test_blocked_search_equals_broadcast_search_and_brute_force(spark):
+def test_search_by_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     q, c = rng.normal(size=(23, 8)), rng.normal(size=(400, 8))
     queries = spark.createDataFrame([(i, v.tolist(), f"p{i % 3}") for i, v in enumerate(q)], "query_id long, query_vec array<double>, phrase string")
     corpus = spark.createDataFrame([(i, v.tolist(), f"x P{i % 5}") for i, v in enumerate(c)], "record_id long, record_vec array<double>, title string")
     spec = vector.TopK(k=4, phrase="phrase", title="title")
     small = vector.cosine_topk(queries, corpus, spec)
-    large = vector.cosine_topk(queries, corpus, dataclasses.replace(spec, max_queries=5, slice_rows=90))
+    large = vector.cosine_topk(queries, corpus, dataclasses.replace(spec, block_rows=5, slice_rows=90, tile_rows=20))
     assert relational.difference_counts(small, large).first() == (0, 0)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     d = 1 - unit(q) @ unit(c).T - 0.15 * (np.arange(23)[:, None] % 3 == np.arange(400)[None, :] % 5)
