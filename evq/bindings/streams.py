@@ -26,22 +26,26 @@ def finish(started):
     started.awaitTermination()
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", """
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+""")
 def stream_dedup(t):
-    job = new_job(t, "dedup")
-    finish(jobs.dedup(event_stream(t), ["user_id", "event_type"], "at", "400 days", F.col("event_id"), job))
-    return t.spark.read.parquet(job.table)
+    job, stream = new_job(t, "dedup"), event_stream(t)
+    finish(jobs.dedup(stream, ["user_id", "event_type"], "at", "30 days", [F.col("at"), F.col("event_id")], job))
+    return jobs.read_batches(t.spark, job, stream.schema).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_event_windows", """
 WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS s, event_type, count(*) AS n, sum(CAST(value * 100 AS DECIMAL(18, 0))) AS cents FROM events GROUP BY 1, 2)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, CAST(cents AS BIGINT) AS cents FROM w
-WHERE s + INTERVAL 6 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR
 """)
 def stream_event_windows(t):
     job = new_job(t, "windows")
     aggregates = [F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")]
-    finish(jobs.event_windows(event_stream(t), "at", ["event_type"], "6 hours", "1 hour", aggregates, job))
+    stream = event_stream(t)
+    jobs.run_to_end(lambda: jobs.event_windows(
+        jobs.with_end_mark(stream, job), "at", ["event_type"], "6 hours", "1 hour", aggregates, job), stream.schema, "at", job)
     rows = t.spark.read.parquet(job.table)
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "cents")
 
@@ -51,11 +55,12 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER u < INTERVAL 6 HOUR T
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g),
 a AS (SELECT user_id, sid, min(ts) AS s, max(ts) + INTERVAL 6 HOUR AS e, count(*) AS n FROM s GROUP BY 1, 2)
 SELECT user_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS session_start, n FROM a
-WHERE e <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR
 """)
 def stream_sessions(t):
     job = new_job(t, "sessions")
-    finish(jobs.sessions(event_stream(t), "at", ["user_id"], "6 hours", "1 hour", [F.count(F.lit(1)).alias("n")], job))
+    stream = event_stream(t)
+    jobs.run_to_end(lambda: jobs.sessions(
+        jobs.with_end_mark(stream, job), "at", ["user_id"], "6 hours", "1 hour", [F.count(F.lit(1)).alias("n")], job), stream.schema, "at", job)
     rows = t.spark.read.parquet(job.table)
     return rows.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 

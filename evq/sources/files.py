@@ -107,10 +107,13 @@ def append_run(run: DataFrame, path: str, columns: Sequence[str]) -> None:
     run.select(*columns).write.mode("append").parquet(path)
 
 
-def write_snapshot(df: DataFrame, base: str) -> int:
-    """Write a new version next to the old ones, then publish it with a one-row pointer."""
+def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> int:
+    """Write a new version next to the old ones, then publish it with a one-row pointer.
+
+    With ``version`` given, a repeated write replaces that version instead of adding one.
+    """
     spark = df.sparkSession
-    version = current_version(spark, base) + 1
+    version = current_version(spark, base) + 1 if version is None else version
     df.write.mode("overwrite").parquet(f"{base}/version={version}")
     pointer = spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
     pointer.coalesce(1).write.mode("append").parquet(f"{base}/_pointers")

@@ -6,14 +6,15 @@ folder of its own, keeps its checkpoint beside it, and can be restarted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from evq.operators import state
+from evq.operators import ordering, state
 from evq.sources import files
 
 
@@ -45,16 +46,50 @@ def _append(rows: DataFrame, job: Job):
     )
 
 
-def dedup(stream: DataFrame, key: Sequence[str], at: str, within: str, spread: Column, job: Job, salts: int = 16):
-    """First sight of each key within a time span.
+def dedup(stream: DataFrame, key: Sequence[str], at: str, within: str, order: Sequence[Column], job: Job):
+    """The whole first record of each key within a time span.
 
-    Copies of a key are first dropped per (key, salt), then per key, so a key
-    that repeats without end spreads over ``salts`` tasks and only its few
-    survivors meet. Survivors may be any of the copies: keep the key columns.
+    First means: in the earliest batch that has the key, and there in the given order. A batch keeps its first rows per
+    key (cut per task before the shuffle) and drops keys that earlier batches wrote less than ``within`` before its
+    earliest row; older output is not read, so the state expires. A repeated batch replaces its own rows.
     """
-    salted = stream.withWatermark(at, within).withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    once = salted.dropDuplicatesWithinWatermark([*key, "_salt"]).dropDuplicatesWithinWatermark(list(key))
-    return _append(once.select(*key), job)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        first = ordering.keep_first(batch, key, order)
+        if number > 0 and files.exists(batch.sparkSession, job.table):
+            since = batch.agg(F.min(at).alias("since")).select((F.col("since") - F.expr(f"interval {within}")).alias("since"))
+            known = batch.sparkSession.read.schema(batch.schema).parquet(f"{job.table}/batch=*").withColumn(
+                "_batch", F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("bigint"))
+            known = known.where(F.col("_batch") < number).join(F.broadcast(since), F.col(at) >= F.col("since")).select(*key).distinct()
+            first = first.join(known, list(key), "left_anti")
+        first.write.mode("overwrite").parquet(f"{job.table}/batch={number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", job.checkpoint).trigger(**job.trigger).start()
+
+
+def read_batches(spark: SparkSession, job: Job, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{job.table}/batch=*")
+
+
+def with_end_mark(stream: DataFrame, job: Job) -> DataFrame:
+    """The stream and, behind it, rows that ``end_mark`` writes for the job."""
+    folder = f"{job.path}/end"
+    if not files.exists(stream.sparkSession, folder):
+        stream.sparkSession.createDataFrame([], stream.schema).write.parquet(folder)
+    return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(folder))
+
+
+def run_to_end(start: Callable[[], StreamingQuery], schema: T.StructType, at: str, job: Job, when: str = "9000-01-01") -> None:
+    """Run a bounded job and close what is open: a last run sees one row far in the future.
+
+    The row moves the watermark past every real window or session, which are then written; its own stays open for ever.
+    """
+    start().awaitTermination()
+    spark = SparkSession.getActiveSession()
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields}
+    mark = spark.range(1).select(*(F.lit(when).cast(f.dataType).alias(f.name) if f.name == at else empty[f.name] for f in schema.fields))
+    mark.write.mode("append").parquet(f"{job.path}/end")
+    start().awaitTermination()
 
 
 def event_windows(stream: DataFrame, at: str, keys: Sequence[str], width: str, delay: str, aggregates: Sequence[Column], job: Job):
@@ -123,10 +158,10 @@ def read_changes(spark: SparkSession, job: Job, schema: T.StructType, key: str,
 
 
 def latest_totals(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], job: Job):
-    """Running totals per key as a snapshot table: each batch publishes the whole current result."""
+    """Running totals per key as a snapshot table: each batch publishes the whole result so far under its own number."""
 
     def publish(batch: DataFrame, number: int) -> None:
-        files.write_snapshot(batch, f"{job.path}/snapshots")
+        files.write_snapshot(batch, f"{job.path}/snapshots", number + 1)
 
     grouped = stream.groupBy(*keys).agg(*aggregates)
     return (

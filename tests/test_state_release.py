@@ -132,5 +132,26 @@ def test_streams_over_many_batches_equal_the_batch_answer(spark, tmp_path):
     want = state.content_changes(events, "url", [F.col("seq")], "hash").where("changed")
     assert {tuple(r) for r in got.collect()} == {(r.url, r.seq, r.previous, r.hash) for r in want.collect()}
     dedup = jobs.Job(str(tmp_path / "dedup"), {"availableNow": True})
-    jobs.dedup(read(), ["url"], "at", "30 days", F.col("seq"), dedup).awaitTermination()
-    assert sorted(r.url for r in spark.read.parquet(dedup.table).collect()) == list(range(7))
+    jobs.dedup(read(), ["url"], "at", "30 days", [F.col("seq")], dedup).awaitTermination()
+    kept = jobs.read_batches(spark, dedup, events.schema).collect()
+    assert sorted((r.url, r.hash is not None) for r in kept) == [(i, True) for i in range(7)]
+    brief = jobs.Job(str(tmp_path / "brief"), {"availableNow": True})
+    jobs.dedup(read(), ["url"], "at", "1 minute", [F.col("seq")], brief).awaitTermination()
+    assert jobs.read_batches(spark, brief, events.schema).count() > 7, "a key is new again when its state has expired"
+
+    windows = jobs.Job(str(tmp_path / "windows"), {"availableNow": True})
+    count = [F.count("*").alias("n")]
+    jobs.run_to_end(lambda: jobs.event_windows(jobs.with_end_mark(read(), windows), "at", ["url"], "1 hour", "1 day", count, windows),
+                    events.schema, "at", windows)
+    assert spark.read.parquet(windows.table).agg(F.sum("n")).first()[0] == 600
+    active = jobs.Job(str(tmp_path / "sessions"), {"availableNow": True})
+    jobs.run_to_end(lambda: jobs.sessions(jobs.with_end_mark(read(), active), "at", ["url"], "8 minutes", "1 day", count, active),
+                    events.schema, "at", active)
+    assert sorted((r.url, r.n) for r in spark.read.parquet(active.table).collect()) == sorted(
+        (u, n) for u, n in events.groupBy("url").count().collect())
+
+    base = str(tmp_path / "totals")
+    for number, n in ((0, 5), (1, 9), (1, 9)):
+        files.write_snapshot(spark.range(n), base, number + 1)
+    assert files.current_version(spark, base) == 2
+    assert files.read_snapshot(spark, base).count() == 9
