@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +89,12 @@ def read_logs(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFr
     return rows.withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def file_totals(rows: DataFrame, file: str, flags: Mapping[str, Column], lasts: Mapping[str, str]) -> DataFrame:
+    """Per log file: rows, one count per flag and the greatest value per column of ``lasts``."""
+    return rows.groupBy(file).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in flags.items()], *[F.max(c).alias(n) for n, c in lasts.items()])
+
+
 def append_events(events: DataFrame, path: str, cycle: str = "cycle_id", at: str = "at", key: str = "event_key") -> None:
     """Append log rows, partitioned by cycle, with their sequence number in the cycle."""
     with_sequence(events, cycle, at, key).write.mode("append").partitionBy(cycle).parquet(path)
