@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evq.bindings.registry import query, sql_any, sql_norm
+from evq.bindings.registry import query, sql_any, sql_in, sql_norm
 from evq.functions import intents, text as tx
 from evq.operators import claims, relational as rel
 from evq.session import materialize
 
-FIELD_WORDS = [("email", ["eaux", "tion the"]), ("phone", ["heit", "ación"]), ("linkedin", ["ing ", "ent"])]
 KEYWORDS = ["chief", "managing", "director", "partner", "president", "founder", "cio", "cfo"]
 
 
@@ -17,25 +16,49 @@ def user_turns(t):
     return t("conversations").where(F.col("role") == "user")
 
 
+# Questions that meet every rule; one is put in front of each request, by its key.
+QUESTIONS = (
+    "How many people have an email?", "How many firms are in the United States?", "Count contacts with a LinkedIn profile and the contact mix of firms.",
+    "Which chief investment officer is current?", "Managing partner in health and private equity", "List all lower-middle-market firms and the source mix.",
+    "Call the managing director", "Who is the founder in the US", "How many people are there", "How many partner names", "Show the president", "Plain words",
+    "count linkedin", "the number of a cfo", "reach out to the director")
+
+
+def questions(t):
+    lead = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(QUESTIONS) + 1).cast("int"))
+    return user_turns(t).withColumn("text", F.concat(lead, F.lit(" "), "text"))
+
+
 @query("request_intents", f"""
-WITH q AS (SELECT conv_id, turn, lower({sql_norm('text')}) AS q FROM conversations WHERE role = 'user')
+WITH q AS (SELECT conv_id, turn, lower({sql_norm(f"[{sql_in(QUESTIONS)[1:-1]}][(conv_id * 7 + turn) % {len(QUESTIONS)} + 1] || ' ' || text")}) AS q
+           FROM conversations WHERE role = 'user'),
+f AS (SELECT *, contains(q, 'how many') OR contains(q, 'count') AS counting FROM q)
 SELECT conv_id, turn,
-  CASE WHEN {sql_any('q', FIELD_WORDS[0][1])} THEN 'email' WHEN {sql_any('q', FIELD_WORDS[1][1])} THEN 'phone'
-       WHEN {sql_any('q', FIELD_WORDS[2][1])} THEN 'linkedin' END AS requested_field,
+  CASE WHEN {sql_any('q', intents.FIELD_WORDS[0][1])} THEN 'email' WHEN {sql_any('q', intents.FIELD_WORDS[1][1])} THEN 'phone'
+       WHEN {sql_any('q', intents.FIELD_WORDS[2][1])} THEN 'linkedin' END AS requested_field,
   concat_ws('&', CASE WHEN contains(q, 'email') THEN 'has_email=true' END, CASE WHEN contains(q, 'linkedin') THEN 'route_type=linkedin' END,
     CASE WHEN contains(q, 'current') THEN 'trust_state=supported_current' END,
     CASE WHEN contains(q, 'united states') OR regexp_matches(q, '(^|\\s)(us|u\\.s\\.)(\\s|$)') THEN 'country=united states' END) AS filters,
-  CASE WHEN contains(q, 'health') THEN 'healthcare' ELSE '' END AS terms,
-  CASE WHEN (contains(q, 'how many') OR contains(q, 'count')) AND contains(q, 'firm') THEN 'firms' ELSE 'records' END AS aggregates,
-  CASE WHEN regexp_matches(q, '\\b(united states|us|usa)\\b') THEN 'count_firms:United States'
+  concat_ws('|', CASE WHEN contains(q, 'health') THEN 'healthcare' END,
+    CASE WHEN contains(q, 'lower-middle-market') OR contains(q, 'lower middle market') THEN 'lower-middle-market|lower middle market' END,
+    CASE WHEN contains(q, 'private equity') THEN 'private equity' END) AS terms,
+  concat_ws('|', CASE WHEN counting AND contains(q, 'firm') THEN 'firms' ELSE 'records' END, CASE WHEN contains(q, 'source mix') THEN 'source_mix' END,
+    CASE WHEN contains(q, 'route mix') OR contains(q, 'contact mix') THEN 'route_mix' END) AS aggregates,
+  CASE WHEN counting AND contains(q, 'email') THEN 'count_people:has_email' WHEN counting AND contains(q, 'linkedin') THEN 'count_people:has_linkedin'
+       WHEN contains(q, 'how many firms') OR contains(q, 'count firms') THEN 'count_firms'
+       WHEN contains(q, 'how many people') OR contains(q, 'count people') OR contains(q, 'count contacts') THEN 'count_people'
+       WHEN contains(q, 'chief investment officer') OR regexp_matches(q, '\\bcio\\b') THEN 'search_people:chief investment officer'
+       WHEN contains(q, 'managing partner') THEN 'search_people:managing partner' WHEN contains(q, 'managing director') THEN 'search_people:managing director'
+       WHEN contains(q, 'partner') AND contains(q, 'how many') THEN 'count_people:partner'
+       WHEN regexp_matches(q, '\\b(united states|us|usa)\\b') THEN 'count_firms:United States'
        {' '.join(f"WHEN contains(q, '{k}') THEN 'search_people:{k}'" for k in KEYWORDS)} ELSE 'search_people' END AS route,
   CASE WHEN {sql_any('q', intents.COUNT_WORDS)} THEN 'structured' ELSE 'retrieval' END AS mode
-FROM q
+FROM f
 """)
 def request_intents(t):
     pairs = F.transform(F.map_entries(intents.request_filters("text")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return user_turns(t).select(
-        "conv_id", "turn", intents.requested_field("text", FIELD_WORDS).alias("requested_field"),
+    return questions(t).select(
+        "conv_id", "turn", intents.requested_field("text").alias("requested_field"),
         F.array_join(pairs, "&").alias("filters"), F.array_join(intents.request_terms("text"), "|").alias("terms"),
         F.array_join(intents.request_aggregates("text"), "|").alias("aggregates"),
         intents.structured_route("text").alias("route"), intents.answer_mode("text").alias("mode"))

@@ -297,9 +297,9 @@ def readiness_manifest(t):
 WITH sig AS (
   SELECT c_nationkey,
          max(CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 1 ELSE 0 END) AS s1,
-         max(CASE WHEN contains(lower(c_mktsegment), 'build') AND o_totalprice > 400000 THEN 1 ELSE 0 END) AS s2,
-         max(CASE WHEN contains(lower(o_orderpriority), 'high') AND o_totalprice > 499000 THEN 1 ELSE 0 END) AS s3,
-         max(CASE WHEN contains(lower(o_orderpriority), 'low') AND o_totalprice < 1500 THEN 1 ELSE 0 END) AS s4,
+         max(CASE WHEN contains(lower(c_mktsegment), 'build') AND c_nationkey % 3 <> 0 THEN 1 ELSE 0 END) AS s2,
+         max(CASE WHEN contains(lower(o_orderpriority), 'high') AND c_nationkey % 2 = 0 THEN 1 ELSE 0 END) AS s3,
+         max(CASE WHEN contains(lower(o_orderpriority), 'low') AND c_nationkey % 5 < 3 THEN 1 ELSE 0 END) AS s4,
          count(*) AS supporting
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 best AS (
@@ -319,9 +319,9 @@ def weighted_fit(t):
     low = lambda c: F.lower(F.col(c))
     signals = {
         "urgent": (35, low("o_orderpriority").contains("urgent")),
-        "build": (25, low("c_mktsegment").contains("build") & (F.col("o_totalprice") > 400000)),
-        "high": (20, low("o_orderpriority").contains("high") & (F.col("o_totalprice") > 499000)),
-        "cheap": (20, low("o_orderpriority").contains("low") & (F.col("o_totalprice") < 1500)),
+        "build": (25, low("c_mktsegment").contains("build") & (F.col("c_nationkey") % 3 != 0)),
+        "high": (20, low("o_orderpriority").contains("high") & (F.col("c_nationkey") % 2 == 0)),
+        "cheap": (20, low("o_orderpriority").contains("low") & (F.col("c_nationkey") % 5 < 3)),
     }
     scored = retrieval.weighted_fit(facts, "c_nationkey", signals, required="urgent", decisive=["build", "high", "cheap"])
     best = retrieval.best_member(t("customer"), "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey")

@@ -112,8 +112,11 @@ LINE_BAD_PARTS = ["home", "terms", "services", "ation the"]
 
 
 @query("plausible_rows", f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
            FROM documents),
+w AS (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS w FROM s),
+l AS (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no - 1) % 3 = 0 AND len(w) > 1 THEN
+             upper(w[1][1]) || lower(w[1][2:]) || ' ' || upper(w[2][1]) || lower(w[2][2:]) ELSE line END AS line FROM w),
 n AS (SELECT doc_id, line_no, {sql_norm('line')} AS x FROM l),
 p AS (SELECT *, string_split(x, ' ') AS parts FROM n)
 SELECT doc_id, (line_no - 1)::BIGINT AS line_no,
@@ -130,7 +133,11 @@ SELECT doc_id, (line_no - 1)::BIGINT AS line_no,
 FROM p
 """)
 def plausible_rows(t):
+    """Lines of documents; of every third one only the first two words, written like a name."""
     lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("_w", F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0)))
+    name = F.initcap(F.array_join(F.slice("_w", 1, 2), " "))
+    lines = lines.withColumn("line", F.when(((F.col("doc_id") + F.col("line_no")) % 3 == 0) & (F.size("_w") > 1), name).otherwise(F.col("line")))
     return lines.select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
         policy.name_rejection("line", LINE_BAD_PARTS).alias("reason"), policy.is_person_name("line").alias("person_like"))
@@ -182,8 +189,10 @@ def boilerplate_strip(t):
 
 
 @query("url_site_match", f"""
-WITH h AS (SELECT page_id, url, {sql_host('url')} AS host, regexp_extract(html, '{TITLE}', 1) AS title FROM pages),
-p AS (SELECT *, regexp_replace(host, '^[^.]+\\.', '') AS parent FROM h)
+WITH u AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_replace(url, '^http', 'ftp') ELSE url END AS url, html FROM pages),
+h AS (SELECT page_id, url, {sql_host('url')} AS host, regexp_extract(html, '{TITLE}', 1) AS title FROM u),
+p AS (SELECT page_id, url, host, CASE page_id % 3 WHEN 0 THEN regexp_replace(host, '^[^.]+\\.', '') WHEN 1 THEN 'other.org' ELSE 'sub.' || host END AS parent,
+             CASE WHEN page_id % 5 = 0 THEN regexp_extract(host, '^[^.]+', 0) || ' - ' || title ELSE title END AS title FROM h)
 SELECT page_id, host, host <> '' AND parent <> '' AND (host = parent OR ends_with(host, '.' || parent) OR ends_with(parent, '.' || host)) AS same_site,
        regexp_matches({sql_norm('url')}, '^(?i:https?)://[^/?#]+') AS is_http,
        list_has_any(regexp_extract_all(lower(url), '[a-z]{{3,}}'), regexp_extract_all(lower(title), '[a-z]{{3,}}')) AS title_overlap,
@@ -191,13 +200,15 @@ SELECT page_id, host, host <> '' AND parent <> '' AND (host = parent OR ends_wit
 FROM p
 """)
 def url_site_match(t):
+    k = F.col("page_id")
+    pages = t("pages").select(k, F.when(k % 4 == 0, F.regexp_replace("url", "^http", "ftp")).otherwise(F.col("url")).alias("url"), "html")
     host = tx.host_of("url")
-    return t("pages").select(
-        "page_id", host.alias("host"),
-        tx.same_host_family(host, F.regexp_replace(host, r"^[^.]+\.", "")).alias("same_site"),
-        tx.is_http_url("url").alias("is_http"),
-        tx.token_overlap("url", F.regexp_extract("html", TITLE, 1)).alias("title_overlap"),
-        tx.url_path("url").alias("path"))
+    other = F.when(k % 3 == 0, F.regexp_replace(host, r"^[^.]+\.", "")).when(k % 3 == 1, F.lit("other.org")).otherwise(F.concat(F.lit("sub."), host))
+    title = F.regexp_extract("html", TITLE, 1)
+    title = F.when(k % 5 == 0, F.concat(F.regexp_extract(host, r"^[^.]+", 0), F.lit(" - "), title)).otherwise(title)
+    return pages.select(
+        "page_id", host.alias("host"), tx.same_host_family(host, other).alias("same_site"), tx.is_http_url("url").alias("is_http"),
+        tx.token_overlap("url", title).alias("title_overlap"), tx.url_path("url").alias("path"))
 
 
 @query("domain_mix", f"""
@@ -480,7 +491,7 @@ blocked AS (SELECT host FROM p GROUP BY host HAVING count(*) > 3),
 e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{EMAIL_SQL}'))) AS email FROM documents)
 SELECT 'page' AS kind, page_id AS id, host AS value FROM p
 WHERE NOT (host IN (SELECT host FROM blocked) AND NOT starts_with(host, 'blog.'))
-  AND NOT contains(host, 'thth')
+  AND NOT contains(host, 'thth') AND (contains(host, 'in') OR contains(host, 'ion'))
 UNION ALL
 SELECT 'email', doc_id, email FROM e
 WHERE replace(replace(replace(split_part(lower(email), '@', 1), '.', ''), '-', ''), '_', '') NOT IN ('info', 'the65', 'of62')
@@ -490,7 +501,7 @@ def blocklist_filter(t):
     pages = t("pages").select("page_id", tx.host_of("url").alias("host"))
     blocked = rel.distribution(pages, ["host"]).where(F.col("n") > 3).select("host")
     kept = rel.blocklist(pages, blocked, "host", exempt=F.col("host").startswith("blog.")).where(
-        policy.registry_entity("host", veto=["thth"], required=[""]))
+        policy.registry_entity("host", veto=["thth"], required=["in", "ion"]))
     emails = t("documents").select("doc_id", F.explode(tx.emails("text")).alias("email"))
     good = emails.where(
         ~policy.is_shared_mailbox("email", ["info", "the65", "of62"])
@@ -529,7 +540,8 @@ SELECT page_id, known_name,
        CASE WHEN m THEN 'Official domain matches firm name; self-describes' ELSE 'Domain doesn''t perfectly match firm name; self-describes' END
          || CASE WHEN known_name IS NOT NULL THEN '; registry corroborated' ELSE '' END AS notes
 FROM (SELECT p.page_id, known_name,
-             list_has_any(regexp_extract_all(lower(p.host), '[a-z]{{3,}}'), regexp_extract_all(lower(title), '[a-z]{{3,}}')) AS m
+             list_has_any(regexp_extract_all(lower(p.host), '[a-z]{{3,}}'),
+                          regexp_extract_all(lower(title || CASE WHEN p.page_id % 2 = 0 THEN ' ' || p.host ELSE '' END), '[a-z]{{3,}}')) AS m
       FROM p LEFT JOIN k ON k.host = p.host)
 """)
 def tier_matrix(t):
@@ -537,7 +549,8 @@ def tier_matrix(t):
     known = rel.distribution(pages, ["host"]).where(F.col("n") >= 3).select(
         "host", F.concat(F.lit("Known "), "host").alias("known_name"))
     joined = pages.join(known, "host", "left")
-    tier = policy.verification_tier(tx.token_overlap("host", "title"), F.col("known_name").isNotNull())
+    title = F.concat("title", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), "host")).otherwise(""))
+    tier = policy.verification_tier(tx.token_overlap("host", title), F.col("known_name").isNotNull())
     return joined.select("page_id", "known_name", tier["tier"].alias("tier"), tier["notes"].alias("notes"))
 
 

@@ -85,13 +85,13 @@ WITH {BOOSTED_SQL},
 j AS (SELECT q.query_id, text, hits.record_id, effective_distance, rec.email, rec.confidence,
         CASE q.query_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 3 THEN 'email' END AS requested_field
       FROM req q LEFT JOIN hits ON hits.query_id = q.query_id AND rank = 1 LEFT JOIN rec ON rec.record_id = hits.record_id),
-s AS (SELECT *, CASE WHEN effective_distance > 0.70 THEN 'refuse_no_match'
+s AS (SELECT *, CASE WHEN effective_distance > 0.50 THEN 'refuse_no_match'
        WHEN requested_field IS NOT NULL AND (requested_field <> 'email' OR trim(email) = '') THEN 'refuse_field_missing' ELSE 'ok' END AS status FROM j)
 SELECT query_id, requested_field, effective_distance AS top_distance,
-       CASE WHEN effective_distance <= 0.70 THEN record_id END AS record_id, status, status = 'ok' AS can_answer FROM s
+       CASE WHEN effective_distance <= 0.50 THEN record_id END AS record_id, status, status = 'ok' AS can_answer FROM s
 """)
 def cosine_gate(t):
-    return vector.gate(boosted_hits(t), requests(t).drop("text"), records(t), refuse=0.70)
+    return vector.gate(boosted_hits(t), requests(t).drop("text"), records(t))
 
 
 @query("evidence_bindings", f"""

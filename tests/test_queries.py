@@ -44,3 +44,15 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_first_per_key_cuts_rows_before_the_shuffle(spark):
     plan = queries()["argmax_priority"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+VARIED = ["request_intents", "url_site_match", "plausible_rows", "tier_matrix", "cosine_gate", "weighted_fit", "blocklist_filter",
+          "people_from_pages", "page_routes", "fair_batch", "stream_dedup"]
+
+
+@pytest.mark.parametrize("name", VARIED)
+def test_outputs_are_not_constant(con, name):
+    rows = con.execute(ORACLES[name])
+    columns, values = [d[0] for d in rows.description], rows.fetchall()
+    same = {c for i, c in enumerate(columns) if len({r[i] for r in values}) < 2}
+    assert same <= {"last_attempted_at"}
