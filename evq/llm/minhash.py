@@ -9,11 +9,11 @@ empty set and no links. Sets are kept as 64-bit hashes of their shingles.
 2. Slots are joined to bands, classes with an equal band share a bucket.
 3. In a bucket, edges form a star: from one member, the leader, to the others, as many edges as members, and each edge is
    confirmed on the full sets. Members that no confirmed link has joined to a leader of the bucket, through whatever
-   texts, are loose. Of the loose ones some become leaders in their turn, drawn by a hash of bucket and member, and they
-   and as many members drawn from the whole bucket are compared with the loose ones; each round draws twice as many.
-   This ends when no member is loose, so two loose members of a bucket are always compared, and a bucket of mutually
-   near texts costs one star. Pairs of members that were both joined to leaders are compared only if one is drawn; two
-   texts over the limit share a dozen buckets on average, each with draws of its own.
+   texts, are loose: one of them, drawn by a hash of bucket and member, is the leader of the next star, which reaches for
+   the loose ones. In a bucket of at most SMALL members they are compared with every member instead. Edges stay in
+   proportion to the members however large a bucket is. Two texts over the limit share a dozen buckets on average, each
+   with leaders of its own, and a group needs only one path of links, but a text whose only link goes to a member that
+   never leads in their common large buckets is left alone.
 4. Components of the confirmed links come from alternating large and small stars (Kiveris et al. 2014).
 
 Every table of a round is written to the shared folder. Nothing is collected but sums.
@@ -35,6 +35,8 @@ from evq.session import materialize
 _U = np.uint64
 SHINGLE = 5
 BANDS, ROWS = 90, 7
+#: Stars per bucket, and the bucket size up to which loose members are compared with all.
+STARS, SMALL = 3, 8
 
 
 # --- sets and signatures of a batch -----------------------------------------
@@ -136,25 +138,22 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node in the links (a, b)."""
-    spark = links.sparkSession
-
     def least(pairs: DataFrame) -> DataFrame:
         """Every pair with the least neighbour of its first node (the node itself counts)."""
         low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return pairs.join(low, "u")
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "stars")
     while True:
-        # Done when every node points to one other that points nowhere.
-        out = edges.groupBy("u").agg(F.count("*").alias("n"))
-        if out.where("n > 1").select("u").union(edges.join(out.select(F.col("u").alias("v")), "v", "left_semi").select("u")).isEmpty():
-            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "stars")
+        # Done when every node points to one other that points nowhere.
+        out = edges.groupBy("u").agg(F.count("*").alias("n"))
+        if out.where("n > 1").select("u").union(edges.join(out.select(F.col("u").alias("v")), "v", "left_semi").select("u")).isEmpty():
+            break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
 
@@ -170,7 +169,8 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * total).select("a", "b").distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS,
+           stars: int = STARS) -> DataFrame:
     """Per row: key, n_shingles, component_id (least key of its group), kept (it is that key).
 
     A row with a null key is no document that others can point to: its component is null and it is kept. Rows that
@@ -188,17 +188,19 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     # Links between texts of one class hold already; rows with one key but different texts start as one component.
     same = own.where("n_shingles > 0 and key is not null").join(classes.select("digest", "node"), "digest")
     many = same.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    links = materialize(same.join(many.select("key", "a"), "key").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "links")
+    links = same.join(many.select("key", "a"), "key").select("a", F.col("node").alias("b")).where("a <> b").distinct()
 
     def edges(of: DataFrame) -> DataFrame:
         return of.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
     pairs = materialize(edges(members.where("node <> centre")), "pairs")
     leaders = members.where("node = centre").select("bucket", "node")
-    looked_at, share, entries = pairs, 1, 0
-    while True:
-        links = links.union(materialize(confirmed(pairs, sets, percent), "links"))
+    looked_at = pairs
+    for turn in range(1, stars + 1):
+        links = materialize(links.union(confirmed(pairs, sets, percent)), "links")
         labels = materialize(components(links), "labels")
+        if turn == stars:
+            break
 
         def labelled(of: DataFrame, labels=labels) -> DataFrame:
             return of.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -207,23 +209,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         led = labelled(leaders).select("bucket", "component").distinct()
         known = labelled(members.select("bucket", "node", "n", "m"))
         loose = materialize(known.join(led, ["bucket", "component"], "left_anti"), "loose")
-        sizes = loose.groupBy("bucket").agg(F.count("*").alias("k"))
-        largest, left = sizes.agg(F.max("k"), F.sum(F.col("k") * F.col("k"))).first()
-        if not largest:
+        if loose.isEmpty():
             break
-        # Twice as many new leaders each round; all loose members once that costs no more than the first round.
-        entries = entries or members.count()
-        share = largest if left <= 2 * entries else 2 * share
-        drawn = F.xxhash64("bucket", "node")
-        new = materialize(loose.join(sizes, "bucket").where(F.pmod(drawn, "k") < share).drop("k"), "leaders")
-        others = known.join(sizes, "bucket").where(F.pmod(drawn, "m") < F.least(F.lit(share), "k")).drop("k")
-        centres = new.union(others.select(new.columns)).select(
-            "bucket", F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))
-        near = loose.join(centres, "bucket").where(
+        drawn = loose.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node", F.lit(turn))).alias("leader"))
+        every = known.where(F.col("m") <= SMALL).join(drawn, "bucket", "left_semi")
+        new = loose.where(F.col("m") > SMALL).join(drawn, "bucket").where("node = leader")
+        centres = materialize(every.union(new.select(every.columns)), "leaders")
+        on = centres.select("bucket", F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))
+        near = loose.join(on, "bucket").where(
             (F.col("component") != F.col("centre_component"))
             & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")))
         pairs = materialize(edges(near).join(looked_at, ["a", "b"], "left_anti"), "pairs")
-        looked_at, leaders = looked_at.union(pairs), leaders.union(new.select("bucket", "node"))
+        looked_at, leaders = looked_at.union(pairs), leaders.union(centres.select("bucket", "node"))
 
     named = own.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     group = F.when(F.col("key").isNotNull(), F.coalesce("component", "node", "key"))
