@@ -336,10 +336,8 @@ def additive_bucket(signals: Sequence[Column], high: int = 3, medium: int = 2) -
 
 def verification_tier(domain_match: Column, corroborated: Column) -> Column:
     """struct(tier, notes) from domain match and registry corroboration."""
-    base = F.when(yes(domain_match), "Official domain matches firm name; self-describes").otherwise(
-        "Domain doesn't perfectly match firm name; self-describes"
-    )
+    base = F.when(yes(domain_match), vocab.DOMAIN_MATCH).otherwise(vocab.DOMAIN_OTHER)
     return F.struct(
         F.when(yes(domain_match), "official_domain").otherwise("official_or_related_domain").alias("tier"),
-        F.concat(base, F.when(yes(corroborated), "; registry corroborated").otherwise("")).alias("notes"),
+        F.concat(base, F.when(yes(corroborated), vocab.CORROBORATED).otherwise("")).alias("notes"),
     )

@@ -29,13 +29,13 @@ def pre_check(requests: DataFrame, evidence: DataFrame, roles: Sequence[str] = C
     rows = requests.join(held, "request_id", "left")
     rules = [
         (contains_any(q, ["email", "e-mail", "contact", "reach"]) & ~policy.yes(F.col("_email")),
-         "No email addresses found in the retrieved evidence for the matching records.", "email"),
+         vocab.NO_EMAIL, "email"),
         (contains_any(q, ["linkedin", "profile"]) & ~policy.yes(F.col("_linkedin")),
-         "No LinkedIn profiles found in the retrieved evidence for the matching records.", "linkedin"),
-        (contains_any(q, ["phone", "call", "number"]), "Phone numbers are not stored in this dataset.", "phone"),
+         vocab.NO_PROFILE, "linkedin"),
+        (contains_any(q, ["phone", "call", "number"]), vocab.NO_PHONE, "phone"),
     ]
     rules += [
-        (q.contains(r) & ~policy.yes(F.col(f"_role{i}")), f"No records with title containing '{r}' found in the evidence.", "title")
+        (q.contains(r) & ~policy.yes(F.col(f"_role{i}")), vocab.NO_TITLE.format(r), "title")
         for i, r in enumerate(roles)]
     failed = F.coalesce(*[
         F.when(cond, F.struct(F.lit(reason).alias("reason"), F.lit(field).alias("missing_field"))) for cond, reason, field in rules])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evq import vocab
 from evq.functions import policy
 from evq.functions.text import text_or_empty
 from evq.operators import ordering
@@ -101,13 +102,13 @@ def refresh_trust(records: DataFrame, present: Column, checked_at: Column, failu
     """
     gone = F.coalesce(~present, F.lit(False))
     found = F.coalesce(present, F.lit(False))
-    missing = "Named person or qualifying route was no longer present on the checked source."
+    missing = vocab.EVIDENCE_MISSING
     stated = F.lit(missing) if failure is None else F.coalesce(F.nullif(failure, F.lit("")), F.lit(missing))
     return records.withColumns({
         "trust_state": F.when(found, "supported_current").when(gone, "stale_evidence_missing").otherwise(F.col("trust_state")),
         "lifecycle_status": F.when(gone, "quarantine").otherwise(F.col("lifecycle_status")),
         "last_evidence_check_at": F.when(found, checked_at).otherwise(F.col("last_evidence_check_at")),
-        "reason": F.when(found, "Named person and qualifying route remained present on the checked source.")
+        "reason": F.when(found, vocab.EVIDENCE_PRESENT)
         .when(gone, stated),
     })
 

@@ -31,7 +31,7 @@ def migrate(rows: DataFrame, columns: Mapping[str, str], source: str = "stage1_a
     c = {k: text_or_empty(v) for k, v in columns.items()}
     observed = F.when(c["verified_on"] != "", F.concat(c["verified_on"], F.lit("T00:00:00Z"))).otherwise("")
     notes = F.when(c["notes"] != "", c["notes"]).otherwise(
-        F.concat(F.lit("Stage 1 treated "), c["firm_name"], F.lit(" as a family office.")))
+        F.concat(F.lit(vocab.STAGE_FIRM[0]), c["firm_name"], F.lit(vocab.STAGE_FIRM[1])))
     firm = F.struct(
         c["firm_name"].alias("name"), F.lit("unresolved_stage1_classification").alias("type"), c["country"].alias("country"),
         _legacy_evidence(c["firm_url"], observed, notes).alias("classification_evidence"))
@@ -45,7 +45,7 @@ def migrate(rows: DataFrame, columns: Mapping[str, str], source: str = "stage1_a
         observed.alias("observed_at"), F.lit(None).cast("string").alias("extraction_method"))
     freshness = F.struct(
         F.lit("quarantined").alias("trust_state"), observed.alias("last_evidence_check_at"), strings([]).alias("basis_evidence_ids"),
-        F.lit("Stage 1 record has no route to the named person and has not passed the Stage 2 inclusion policy.").alias("reason"))
+        F.lit(vocab.STAGE_FRESHNESS).alias("reason"))
     none = F.array()
     record = build_record(firm, person, discovery, none, none, freshness, lifecycle_status="quarantine")
     nested = rows.select(c["legacy_id"].alias("legacy_record_id"), record.alias("r")).select("legacy_record_id", "r.*")

@@ -125,7 +125,13 @@ TITLE_KEYWORDS = [
     "client", "planning", "compliance", "strategist", "senior", "lead", "relationship", "capital",
     "private", "equity",
 ]
-CARD_TITLE_KEYWORDS = TITLE_KEYWORDS + ["general", "venture", "alternatives", "estate"]
+CARD_TITLE_KEYWORDS = [
+    "president", "director", "officer", "partner", "principal", "founder", "manager", "advisor", "adviser", "associate",
+    "analyst", "chief", "head", "managing", "executive", "chairman", "ceo", "cfo", "cio", "coo", "controller", "accountant",
+    "counsel", "secretary", "treasurer", "vice president", "portfolio", "investment", "wealth", "family", "trust", "tax",
+    "operations", "client", "planning", "compliance", "strategist", "senior", "lead", "general", "relationship", "capital",
+    "private", "equity", "venture", "alternatives", "estate",
+]
 CARD_NAME = r"^([A-Z][a-z'’\-]{1,20}(?:\s+[A-Z]\.?)?(?:\s+[A-Z][a-z'’\-]{1,20}){1,2})(?:[,\s]|$)"
 CARD_NAME_CAPS = r"^([A-Z]{2,20}(?:\s+[A-Z]{2,20}){1,3})(?:[,\s]|$)"
 CARD_NAME_STOPS = [
@@ -213,6 +219,19 @@ EXCLUDED_HOSTS = [
     "facebook.com", "instagram.com", "linkedin.com", "x.com", "twitter.com", "youtube.com", "scribd.com",
 ]
 
+# --- fixed values: sentences of checks, refreshes and migration ------------
+EVIDENCE_MISSING = "Named person or qualifying route was no longer present on the checked source."
+EVIDENCE_PRESENT = "Named person and qualifying route remained present on the checked source."
+NO_EMAIL = "No email addresses found in the retrieved evidence for the matching records."
+NO_PROFILE = "No LinkedIn profiles found in the retrieved evidence for the matching records."
+NO_PHONE = "Phone numbers are not stored in this dataset."
+NO_TITLE = "No records with title containing '{}' found in the evidence."
+DOMAIN_MATCH = "Official domain matches firm name; self-describes"
+DOMAIN_OTHER = "Domain doesn't perfectly match firm name; self-describes"
+CORROBORATED = "; registry corroborated"
+STAGE_FIRM = ("Stage 1 treated ", " as a family office.")
+STAGE_FRESHNESS = "Stage 1 record has no route to the named person and has not passed the Stage 2 inclusion policy."
+
 # --- fixed values: contact codes, defaults and labels ---------------------
 ROUTE_PRIORITY = ["email", "linkedin", "direct_phone"]
 STAGE_REASON = "stage1.jsonl_not_in_authoritative_csv"
