@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from evq import schemas
@@ -111,7 +112,7 @@ def build(rows: DataFrame, path: str, spec: ReleaseSpec, created_at: str, final_
     files.write_csv(flat, f"{path}/csv", flat.columns, [spec.id_column])
 
     stats = rows.agg(*[c.alias(n) for n, c in spec.statistics.items()])
-    sums = representation_digests(spark, path, flat.columns)
+    sums = representation_digests(spark, path)
     failures = relational.readiness_failures(spec.minimums)
     manifest = stats.crossJoin(F.broadcast(sums)).select(  # two one-row frames
         F.lit("2.0").alias("schema_version"), F.lit(release_id).alias("release_id"), F.lit(created_at).alias("created_at"),
@@ -135,33 +136,48 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).json(f"{path}/manifest")
 
 
-def _csv_lines(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV records as text; a record may span file lines, so it is read as columns and joined again."""
-    rows = files.read_csv(spark, f"{path}/csv", columns)
-    return rows.select(F.to_json(F.array(*[F.col(f"`{c}`") for c in columns])).alias("value"))
+def representation_digests(spark: SparkSession, path: str) -> DataFrame:
+    """One row: SHA-256 of each representation, over the SHA-256 of the bytes of its part files in name order.
 
-
-def representation_digests(spark: SparkSession, path: str, csv_columns: Sequence[str]) -> DataFrame:
-    """One row with the digests of the two written representations."""
+    Part files are read whole, one per row: their size is bounded by the writing tasks, and so is the list of digests.
+    """
     parts = []
-    for name, lines in (("csv", _csv_lines(spark, path, csv_columns)), ("jsonl", spark.read.text(f"{path}/jsonl"))):
-        parts.append(lines.agg(*digest_columns(F.col("value"))).select(F.lit(name).alias("name"), digest_text().alias("d")))
-    both = parts[0].unionByName(parts[1])
-    return both.agg(*[F.max(F.when(F.col("name") == n, F.col("d"))).alias(f"{n}_sha256") for n in ("csv", "jsonl")])
+    for name in ("csv", "jsonl"):
+        content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{name}")
+        parts.append(content.select(
+            F.lit(name).alias("name"), F.struct(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("d")).alias("p")))
+    sums = parts[0].unionByName(parts[1]).groupBy("name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p"))["d"], ""), 256).alias("d"))
+    return sums.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("d"))), F.lit("")).alias(f"{n}_sha256") for n in ("csv", "jsonl")])
+
+
+def _disorder(rows: DataFrame) -> DataFrame:
+    """Number of rows (id, file, block, line) that stand behind a greater id of their representation."""
+    within = F.lag("id").over(Window.partitionBy("file").orderBy("block", "line"))
+    inside = rows.withColumn("before", within).groupBy("file").agg(
+        F.count_if(F.col("before") > F.col("id")).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    across = F.coalesce(F.lag("most").over(Window.orderBy("file")) > F.col("least"), F.lit(False))  # one row per part file
+    return inside.select("n", across.cast("bigint").alias("gap")).agg(F.coalesce(F.sum(F.col("n") + F.col("gap")), F.lit(0)).alias("disorder"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("line"))
 
 
 def reconcile(spark: SparkSession, release: Release, spec: ReleaseSpec, csv_columns: Sequence[str]) -> DataFrame:
     """One row: passed, problems, record_count of a written release.
 
-    Ids are compared as multisets: both files are written in id order, so equal
-    ids mean equal order.
+    Ids are compared as multisets, and both files must be in id order, so equal
+    ids mean equal order. Digests are those of the files' bytes.
     """
     path = release.path
-    json_rows = spark.read.text(f"{path}/jsonl").select(
+    json_rows = _placed(spark.read.text(f"{path}/jsonl")).select(
         F.get_json_object("value", f"$.{spec.record_id}").alias("id"), F.get_json_object("value", "$.release_id").alias("rel"),
-        F.lit(1).alias("j"), F.lit(0).alias("c"))
-    csv_rows = files.read_csv(spark, f"{path}/csv", csv_columns).select(
-        F.col(f"`{spec.id_column}`").alias("id"), F.col(f"`{spec.release_column}`").alias("rel"), F.lit(0).alias("j"), F.lit(1).alias("c"))
+        F.lit(1).alias("j"), F.lit(0).alias("c"), "file", "block", "line")
+    csv_rows = _placed(files.csv_scan(spark, f"{path}/csv", csv_columns)).select(
+        F.col(f"`{spec.id_column}`").alias("id"), F.col(f"`{spec.release_column}`").alias("rel"), F.lit(0).alias("j"), F.lit(1).alias("c"),
+        "file", "block", "line")
+    disorder = _disorder(json_rows).unionByName(_disorder(csv_rows)).agg(F.sum("disorder").alias("disorder"))
     per_id = json_rows.unionByName(csv_rows).groupBy("id", "rel").agg(F.sum("j").alias("j"), F.sum("c").alias("c"))
     own = F.col("rel").eqNullSafe(F.lit(release.release_id))
     totals = per_id.groupBy("id").agg(
@@ -169,14 +185,14 @@ def reconcile(spark: SparkSession, release: Release, spec: ReleaseSpec, csv_colu
     ).agg(
         F.coalesce(F.sum("j"), F.lit(0)).alias("json_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("csv_rows"),
         F.count_if(F.col("j") != F.col("c")).alias("id_gaps"), F.count_if(F.col("foreign")).alias("foreign_ids"))
-    now = representation_digests(spark, path, csv_columns).select(
+    now = representation_digests(spark, path).select(
         F.col("csv_sha256").alias("now_csv"), F.col("jsonl_sha256").alias("now_jsonl"))
-    facts = totals.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(release.manifest))  # one row each
+    facts = totals.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(disorder)).crossJoin(F.broadcast(release.manifest))  # one row each
     problems = policy.fired([
         (F.col("now_csv") != F.col("csv_sha256"), "csv checksum differs from manifest"),
         (F.col("now_jsonl") != F.col("jsonl_sha256"), "jsonl checksum differs from manifest"),
         ((F.col("json_rows") != F.col("csv_rows")) | (F.col("json_rows") != F.col("record_count")), "row counts disagree"),
-        (F.col("id_gaps") > 0, "record IDs or ordering disagree"),
+        ((F.col("id_gaps") > 0) | (F.col("disorder") > 0), "record IDs or ordering disagree"),
         (F.col("foreign_ids") > 0, "release IDs disagree"),
     ])
     return facts.select(

@@ -60,10 +60,15 @@ def write_jsonl(df: DataFrame, path: str, sort_key: str | None = None) -> None:
     lines.write.text(path)
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV scan with header and quoted line breaks; every column is text and '' stays ''."""
+def csv_scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """CSV scan with header and quoted line breaks, which makes every file one task; part files are of bounded size."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """``csv_scan`` with every column as text, where '' stays ''."""
+    raw = csv_scan(spark, path, columns)
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 

@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 
 import pytest
 from conftest import OBSERVED, enrichment, golden, route
@@ -65,6 +67,37 @@ def test_release_round_trip_and_drift(spark, frame, tmp_path):
         release.check_release(spark, built)
 
 
+def part_with_rows(folder):
+    """Path and lines of the part file that holds the most lines; its checksum file goes."""
+    path = max(glob.glob(f"{folder}/part-*"), key=os.path.getsize)
+    for crc in glob.glob(f"{folder}/.*.crc"):
+        os.remove(crc)
+    with open(path) as handle:
+        return path, handle.read().splitlines(keepends=True)
+
+
+@pytest.mark.parametrize(("kind", "edit", "problem"), [
+    ("jsonl", lambda lines: lines[::-1], "jsonl checksum differs from manifest; record IDs or ordering disagree"),
+    ("csv", lambda lines: [lines[0], lines[2], lines[1]], "csv checksum differs from manifest; record IDs or ordering disagree"),
+    ("csv", lambda lines: [x.replace("Jane", '"Jane"', 1) if "Jane Smith" in x and '"Jane' not in x else x + "\n" for x in lines],
+     "csv checksum differs from manifest"),
+])
+def test_edited_files_do_not_reconcile(spark, frame, tmp_path, kind, edit, problem):
+    rows = frame(golden(), golden(person="Mary Jones")).coalesce(1)
+    built = release.export_release(rows, str(tmp_path / "r"), NOW)
+    path, lines = part_with_rows(f"{built.path}/{kind}")
+    if len(lines) < 2 + (kind == "csv"):  # one row per part file: swap the files instead
+        other = min(set(glob.glob(f"{built.path}/{kind}/part-*")) - {path}, key=lambda f: -os.path.getsize(f))
+        a, b = open(path).read(), open(other).read()
+        open(path, "w").write(b if problem.endswith("disagree") else a + "\n")
+        open(other, "w").write(a if problem.endswith("disagree") else b)
+    else:
+        with open(path, "w") as handle:
+            handle.write("".join(edit(lines)))
+    with pytest.raises(ValueError, match=problem):
+        release.check_release(spark, built)
+
+
 def test_blocked_releases(frame, tmp_path):
     with pytest.raises(ValueError, match="requested publication but failed policy"):
         release.export_release(frame(golden(contact_routes=[route(inferred=True)])), str(tmp_path / "a"), NOW)
