@@ -38,13 +38,13 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``.
+    """The folder every executor can read: ``spark.checkpoint.dir``, else the runtime setting ``evq.scratch.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own;
-    a cluster session without it is an error, because a machine-local folder
+    Only a local-mode session without these settings gets a folder of its own;
+    a cluster session without them is an error, because a machine-local folder
     would be lost with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("evq.scratch.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
@@ -55,9 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    return f"{shared_dir(spark)}/evq/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; runs never share one."""
-    return f"{shared_dir(spark)}/evq/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once their results have been written or read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str):

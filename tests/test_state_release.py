@@ -188,3 +188,12 @@ def test_streams_over_many_batches_equal_the_batch_answer(spark, tmp_path):
         files.write_snapshot(spark.range(n), base, number + 1)
     assert files.current_version(spark, base) == 2
     assert files.read_snapshot(spark, base).count() == 9
+
+
+def test_scratch_tables_can_be_removed(spark):
+    from evq import session
+
+    kept = session.materialize(spark.range(5), "numbers")
+    assert kept.count() == 5
+    session.remove_scratch(spark)
+    assert not files.exists(spark, session.scratch_dir(spark))
