@@ -8,7 +8,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 
-from evq.session import shared_dir
+from evq.session import scratch_path
 
 
 def mounted_folder(spark, name: str) -> str:
@@ -17,10 +17,10 @@ def mounted_folder(spark, name: str) -> str:
     Memory mapping needs a mounted file system (NFS, Lustre, a FUSE mount, ...); a store that only Hadoop clients
     reach is refused here, before any work starts.
     """
-    base = urlsplit(shared_dir(spark))
+    base = urlsplit(scratch_path(spark, name))
     if base.scheme not in ("", "file"):
         raise ValueError(f"{name}: memory-mapped arrays need spark.checkpoint.dir on a mounted path, not {base.scheme}:")
-    path = os.path.join(unquote(base.path), "evq", f"{name}-{uuid.uuid4().hex}")
+    path = unquote(base.path)
     os.makedirs(path)
     return path
 
