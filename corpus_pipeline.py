@@ -17,16 +17,33 @@ from evq.session import materialize
 ORACLE_SQL = None
 
 
+#: Keys of dropped documents (two long values each) up to which they are broadcast, so that texts need no shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, mark) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``mark`` are among ``dropped`` (doc_id, mark); nulls are equal here.
+
+    A set of dropped keys of checked size is broadcast; a larger one meets the documents in a shuffle join.
+    """
+    dropped = materialize(dropped.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "dropped")
+    if dropped.count() <= BROADCAST_KEYS:
+        dropped = F.broadcast(dropped)
+    same = docs["doc_id"].eqNullSafe(dropped["__id"]) & mark.eqNullSafe(dropped["__mark"])
+    return docs.join(dropped, same, "left_anti")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the verdict of their host."""
-    judged = quality.judge(docs)
-    return judged.where("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    mark = F.xxhash64("source", "text")
+    judged = quality.judge(docs.select("doc_id", "source", "text", mark.alias("mark")), keep=("doc_id", "mark"))
+    return without(docs, judged.where("not __q_kept"), mark)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id."""
-    dropped = minhash.groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    dropped = minhash.groups(docs).where("not kept").withColumn("mark", F.lit(0))
+    return without(docs, dropped, F.lit(0))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

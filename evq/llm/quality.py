@@ -118,12 +118,14 @@ def beta_prior(hosts: int, n: int, failed: int, squares: float) -> tuple[float,
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", into: str = "__q", host_limit: float = HOST_LIMIT,
-          habit_limit: float = HABIT_LIMIT) -> DataFrame:
-    """``docs`` with the struct ``into`` (see ``measure``) and the boolean ``<into>_kept``.
+          habit_limit: float = HABIT_LIMIT, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with the struct ``into`` (see ``measure``) and the boolean ``<into>_kept``.
 
-    The measured rows are written once and read for the host sums and for the verdicts.
+    The measured rows are written once and read for the host sums and for the verdicts: leave long texts out of ``keep``.
     """
-    measured = materialize(measure(docs, text, into), "quality")
+    keep = tuple(docs.columns) if keep is None else keep
+    columns = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, host])]
+    measured = materialize(measure(docs, text, into).select(*columns, into), "quality")
     key = F.coalesce(F.concat(F.lit("host "), F.col(host).cast("string")), F.lit("no host"))
     verdicts = host_verdicts(measured, key, into, host_limit, habit_limit)
     verdicts = verdicts.select(F.col("host").alias(f"{into}_host"), F.struct("bad", *(f"habit_{r}" for r in FORM)).alias(f"{into}_v"))
@@ -131,4 +133,4 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", into: str =
     dropped = F.col(f"{into}.base_failed") | F.col(f"{into}_v.bad")
     for r in FORM:
         dropped = dropped | (F.col(f"{into}.{r}") & F.col(f"{into}_v.habit_{r}"))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), into, (~dropped).alias(f"{into}_kept"))
+    return joined.select(*(F.col(f"`{c}`") for c in keep), into, (~dropped).alias(f"{into}_kept"))
