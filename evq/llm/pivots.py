@@ -56,36 +56,36 @@ def table_of(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return squares, np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in pivots.astype(np.float64)])
 
 
-def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles as long as these are exact, which is faster."""
-    top = int(np.abs(vectors).max(initial=0)), int(np.abs(query).max(initial=0))
-    if top[0] * top[1] * len(query) < 2**53:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return vectors @ query
+def exact(vectors: np.ndarray, top: int) -> np.ndarray:
+    """The vectors in the fastest type whose inner products are exact, if no other component is above ``top``."""
+    most = max(int(np.abs(vectors).max(initial=0)), top) ** 2 * vectors.shape[1]
+    return vectors.astype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64)
 
 
 def search(query: tuple, chunk: tuple, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(ids, scores, number evaluated) of the candidates that can be among the best k of one query."""
     own, vector, square, distances, least = query
     ids, vectors, squares, table = chunk
-    bound = np.zeros(len(ids))
+    bound, gap = np.zeros(len(ids)), np.empty(len(ids))
     for p in range(len(table)):
-        np.maximum(bound, np.abs(table[p] - distances[p]), out=bound)
+        np.subtract(table[p], distances[p], out=gap)
+        np.maximum(bound, np.abs(gap, out=gap), out=bound)
     total = square + squares
     bound = (total - bound * bound) / 2 + 1e-9 * total + 1e-6  # room for rounding of the distances
     open_ = np.flatnonzero((bound >= least) & (ids != own))
-    open_ = open_[np.argsort(-bound[open_], kind="stable")]
-    got, scores, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    open_ = open_[np.argsort(-bound[open_])]
+    got, scores, done, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, STEP
     while done < len(open_) and bound[open_[done]] >= least:
-        step = open_[done:done + STEP]
-        done += len(step)
-        got, scores = np.concatenate([got, step]), np.concatenate([scores, products(vectors[step], vector)])
-        good = np.lexsort((ids[got], -scores))[:k]
-        got, scores = got[good], scores[good]
-        if len(got) == k:
+        step = open_[done:done + size]
+        done, size = done + len(step), 4 * size
+        found = (vectors[step] @ vector.astype(vectors.dtype)).astype(np.int64)
+        good = found >= least
+        got, scores = np.concatenate([got, step[good]]), np.concatenate([scores, found[good]])
+        if len(got) >= k:
+            best = np.lexsort((ids[got], -scores))[:k]
+            got, scores = got[best], scores[best]
             least = max(least, int(scores[-1]))
-    keep = scores >= least
-    return ids[got[keep]], scores[keep], done
+    return ids[got], scores, done
 
 
 def _rows(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -141,10 +141,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "vec_id"
                 least = np.full(len(own), np.iinfo(np.int64).min)
                 if n in shared.value[0]:
                     known, base = shared.value[0][n]
+                    base = exact(base, int(np.abs(block).max(initial=0)))
                     for i, q in enumerate(block):
-                        scores = np.sort(products(base, q)[known != own[i]])
+                        scores = (base @ q.astype(base.dtype))[known != own[i]]
                         if len(scores) >= k:
-                            least[i] = scores[-k]
+                            least[i] = int(np.partition(scores, -k)[-k])
                 name = f"{n}-{part}-{made}"
                 for what, values in zip(PARTS, (own, block, squares, distances, least), strict=True):
                     save_array(os.path.join(folder, f"{name}.{what}.npy"), values)
@@ -168,9 +169,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "vec_id"
             ids, vectors = (np.concatenate(x) for x in zip(*waiting.pop(n), strict=True))
             for a in range(0, len(ids), CHUNK):
                 own, block = ids[a:a + CHUNK], vectors[a:a + CHUNK]
-                chunk = own, block, *table_of(block, pivots_for(n))
+                squares, distances = table_of(block, pivots_for(n))
                 for name in (x for x in names if x.startswith(f"{n}-")):
                     q_ids, q_vectors, q_squares, q_distances, q_least = (open_array(os.path.join(folder, f"{name}.{w}.npy")) for w in PARTS)
+                    chunk = own, exact(block, int(np.abs(q_vectors).max(initial=0))), squares, distances
                     found = [search((q_ids[i], q_vectors[i], q_squares[i], q_distances[:, i], int(q_least[i])), chunk, k)
                              for i in range(len(q_ids))]
                     sizes = [len(x[0]) for x in found]
