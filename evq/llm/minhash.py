@@ -10,11 +10,13 @@ empty set and no links. Sets are kept as 64-bit hashes of their shingles.
 3. In a bucket, edges form a star: from one member, the leader, to the others, as many edges as members, and each edge is
    confirmed on the full sets. Members that no confirmed link has joined to a leader of the bucket, through whatever
    texts, are loose: one of them, drawn by a hash of bucket and member, is the leader of the next star, which reaches for
-   the loose ones. In a bucket of at most SMALL members they are compared with every member instead. Edges stay in
-   proportion to the members however large a bucket is. Two texts over the limit share a dozen buckets on average, each
-   with leaders of its own, and a group needs only one path of links, but a text whose only link goes to a member that
-   never leads in their common large buckets is left alone.
-4. Components of the confirmed links come from alternating large and small stars (Kiveris et al. 2014).
+   the loose ones. In a bucket of at most SMALL members they are compared with every member instead.
+4. The stars only spare work. After STARS of them all members of a larger bucket that are still in different components,
+   loose or led, are compared with each other: a bucket is dealt into cells of two blocks of about BLOCK members, and a
+   task counts what the sets of a cell have in common on 31-bit folds of their hashes. The count, with what folding may
+   have merged added, is no less than the true one, so only pairs that cannot reach the limit are dropped; the others are
+   confirmed on the full sets. So every pair over the limit that shares a bucket ends in one component.
+5. Components of the confirmed links come from alternating large and small stars (Kiveris et al. 2014).
 
 Every table of a round is written to the shared folder. Nothing is collected but sums.
 """
@@ -35,8 +37,8 @@ from evq.session import materialize
 _U = np.uint64
 SHINGLE = 5
 BANDS, ROWS = 90, 7
-#: Stars per bucket, and the bucket size up to which loose members are compared with all.
-STARS, SMALL = 3, 8
+#: Stars per bucket, the bucket size up to which loose members are compared with all, and the members in a block of a larger one.
+STARS, SMALL, BLOCK = 3, 8, 1024
 
 
 # --- sets and signatures of a batch -----------------------------------------
@@ -169,6 +171,68 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * total).select("a", "b").distinct()
 
 
+def near_cells(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of block i, of block j) of a cell that are in different components and may reach the limit."""
+    side, i, j = (cell.column(c).to_numpy() for c in ("block", "i", "j"))
+    component = np.unique(cell.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
+    none = np.zeros(0, np.int64)
+    if not len(left) or not len(right) or component.max() == 0:
+        return none, none
+    n, items = cell.column("n").to_numpy(), cell.column("items").combine_chunks()
+    row, _ = expand(np.diff(items.offsets.to_numpy()))
+    _, value, times = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    width = len(times)
+    own = np.unique(row * width + value)  # distinct folds of each row
+    row, value = own // width, own % width
+    merged = n - np.bincount(row, minlength=len(n))
+    often = np.bincount(value, minlength=width) > 1
+    place = np.cumsum(often) - 1
+    row, value = row[often[value]], place[value[often[value]]]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    at = np.zeros((2, len(n)), np.int64) - 1
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(often.sum()), 4096):
+        x, y = np.searchsorted(value, [start, start + 4096])
+        parts = []
+        for k, rows in enumerate((left, right)):
+            part = np.zeros((len(rows), 4096), np.float32)
+            mine = at[k, row[x:y]] >= 0
+            part[at[k, row[x:y][mine]], value[x:y][mine] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    most = common + np.minimum(merged[left][:, None], merged[right][None, :])
+    good = (100 + percent) * most >= percent * (n[left][:, None] + n[right][None, :])
+    good &= component[left][:, None] != component[right][None, :]
+    if i[0] == j[0]:
+        good = np.triu(good, 1)
+    a, b = np.nonzero(good)
+    return left[a], right[b]
+
+
+def across(known: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) that share a bucket of ``known`` (bucket, node, m, component), are in different components and may reach the limit."""
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rest = known.join(mixed, "bucket", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.select("bucket", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = materialize(rest, "cells")
+    folds = sets.join(rest.select("node").distinct(), "node", "left_semi").select(
+        "node", F.size("items").alias("n"), F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        x, y = near_cells(cell, percent)
+        node = cell.column("node")
+        return pa.table([node.take(pa.array(x)), node.take(pa.array(y))], names=["a", "b"])
+
+    kind = known.schema["node"].dataType.simpleString()
+    found = rest.join(folds, "node").groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS,
            stars: int = STARS) -> DataFrame:
     """Per row: key, n_shingles, component_id (least key of its group), kept (it is that key).
@@ -199,12 +263,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     for turn in range(1, stars + 1):
         links = materialize(links.union(confirmed(pairs, sets, percent)), "links")
         labels = materialize(components(links), "labels")
-        if turn == stars:
-            break
 
         def labelled(of: DataFrame, labels=labels) -> DataFrame:
             return of.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+        if turn == stars:
+            break
+
         # Members of a bucket that no confirmed link joins to one of its leaders.
         led = labelled(leaders).select("bucket", "component").distinct()
         known = labelled(members.select("bucket", "node", "n", "m"))
@@ -222,6 +287,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         pairs = materialize(edges(near).join(looked_at, ["a", "b"], "left_anti"), "pairs")
         looked_at, leaders = looked_at.union(pairs), leaders.union(centres.select("bucket", "node"))
 
+    # What the stars left: members of a bucket in different components. Smaller buckets were compared whole.
+    rest = labelled(members.select("bucket", "node", "m").where(F.col("m") > (SMALL if stars > 1 else 1)))
+    pairs = materialize(across(rest, sets, percent).join(looked_at, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        links = materialize(links.union(confirmed(pairs, sets, percent)), "links")
+        labels = materialize(components(links), "labels")
+
     named = own.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     group = F.when(F.col("key").isNotNull(), F.coalesce("component", "node", "key"))
     return named.select(

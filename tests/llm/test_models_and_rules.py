@@ -196,6 +196,22 @@ def test_groups_equal_brute_force(spark):
     assert len(set(want.values())) < len(texts) - 100
 
 
+def test_no_pair_of_a_large_bucket_is_left_out(spark):
+    """Pairs among texts of one template, in buckets of far more texts than leaders; blocks of any size give the same."""
+    shared = " ".join(f"p{x}" for x in range(60))
+    texts = [f"{shared} {' '.join(f'q{i}_{k}' for k in range(25))} end{v}" for i in range(40) for v in range(2)]
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    want = components(sets)
+    assert len(set(want.values())) == 40
+    got = minhash.groups(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), bands=6, rows=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    rows = [(1, i, len(s), len(texts), i, [hash(x) for x in s]) for i, s in sets.items()]
+    both = spark.createDataFrame(rows, "bucket long, node long, n long, m long, component long, items array<long>")
+    near = {(2 * i, 2 * i + 1) for i in range(40)}
+    for block in (7, 1024):
+        assert {tuple(r) for r in minhash.across(both.drop("items"), both.select("node", "items"), 75, block).collect()} == near
+
+
 def test_group_edges(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text, "s"), (5, text, "s"), (None, text, "s"), (9, text + " more", "s"), (7, None, "s"), (8, "x " * 60000, "s"), (9, "other words here", "s")]
