@@ -32,10 +32,12 @@ BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Every run that the other kinds could lie in.
+#: Every run that an access key id, a hex run or a bare key could lie in; the least of them has 20 characters.
 LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: Up to the matching end mark: headers may hold hyphens. No other block begins in between, so each is read once.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----BEGIN ))*?)-----END \1-----")
+HEADER = re.compile(r"^[ \t]*[A-Za-z][A-Za-z0-9-]*:.*$", re.M)
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 OPENSSH = b"openssh-key-v1\0"
@@ -108,6 +110,16 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def pem_key(body: str) -> bool:
+    """Whether the text between the marks of a private-key block is one, also with line breaks written as \\n and \\r."""
+    body = re.sub(r"\\+n", "\n", re.sub(r"\\+r|\r", "", body)).replace("\\/", "/").strip()
+    if ":" not in body:
+        return bool((data := unbase64(body)) and private_key(data))
+    head, blank, rest = re.sub(r"\n[ \t]+\n", "\n\n", body).partition("\n\n")  # the headers of an encrypted block end with an empty line
+    data = unbase64(rest if blank else HEADER.sub("", head))
+    return bool(data and (private_key(data) or ("DEK-Info" in body and len(data) % 8 == 0)))
+
+
 def _object(part: str) -> dict | None:
     data = unbase64(part)
     if not data or not data.lstrip().startswith(b"{"):
@@ -124,21 +136,19 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if ":" in text or "=" in text:
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    if LONG.search(text):
+    long = LONG.search(text)
+    if long:
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        if "." in text:
-            out += [(m.start(), 3, m.end()) for m in JWT.finditer(text)
-                    if isinstance((_object(m[1]) or {}).get("alg"), str) and _object(m[2]) is not None]
-        blocks = []
-        if "-----BEGIN" in text:
-            for m in PEM.finditer(text):
-                body = m[2].rpartition("\n\n")[2] if ":" in m[2] else m[2]  # after headers of an encrypted block
-                data = unbase64(body)
-                if data and (private_key(data) or ("DEK-Info" in m[2] and len(data) % 8 == 0)):
-                    blocks.append((m.start(), m.end()))
-        out += [(a, 4, b) for a, b in blocks]
+    if "." in text:
+        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text)
+                if isinstance((_object(m[1]) or {}).get("alg"), str) and _object(m[2]) is not None]
+    blocks = []
+    if "-----BEGIN" in text:
+        blocks = [(m.start(), m.end()) for m in PEM.finditer(text) if pem_key(m[2])]
+    out += [(a, 4, b) for a, b in blocks]
+    if long:
         for m in ENCODED.finditer(text):
             if any(a <= m.start() < b for a, b in blocks):
                 continue

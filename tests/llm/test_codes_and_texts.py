@@ -241,6 +241,25 @@ def test_structures_are_confirmed_before_they_are_reported(text, kinds):
     assert [secrets.KINDS[k] for _, k, _ in secrets.spans(text)] == kinds
 
 
+LEGACY = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + b64(bytes(range(96)))
+
+
+@pytest.mark.parametrize(("kind", "body"), [
+    ("RSA PRIVATE KEY", f"\n{LEGACY}\n"), ("RSA PRIVATE KEY", f"\n{LEGACY}\n\n".replace("\n", "\r\n")), ("RSA PRIVATE KEY", f"\n{LEGACY}\n".replace("\n", "\\n")),
+    ("PRIVATE KEY", f"\\n{b64(PKCS8)[:64]}\\n{b64(PKCS8)[64:]}\\n"), ("PRIVATE KEY", f"\\r\\n{b64(PKCS8)}\\r\\n".replace("/", "\\/")),
+    ("PRIVATE KEY", "\n" + "\n".join(b64(PKCS8)[i:i + 16] for i in range(0, len(b64(PKCS8)), 16)) + "\n")])
+def test_key_blocks_with_headers_and_escaped_line_breaks(kind, body):
+    block = f"-----BEGIN {kind}-----{body}-----END {kind}-----"
+    text = f"-----BEGIN {kind}----- cut, {{{block}}}"
+    start = text.index(block)
+    assert [s for s in secrets.spans(text) if s[1] >= 3] == [(start, 4, start + len(block))]
+
+
+def test_short_tokens_are_not_gated():
+    text = f"{url64(b'{"alg":"none"}')}.{url64(b'{"a":1}')}."
+    assert max(map(len, text.split("."))) == 19 and secrets.spans(text) == [(0, 3, len(text))]
+
+
 def base_spans(text):
     """The base kinds as defined: leftmost matches, failing ones dropped."""
     rules = [(re.compile(r"""(?i:([Pp]assword|passwd|[s]ecret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
