@@ -1,7 +1,10 @@
 """License texts in documents, found by patience alignment with templates.
 
-A window of the document around a word that names a license, as long as the template, and one that is a quarter longer on
-both sides, are aligned with the template (the shorter one tells copies that follow each other apart): words that occur once in both are anchors, their longest increasing subsequence is kept,
+A match may miss as many template words as ``least`` allows, so of one word more than that, the rarest in the document,
+it has at least one. Windows open from each of these: one as long as the template, one that is a quarter longer on both
+sides (the shorter one tells copies that follow each other apart), and one from the first to the last of the rare template
+words in order around it, wherever inserted text has moved them; between two of them up to a template's length may be
+inserted. Windows are aligned with the template: words that occur once in both are anchors, their longest increasing subsequence is kept,
 and the gaps between anchors are aligned in the same way, after equal words at their ends. The coverage is the share of
 template words that are matched. A match is reported from ``least`` on; of overlapping matches the one with more matched
 words stays, then the higher coverage, the earlier start and the first name.
@@ -16,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +48,6 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
-#: Words that a window may start from; every template has at least one.
-SEED = re.compile(r"licen[cs]|permi(?:ssion|tted)|copyright", re.I)
 WORD = re.compile(r"[^\W_]+")
 LEAST = 0.75
 
@@ -95,39 +97,69 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _templates(texts: dict[str, str]) -> list[tuple[str, list[str], list[int]]]:
+def _templates(texts: dict[str, str]) -> list[tuple[str, list[str], Counter]]:
     out = []
     for name, text in texts.items():
         words = [w.lower() for w in WORD.findall(text)]
-        out.append((name, words, [i for i, w in enumerate(words) if SEED.match(w)]))
+        out.append((name, words, Counter(words)))
     return out
 
 
-def matches(text: str, templates: list[tuple[str, list[str], list[int]]], least: float = LEAST) -> list[tuple[int, int, str, int, float]]:
+def _reach(hits: list[tuple[int, int]], at: int, step: int, size: int, lost: int) -> tuple[int, int]:
+    """The last of the hits (place, template place) before (step -1) or after ``hits[at]`` that are in order with it."""
+    p, q = hits[at]
+    at += step
+    while 0 <= at < len(hits):
+        far, on = abs(hits[at][0] - p), (hits[at][1] - q) * step
+        if far > 2 * size:
+            break
+        if far and 0 < on <= far + lost and far <= on + size:
+            p, q = hits[at]
+        at += step
+    return p, q
+
+
+def windows(places: dict[str, list[int]], own: list[str], counts: Counter, lost: int) -> Iterator[tuple[int, int]]:
+    """Word ranges that a copy of the template with at most ``lost`` words missing may lie in; ``places`` has the document's words."""
+    by = sorted(range(len(own)), key=lambda q: len(places.get(own[q], ())))
+    rare = [q for q in by[:lost + 1] if own[q] in places]
+    if not rare:
+        return
+    follow = {q for q in by if counts[own[q]] <= 2 and own[q] in places} | set(rare)
+    hits = sorted((p, q) for q in follow for p in places[own[q]])
+    slack, seen, first = max(3, len(own) // 4), set(), set(rare)
+    for at, (p, q) in enumerate(hits):
+        if q not in first:
+            continue
+        (a, x), (b, y) = _reach(hits, at, -1, len(own), lost), _reach(hits, at, 1, len(own), lost)
+        start = p - q
+        for window in ((start, start + len(own)), (start - slack, start + len(own) + slack), (a - x - slack, b + len(own) - y + slack)):
+            if window not in seen:
+                seen.add(window)
+                yield window
+
+
+def matches(text: str, templates: list[tuple[str, list[str], Counter]], least: float = LEAST) -> list[tuple[int, int, str, int, float]]:
     """(start, end, name, matched words, coverage) of the licenses in a text, in order."""
-    if not SEED.search(text):
-        return []
-    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in places]
-    hits = [i for i, w in enumerate(words) if SEED.match(w)]
+    spots = list(WORD.finditer(text))
+    words = [m[0].lower() for m in spots]
+    known = set().union(*(counts for _, _, counts in templates))
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        if w in known:
+            places.setdefault(w, []).append(i)
     found = []
-    for name, own, seeds in templates:
-        slack, seen = max(3, len(own) // 4), set()
-        for hit in hits:
-            for seed in seeds:
-                if words[hit] != own[seed]:
-                    continue
-                if hit - seed in seen:
-                    continue
-                seen.add(hit - seed)
-                for more in (0, slack):
-                    first = max(0, hit - seed - more)
-                    pairs = align(words[first:hit - seed + len(own) + more], own)
-                    if len(pairs) >= least * len(own):
-                        a, b = places[first + pairs[0][0]][0], places[first + pairs[-1][0]][1]
-                        found.append((a, b, name, len(pairs), len(pairs) / len(own)))
-                    if len(pairs) == len(own):
-                        break
+    for name, own, counts in templates:
+        need = ceil(least * len(own))
+        for first, last in windows(places, own, counts, len(own) - need):
+            first = max(0, first)
+            cut = words[first:last]
+            if sum(w in counts for w in cut) < need:
+                continue
+            pairs = align(cut, own)
+            if len(pairs) >= need:
+                a, b = spots[first + pairs[0][0]].start(), spots[first + pairs[-1][0]].end()
+                found.append((a, b, name, len(pairs), len(pairs) / len(own)))
     chosen: list[tuple[int, int, str, int, float]] = []
     taken: list[tuple[int, int]] = []  # kept spans by start; they don't overlap
     for m in sorted(set(found), key=lambda m: (-m[3], -m[4], m[0], m[2])):

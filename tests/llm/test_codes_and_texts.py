@@ -318,6 +318,16 @@ def test_licenses_are_found_whole_and_changed(spark):
     assert licenses.find(frame(spark, [])).count() == 0
 
 
+def test_windows_open_from_any_part_of_a_template():
+    known = licenses._templates(licenses.TEMPLATES)
+    mit, bsd = licenses.TEMPLATES["MIT-notice"], licenses.TEMPLATES["BSD-3-Clause"]
+    inserted = mit.replace("including", "x " * 40 + "including")
+    for name, text in (("MIT-notice", mit.replace("Permission is", "Permissions are")), ("MIT-notice", mit.partition(" ")[2]), ("MIT-notice", inserted),
+                       ("BSD-3-Clause", bsd.replace("permitted", "per mitted")), ("GPL-3.0", licenses.TEMPLATES["GPL-3.0"].replace("licens", "licenc").replace("Licens", "Licenc"))):
+        (found,) = licenses.matches(f"the words of the software before. {text} and of it after", known)
+        assert found[2] == name and found[4] >= 0.8, text
+
+
 # --- preferences ------------------------------------------------------------
 
 def test_pairs_share_the_longest_prefix(spark):
