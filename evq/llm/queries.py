@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import licenses, minhash, ngram_lm, packing, pivots, preferences, quality, secrets, sentencepiece_codec, simple8b
+from evq.llm import (
+    licenses, minhash, ngram_lm, packing, phrases, pivots, preferences, quality, secrets, sentencepiece_codec, simple8b)
 from evq.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +172,38 @@ def op8_preference_formatting(spark, sf_dir):
 
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
     return made.select("pair_id", "n_prompt_turns", *digests, runs("chosen_mask"), runs("rejected_mask"), "usable")
+
+
+PHRASES_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+t AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+e AS (SELECT lang, w[i:least(i + 3, len(w))] AS w FROM s),
+f AS MATERIALIZED (
+    SELECT lang, k, array_to_string(w[:k], ' ') AS phrase, count(*) AS n FROM e, range(1, 5) AS r(k) WHERE k <= len(w)
+    GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+halves AS (
+    SELECT lang, phrase, a, x.k, array_to_string(w[:x.k], ' ') AS head, array_to_string(w[x.k + 1:], ' ') AS tail
+    FROM c, range(1, 4) AS x(k) WHERE x.k < len(w)),
+cuts AS (
+    SELECT o.lang, o.phrase, a, o.k, h.n AS l, t.n AS r, (2000000::HUGEINT * a // (h.n::HUGEINT + t.n))::BIGINT AS score
+    FROM halves AS o JOIN f AS h ON h.lang = o.lang AND h.phrase = o.head JOIN f AS t ON t.lang = o.lang AND t.phrase = o.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+    FROM c, range(2, 4) AS x(m), range(1, 4) AS y(i) WHERE m < len(w) AND i + m - 1 <= len(w) GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase)::INTEGER AS rank,
+       best.phrase, a, l, r, t.n, score
+FROM best JOIN t ON t.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrases", PHRASES_SQL)
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
