@@ -39,7 +39,7 @@ OVERLAP = LONGEST - 1
 #: One of so many places begins a chunk.
 MODULUS = 16
 #: Bytes of chunks that a task works on at once, and entries of a hash shard.
-SLICE = 16 << 20
+SLICE = 6 << 20
 SHARD_ENTRIES = 4 << 20
 MOST_BITS = 27
 
@@ -110,7 +110,7 @@ def _parse_batches(modulus: int):
             langs = batch.column("lang").dictionary_encode()
             codes, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary
             data, offsets = text_bytes(batch.column("text"))
-            for i, j in slices(offsets, SLICE // 2):
+            for i, j in slices(offsets):
                 chunks, rows = parse(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], modulus)
                 found = chunks.dictionary_encode()
                 keys = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + codes[i:j][rows]
@@ -222,8 +222,8 @@ def _phrases(table_of_bits, bits: int):
         passing = np.frombuffer(table_of_bits.value, np.uint8)
         for table in gathered(batches):
             grams = Grams(table)
-            text, offsets = cut(grams.data, grams.starts, grams.ends)
-            ids = strings(text, offsets).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            places = np.concatenate([[0], np.cumsum(grams.ends - grams.starts)])
+            ids = strings(grams.data[~SPACE[grams.data]], places).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
             size = np.int64(ids.max() + 1) if len(ids) else np.int64(1)
             for n, at, key in grams.levels():
                 place = (key >> np.uint64(64 - bits)).astype(np.int64)
