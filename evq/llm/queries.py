@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.llm import (
-    licenses, minhash, ngram_lm, packing, phrases, pivots, preferences, quality, secrets, sentencepiece_codec, simple8b)
+    lexical, licenses, minhash, mixing, ngram_lm, packing, phrases, pivots, preferences, quality, secrets, sentencepiece_codec, simple8b)
 from evq.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,56 @@ QUALIFY rank <= 2000
 @query("op11_phrases", PHRASES_SQL)
 def op11_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+MIX_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+o AS (
+    SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+           coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+           sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT max((total - held) / rest) AS level FROM o),
+t AS (
+    SELECT source, source_size, least(2 * source_size::DOUBLE, weight * level) AS target FROM w, l),
+q AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole, target - whole * source_size AS quota FROM t),
+r AS (
+    SELECT doc_id, size, source_size, target, whole, quota,
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (size * (whole + (quota > 0 AND 2 * before + size <= 2 * quota)::INTEGER))::BIGINT AS taken FROM r
+"""
+
+
+@query("op12_source_mixing", MIX_SQL)
+def op12_source_mixing(spark, sf_dir):
+    taken = (F.col("repeats") * F.col("size")).alias("taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
+
+
+SEARCH_SQL = r"""
+WITH a AS (SELECT row_number() OVER () AS row, item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+q AS (SELECT row, item_id, term, count(*) AS times FROM (SELECT row, item_id, unnest(t) AS term FROM a) GROUP BY ALL),
+b AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+n AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n, greatest(sum(len(t)), 1)::BIGINT AS l FROM b),
+d AS (SELECT place, doc_id, 75 + (25 * len(t) * n) // l AS m, t FROM b, n),
+p AS (SELECT place, doc_id, m, term, count(*) AS tf FROM (SELECT place, doc_id, m, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * max(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, n GROUP BY term),
+s AS (
+    SELECT row, item_id, place, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM q JOIN p ON p.term = q.term JOIN w ON w.term = q.term GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def op13_lexical_search(spark, sf_dir):
+    found = lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return found.select("item_id", "rank", "doc_id", "score")
