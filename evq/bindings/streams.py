@@ -12,9 +12,9 @@ from evq.streaming import jobs
 NOW = {"availableNow": True}
 
 
-def event_stream(t):
+def event_stream(t, folder=None, glob="events.parquet", per_batch=None, settings=None):
     schema = t("events").schema
-    stream = jobs.read_stream(t.spark, t.folder, schema, "events.parquet")
+    stream = jobs.read_stream(t.spark, folder or t.folder, schema, glob, per_batch, settings)
     return stream.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -26,14 +26,34 @@ def finish(started):
     started.awaitTermination()
 
 
+def arrivals(t, part, n):
+    """(folder, files per batch): the events as they arrive, in ``n`` parts one after the other, for ``n`` batches or more."""
+    folder = scratch_path(t.spark, "arrivals")
+    for i in range(n):
+        t("events").where(part == i).write.mode("append").parquet(folder)
+    return folder, max(1, len(t.spark.read.parquet(folder).inputFiles()) // n)
+
+
+#: Three arrivals by time, in which rows come up to four hours late.
+SPREAD = "least(floor(timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', ts) / 60 + event_id % 5) div 240, 2)"
+
+
 @query("stream_dedup", """
-SELECT user_id, event_type, event_id, value FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+WITH RECURSIVE k AS (
+    SELECT * FROM (SELECT user_id, event_type, event_id, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1)
+    UNION ALL
+    SELECT user_id, event_type, event_id, value, ts FROM (
+        SELECT e.user_id, e.event_type, e.event_id, e.value, e.ts, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.ts, e.event_id) AS n
+        FROM k JOIN events AS e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 5 DAY) WHERE n = 1)
+SELECT user_id, event_type, event_id, value FROM k
 """)
 def stream_dedup(t):
-    job, stream = new_job(t, "dedup"), event_stream(t)
-    finish(jobs.dedup(stream, ["user_id", "event_type"], "at", "30 days", [F.col("at"), F.col("event_id")], job))
-    return jobs.read_batches(t.spark, job, stream.schema).select("user_id", "event_type", "event_id", "value")
+    job = new_job(t, "dedup")
+    folder, per_batch = arrivals(t, F.expr(SPREAD), 3)
+    stream = event_stream(t, folder, "*.parquet", per_batch, jobs.KEYED_STATE)
+    jobs.run_to_end(lambda: jobs.dedup(
+        jobs.with_end_mark(stream, job), ["user_id", "event_type"], "at", "5 days", ["event_id"], "6 hours", job), stream.schema, "at", job)
+    return t.spark.read.schema(stream.schema).parquet(job.table).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_event_windows", """
@@ -58,7 +78,7 @@ SELECT user_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS session_start, n FROM a
 """)
 def stream_sessions(t):
     job = new_job(t, "sessions")
-    stream = event_stream(t)
+    stream = event_stream(t, settings=jobs.LOCAL_SESSIONS)
     jobs.run_to_end(lambda: jobs.sessions(
         jobs.with_end_mark(stream, job), "at", ["user_id"], "6 hours", "1 hour", [F.count(F.lit(1)).alias("n")], job), stream.schema, "at", job)
     rows = t.spark.read.parquet(job.table)
@@ -71,9 +91,10 @@ SELECT user_id, event_id, previous, event_type AS current FROM l WHERE previous
 """)
 def stream_change_state(t):
     job = new_job(t, "changes")
-    stream = event_stream(t).select("user_id", "event_id", "event_type")
+    folder, per_batch = arrivals(t, F.least(F.floor(F.dayofmonth("ts") / 11), F.lit(2)), 3)
+    stream = event_stream(t, folder, "*.parquet", per_batch, jobs.KEYED_STATE).select("user_id", "event_id", "event_type")
     finish(jobs.changes(stream, "user_id", "event_id", "event_type", job))
-    return jobs.read_changes(t.spark, job, stream.schema, "user_id", "event_id", "event_type")
+    return t.spark.read.parquet(job.table)
 
 
 @query("stream_totals", "SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evq.operators import ordering, relational
+from evq.session import materialize
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -143,6 +144,32 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/version={version}") if version else None
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A table in folders by the hash of its key, so that an update rewrites only the folders of its keys."""
+    df.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def update_keyed(spark: SparkSession, path: str, key: str, buckets: int, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
+    """Apply ``change`` to the folders that hold keys of ``touched`` and put the results in their place; other folders are not read.
+
+    The results are complete before the first folder is replaced, so the same update can be run again after a failure.
+    """
+    hit = sorted(r[0] for r in touched.select(_bucket(key, buckets)).distinct().collect())  # ``buckets`` numbers at most
+    if hit:
+        rows = spark.read.parquet(path).where(F.col("bucket").isin(hit)).drop("bucket")
+        done = materialize(change(rows), "update").withColumn("bucket", _bucket(key, buckets))
+        done.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return hit
+
+
 def append_unseen(new: DataFrame, path: str, key: str, order: Sequence[Column]) -> None:
     """Append only rows whose key the table does not hold yet: the first per key in the given order."""
     spark = new.sparkSession

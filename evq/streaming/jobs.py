@@ -1,12 +1,12 @@
 """Structured Streaming jobs over candidate, event and observation streams.
 
-Every job writes an append-only Parquet table (or versioned state) under a
-folder of its own, keeps its checkpoint beside it, and can be restarted.
+Every job writes an append-only Parquet table (or versioned snapshots) under a folder of its own, keeps its checkpoint
+beside it, and can be restarted. What a job remembers per key lies in the engine's state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from evq.operators import ordering, state
 from evq.sources import files
+from evq.streaming import keyed
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,26 @@ class Job:
         return f"{self.path}/checkpoint"
 
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+#: Settings of streams whose jobs need them.
+KEYED_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+_SHARED = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir", "evq.scratch.dir")
+
+
+def own_session(spark: SparkSession, settings: Mapping[str, str]) -> SparkSession:
+    """A session of its own with these settings, so that jobs that start at the same time do not see them."""
+    session = spark.newSession()
+    for name in _SHARED:
+        if (value := spark.conf.get(name, None)) is not None and session.conf.get(name, None) != value:
+            session.conf.set(name, value)
+    for name, value in settings.items():
+        session.conf.set(name, value)
+    return session
+
+
+def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str, files_per_trigger: int | None = None,
+                settings: Mapping[str, str] | None = None) -> DataFrame:
+    reader = own_session(spark, settings or {}).readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
@@ -46,29 +64,26 @@ def _append(rows: DataFrame, job: Job):
     )
 
 
-def dedup(stream: DataFrame, key: Sequence[str], at: str, within: str, order: Sequence[Column], job: Job):
-    """The whole first record of each key within a time span.
+def dedup(stream: DataFrame, key: Sequence[str], at: str, within: str, order: Sequence[str], delay: str, job: Job):
+    """Records of each key that come ``within`` or more after the last kept one, whole and in the order of (``at``, ``order``).
 
-    First means: in the earliest batch that has the key, and there in the given order. A batch keeps its first rows per
-    key (cut per task before the shuffle) and drops keys that earlier batches wrote less than ``within`` before its
-    earliest row; older output is not read, so the state expires. A repeated batch replaces its own rows.
+    Every row is tested against the last kept time of its own key. Rows wait in the state of their key until the watermark
+    (``delay`` behind the latest row) has passed them, so late rows take their place and the result does not depend on the
+    borders of batches; ``run_to_end`` lets out what still waits. A key costs state until ``within`` after its last record.
+    ``stream`` must come from ``read_stream`` with ``KEYED_STATE``.
     """
+    span = stream.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {within})")).first()[0]
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    state_of = ", ".join(["at_us long", *(f"`{c}` {kinds[c]}" for c in order), "whole string"])
+    rows = stream.withWatermark(at, delay).where(F.col(at).isNotNull()).withColumns(
+        {"at_us": F.unix_micros(F.col(at).cast("timestamp")), "whole": F.to_json(F.struct(*stream.columns), EXACT)}).select(
+        *dict.fromkeys([*key, at, *order, "at_us", "whole"]))
+    kept = rows.groupBy(*key).transformWithStateInPandas(keyed.FirstWithin(span, order, state_of), "whole string", "Append", "EventTime")
+    return _append(kept.select(F.from_json("whole", stream.schema, EXACT).alias("r")).select("r.*"), job)
 
-    def apply(batch: DataFrame, number: int) -> None:
-        first = ordering.keep_first(batch, key, order)
-        if number > 0 and files.exists(batch.sparkSession, job.table):
-            since = batch.agg(F.min(at).alias("since")).select((F.col("since") - F.expr(f"interval {within}")).alias("since"))
-            known = batch.sparkSession.read.schema(batch.schema).parquet(f"{job.table}/batch=*").withColumn(
-                "_batch", F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("bigint"))
-            known = known.where(F.col("_batch") < number).join(F.broadcast(since), F.col(at) >= F.col("since")).select(*key).distinct()
-            first = first.join(known, list(key), "left_anti")
-        first.write.mode("overwrite").parquet(f"{job.table}/batch={number}")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", job.checkpoint).trigger(**job.trigger).start()
-
-
-def read_batches(spark: SparkSession, job: Job, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{job.table}/batch=*")
+#: JSON of a whole record that gives the same record again.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
 
 def with_end_mark(stream: DataFrame, job: Job) -> DataFrame:
@@ -79,13 +94,13 @@ def with_end_mark(stream: DataFrame, job: Job) -> DataFrame:
     return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(folder))
 
 
-def run_to_end(start: Callable[[], StreamingQuery], schema: T.StructType, at: str, job: Job, when: str = "9000-01-01") -> None:
+def run_to_end(start: Callable[[], StreamingQuery], schema: T.StructType, at: str, job: Job, when: str = "2200-01-01") -> None:
     """Run a bounded job and close what is open: a last run sees one row far in the future.
 
     The row moves the watermark past every real window or session, which are then written; its own stays open for ever.
     """
     start().awaitTermination()
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields}
     mark = spark.range(1).select(*(F.lit(when).cast(f.dataType).alias(f.name) if f.name == at else empty[f.name] for f in schema.fields))
     mark.write.mode("append").parquet(f"{job.path}/end")
@@ -101,60 +116,26 @@ def event_windows(stream: DataFrame, at: str, keys: Sequence[str], width: str, d
 
 
 def sessions(stream: DataFrame, at: str, keys: Sequence[str], gap: str, delay: str, aggregates: Sequence[Column], job: Job):
-    """Aggregates per key and activity session; sessions merge inside each task before the shuffle."""
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-    before = conf.get(name, "false")
+    """Aggregates per key and activity session. With ``LOCAL_SESSIONS`` they merge inside each task before the shuffle."""
     grouped = stream.withWatermark(at, delay).groupBy(F.session_window(at, gap), *keys).agg(*aggregates)
     rows = grouped.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"),
                           *[c for c in grouped.columns if c != "session_window"])
-    conf.set(name, "true")  # a query takes its settings when it starts
-    try:
-        return _append(rows, job)
-    finally:
-        conf.set(name, before)
+    return _append(rows, job)
 
 
-def changes(stream: DataFrame, key: str, order: str, value: str, job: Job):
+def changes(stream: DataFrame, key: str, order: str, value: str, job: Job, ttl_ms: int | None = None):
     """Change rows (key, order, previous, current) of a keyed observation stream.
 
-    The state is one row per key, kept as versioned Parquet. Each batch puts the
-    state in front of its observations, compares neighbours in order and folds
-    the batch to the latest row per key before it meets the state again, so
-    neither a hot key nor the size of a batch lands in one task. Version and
-    change folder carry the batch number: a repeated batch overwrites itself.
+    The engine keeps one entry per key (its latest order and value), optionally for ``ttl_ms`` after its last update. A batch
+    reads and writes the entries of its own keys only, so its cost follows the batch and not the number of keys ever seen.
+    ``stream`` must come from ``read_stream`` with ``KEYED_STATE``.
     """
-    schema = T.StructType([f for f in stream.schema.fields if f.name in (key, order, value)])
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = _state(spark, job, schema, number)
-        rows = batch.select(key, order, value).withColumn("_new", F.lit(True))
-        joined = rows.unionByName(known.withColumn("_new", F.lit(False)))
-        compared = state.content_changes(joined, key, [F.col(order)], value)
-        found = compared.where(F.col("_new") & F.col("changed"))
-        found.select(key, order, F.col("previous"), F.col(value).alias("current")).write.mode("overwrite").parquet(
-            f"{job.table}/batch={number}")
-        newest = rows.select(schema.fieldNames()).unionByName(known.select(schema.fieldNames()))
-        latest = newest.groupBy(key).agg(*[
-            F.max_by(c, order).alias(c) for c in schema.fieldNames() if c != key])
-        latest.select(schema.fieldNames()).write.mode("overwrite").parquet(f"{job.path}/state/{number}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", job.checkpoint).trigger(**job.trigger).start()
-
-
-def _state(spark: SparkSession, job: Job, schema: T.StructType, number: int) -> DataFrame:
-    path = f"{job.path}/state/{number - 1}"
-    if number > 0 and files.exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
-def read_changes(spark: SparkSession, job: Job, schema: T.StructType, key: str, order: str, value: str) -> DataFrame:
-    kinds = {f.name: f.dataType for f in schema.fields}
-    out = T.StructType([
-        T.StructField(key, kinds[key]), T.StructField(order, kinds[order]),
-        T.StructField("previous", kinds[value]), T.StructField("current", kinds[value])])
-    return spark.read.schema(out).parquet(f"{job.table}/batch=*")
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    processor = keyed.LastValue(key, order, value, f"at {kinds[order]}, value {kinds[value]}", ttl_ms)
+    out = f"key {kinds[key]}, at {kinds[order]}, previous {kinds[value]}, current {kinds[value]}"
+    found = stream.select(key, order, value).groupBy(key).transformWithStateInPandas(
+        processor, out, "Append", "ProcessingTime" if ttl_ms else "None")
+    return _append(found.select(F.col("key").alias(key), F.col("at").alias(order), "previous", "current"), job)
 
 
 def latest_totals(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], job: Job):

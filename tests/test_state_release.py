@@ -154,35 +154,49 @@ def test_migration_quarantines(spark):
 def test_streams_over_many_batches_equal_the_batch_answer(spark, tmp_path):
     events = spark.range(600).select(
         (F.col("id") % 7).alias("url"), F.col("id").alias("seq"), (F.floor(F.col("id") / 50) % 3).cast("string").alias("hash"),
-        F.timestamp_seconds(F.col("id") * 60).alias("at"))
+        F.timestamp_seconds(F.col("id") * 60 + 1_000_000_000).alias("at"))
     folder = str(tmp_path / "in")
     for part in range(4):
         events.where(F.floor(F.col("seq") / 150) == part).coalesce(1).write.mode("append").parquet(folder)
-    read = lambda: jobs.read_stream(spark, folder, events.schema, "*.parquet", 1)
-    job = jobs.Job(str(tmp_path / "changes"), {"availableNow": True})
-    jobs.changes(read().select("url", "seq", "hash"), "url", "seq", "hash", job).awaitTermination()
-    got = jobs.read_changes(spark, job, events.select("url", "seq", "hash").schema, "url", "seq", "hash")
-    want = state.content_changes(events, "url", [F.col("seq")], "hash").where("changed")
-    assert {tuple(r) for r in got.collect()} == {(r.url, r.seq, r.previous, r.hash) for r in want.collect()}
-    dedup = jobs.Job(str(tmp_path / "dedup"), {"availableNow": True})
-    jobs.dedup(read(), ["url"], "at", "30 days", [F.col("seq")], dedup).awaitTermination()
-    kept = jobs.read_batches(spark, dedup, events.schema).collect()
-    assert sorted((r.url, r.hash is not None) for r in kept) == [(i, True) for i in range(7)]
-    brief = jobs.Job(str(tmp_path / "brief"), {"availableNow": True})
-    jobs.dedup(read(), ["url"], "at", "1 minute", [F.col("seq")], brief).awaitTermination()
-    assert jobs.read_batches(spark, brief, events.schema).count() > 7, "a key is new again when its state has expired"
-
+    read = lambda settings=None: jobs.read_stream(spark, folder, events.schema, "*.parquet", 2, settings)
     windows = jobs.Job(str(tmp_path / "windows"), {"availableNow": True})
     count = [F.count("*").alias("n")]
     jobs.run_to_end(lambda: jobs.event_windows(jobs.with_end_mark(read(), windows), "at", ["url"], "1 hour", "1 day", count, windows),
                     events.schema, "at", windows)
     assert spark.read.parquet(windows.table).agg(F.sum("n")).first()[0] == 600
     active = jobs.Job(str(tmp_path / "sessions"), {"availableNow": True})
-    jobs.run_to_end(lambda: jobs.sessions(jobs.with_end_mark(read(), active), "at", ["url"], "8 minutes", "1 day", count, active),
+    jobs.run_to_end(lambda: jobs.sessions(jobs.with_end_mark(read(jobs.LOCAL_SESSIONS), active), "at", ["url"], "8 minutes", "1 day", count, active),
                     events.schema, "at", active)
     assert sorted((r.url, r.n) for r in spark.read.parquet(active.table).collect()) == sorted(
         (u, n) for u, n in events.groupBy("url").count().collect())
 
+    job = jobs.Job(str(tmp_path / "changes"), {"availableNow": True})
+    follow = lambda: jobs.changes(read(jobs.KEYED_STATE).select("url", "seq", "hash"), "url", "seq", "hash", job)
+    first = follow()
+    first.awaitTermination()
+    more = spark.createDataFrame([(3, 900, "new"), (3, 901, None), (3, 902, "new"), (77, 903, "x"), (3, 5, "late")], "url long, seq long, hash string")
+    all_events = events.unionByName(more, allowMissingColumns=True)
+    more.withColumn("at", F.lit("2024-03-01").cast("timestamp")).select(*events.columns).coalesce(1).write.mode("append").parquet(folder)
+    again = follow()  # from the checkpoint: only what is new
+    again.awaitTermination()
+    assert sum(p["numInputRows"] for p in again.recentProgress) == 5
+    assert sum(o["numRowsUpdated"] for p in again.recentProgress for o in p["stateOperators"]) == 2, "a batch writes the state of its own keys"
+    got = spark.read.parquet(job.table)
+    assert got.columns == ["url", "seq", "previous", "current"]
+    want = state.content_changes(all_events.where("hash is null or hash <> 'late'"), "url", [F.col("seq")], "hash").where("changed")
+    assert {tuple(r) for r in got.collect()} == {(r.url, r.seq, r.previous, r.hash) for r in want.collect()}
+    followed = spark.read.parquet(folder).orderBy("at", "seq").collect()
+
+    dedup = jobs.Job(str(tmp_path / "dedup"), {"availableNow": True})
+    jobs.run_to_end(lambda: jobs.dedup(
+        jobs.with_end_mark(read(jobs.KEYED_STATE), dedup), ["url"], "at", "7 minutes", ["seq"], "100 days", dedup), events.schema, "at", dedup)
+    kept, last = [], {}
+    for r in followed:
+        if r.url not in last or (r["at"] - last[r.url]).total_seconds() >= 420:
+            kept.append(tuple(r))
+            last[r.url] = r["at"]
+    assert sorted(map(tuple, spark.read.schema(events.schema).parquet(dedup.table).collect()), key=str) == sorted(kept, key=str)
+
     base = str(tmp_path / "totals")
     for number, n in ((0, 5), (1, 9), (1, 9)):
         files.write_snapshot(spark.range(n), base, number + 1)
