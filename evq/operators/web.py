@@ -1,8 +1,8 @@
 """Links, people and contact routes from HTML pages.
 
 Links come from pattern expressions. People and routes need the element tree:
-one small helper turns a page into its text and a flat list of elements with
-text offsets, and everything after that is Column expressions on that list.
+one small helper turns a page into its text and a list of elements in document
+order, and everything after that is Column expressions on ranges of that list.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,23 +78,38 @@ def best_link(pages: DataFrame, hints: Sequence[str] = vocab.TEAM_LINK_HINTS, ht
     return pages.withColumns({"link_score": best["score"].cast("bigint"), "best_link": best["link"]})
 
 
-# --- element list ----------------------------------------------------------
+# --- element tree ----------------------------------------------------------
 
-NODES = "array<struct<id:int,parent:int,last:int,tag:string,href:string,s:int,e:int>>"
+#: An element: its number (elements are numbered in document order, so it is also its place in the list), that of its parent
+#: and of the last element inside it, its tag and link, its text as a range of bytes and its length in characters. Headings
+#: carry the numbers of the elements that follow them under the same parent; ``near`` marks these, the parent and the
+#: grandparent of a heading. Links carry the elements around them, the nearest first, that are short enough to be a card.
+NODES = ("array<struct<id:int,parent:int,last:int,tag:string,href:string,s:int,e:int,n:int,near:boolean,after:array<int>,around:array<int>>>")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = frozenset("p div ul ol li table article section aside header footer nav h1 h2 h3 h4 h5 h6 form".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5")
+FOLLOWING = 6
+CARD = (8, 900)
+#: Elements below this depth become children of the last one above it, as in browsers.
+DEPTH = 512
 
 
 class _Elements(HTMLParser):
-    """Elements in document order, with offsets into the page text."""
+    """The elements of a page as parallel lists, and its text."""
 
     def __init__(self, drop: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.drop, self.dropping = drop, []
         self.stack: list[int] = []
-        self.nodes: list[dict] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.tag: list[str] = []
+        self.href: list[str | None] = []
+        self.s: list[int] = []
+        self.e: list[int] = []
+        self.n: list[int] = []  # characters: those before the element until it ends
         self.parts: list[str] = []
-        self.size = 0
+        self.bytes = self.chars = 0
 
     def handle_starttag(self, tag, attrs):
         if self.dropping:
@@ -101,14 +117,18 @@ class _Elements(HTMLParser):
         elif tag in self.drop:
             self.dropping = [tag]
         else:
-            if tag in CLOSES_P and self.stack and self.nodes[self.stack[-1]]["tag"] == "p":
+            if tag in CLOSES_P and self.stack and self.tag[self.stack[-1]] == "p":
                 self._close(len(self.stack) - 1)
-            self.nodes.append({
-                "id": len(self.nodes), "parent": self.stack[-1] if self.stack else -1, "last": len(self.nodes),
-                "tag": tag, "href": dict(attrs).get("href") if tag == "a" else None,
-                "s": self.size + (1 if self.size else 0), "e": 0})
-            if tag not in VOID:
-                self.stack.append(len(self.nodes) - 1)
+            number, space = len(self.tag), 1 if self.parts else 0
+            self.parent.append(self.stack[-1] if self.stack else -1)
+            self.last.append(number)
+            self.tag.append(tag)
+            self.href.append(dict(attrs).get("href") if tag == "a" else None)
+            self.s.append(self.bytes + space)
+            self.e.append(0)
+            self.n.append(-self.chars - space)
+            if tag not in VOID and len(self.stack) < DEPTH:
+                self.stack.append(number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,49 +141,116 @@ class _Elements(HTMLParser):
                 self.dropping.pop()
             return
         for depth in range(len(self.stack) - 1, -1, -1):
-            if self.nodes[self.stack[depth]]["tag"] == tag:
+            if self.tag[self.stack[depth]] == tag:
                 self._close(depth)
                 return
 
     def handle_data(self, data):
         text = " ".join(data.split())
         if text and not self.dropping:
-            self.size += len(text) + (1 if self.size else 0)
+            space = 1 if self.parts else 0
+            self.bytes += len(text.encode("utf-8", "replace")) + space
+            self.chars += len(text) + space
             self.parts.append(text)
 
     def _close(self, depth):
-        for index in self.stack[depth:]:
-            self.nodes[index].update(last=len(self.nodes) - 1, e=self.size)
+        for number in self.stack[depth:]:
+            self.last[number] = len(self.tag) - 1
+            self.e[number] = self.bytes
+            self.n[number] += self.chars
         del self.stack[depth:]
 
-    def finish(self, html: str) -> tuple[str, list[dict]]:
+    def finish(self, html: str) -> _Elements:
         self.feed(html)
         self.close()
         self._close(0)
-        return " ".join(self.parts), self.nodes
+        for number in range(len(self.tag)):  # elements that never held anything
+            if self.e[number] == 0:
+                self.n[number] = 0
+        return self
+
+    def following(self) -> list[list[int]]:
+        children: dict[int, list[int]] = {}
+        place = [0] * len(self.tag)
+        for number, parent in enumerate(self.parent):
+            row = children.setdefault(parent, [])
+            place[number] = len(row)
+            row.append(number)
+        return [children[self.parent[i]][place[i] + 1:place[i] + 1 + FOLLOWING] if self.tag[i] in HEADINGS else [] for i in range(len(self.tag))]
+
+    def near(self, following: list[list[int]]) -> list[bool]:
+        out = [False] * len(self.tag)
+        for number, tag in enumerate(self.tag):
+            if tag in HEADINGS:
+                parent = self.parent[number]
+                for other in (parent, self.parent[parent] if parent >= 0 else -1, *following[number]):
+                    if other >= 0:
+                        out[other] = True
+        return out
+
+    def around(self) -> list[list[int]]:
+        """Lengths only grow on the way out, so the way ends at the first element that is too long."""
+        out = []
+        for number, href in enumerate(self.href):
+            found, outer = [], self.parent[number] if href is not None else -1
+            while outer >= 0 and self.n[outer] <= CARD[1]:
+                if self.n[outer] >= CARD[0] and self.tag[outer] not in ("body", "html"):
+                    found.append(outer)
+                outer = self.parent[outer]
+            out.append(found)
+        return out
+
+
+def _listed(rows: list[list], kind: pa.DataType) -> pa.Array:
+    """One Arrow list column from a list per row."""
+    offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array([x for row in rows for x in row], kind))
 
 
 def elements(pages: DataFrame, keep: Sequence[str], html: str = "html", drop: Sequence[str] = ("script", "style")) -> DataFrame:
-    """``keep`` columns plus ``text`` and ``nodes`` of each page; pages stay in their partition."""
+    """``keep`` columns plus ``raw`` (the text as bytes) and ``nodes`` of each page; pages stay in their partition."""
     source = pages.select(*keep, F.col(html).alias("_html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     dropped = frozenset(drop)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tree(parsed: list[_Elements]) -> pa.Array:
+        def flat(rows, kind):
+            return pa.array([x for row in rows for x in row], kind)
+
+        following = [p.following() for p in parsed]
+        near = flat((p.near(f) for p, f in zip(parsed, following, strict=True)), pa.bool_())
+        lists = [_listed([x for rows in of for x in rows], pa.int32()) for of in (following, [p.around() for p in parsed])]
+        columns = [flat((range(len(p.tag)) for p in parsed), pa.int32()), flat((p.parent for p in parsed), pa.int32()), flat((p.last for p in parsed), pa.int32()),
+                   flat((p.tag for p in parsed), pa.string()), flat((p.href for p in parsed), pa.string()),
+                   *(flat((getattr(p, c) for p in parsed), pa.int32()) for c in ("s", "e", "n")), near, *lists]
+        names = ["id", "parent", "last", "tag", "href", "s", "e", "n", "near", "after", "around"]
+        offsets = pa.array(np.cumsum([0, *(len(p.tag) for p in parsed)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [_Elements(dropped).finish(h or "") for h in batch.pop("_html")]
-            yield batch.assign(text=[p[0] for p in parsed], nodes=[p[1] for p in parsed])
+            for start in range(0, len(batch), 256):  # the trees of so many pages are held at once
+                some = batch.slice(start, 256)
+                parsed = [_Elements(dropped).finish(h or "") for h in some.column("_html").to_pylist()]
+                raw = pa.array([" ".join(p.parts).encode("utf-8", "replace") for p in parsed], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], raw, tree(parsed)], names=[*some.schema.names[:-1], "raw", "nodes"])
 
-    return source.mapInPandas(parse, f"{schema}, text string, nodes {NODES}")
+    return source.mapInArrow(parse, f"{schema}, raw binary, nodes {NODES}")
 
 
-def _cut(node: Column) -> Column:
-    size = F.greatest(node["e"] - node["s"], F.lit(0))
-    return F.trim(F.substring(F.col("text"), node["s"] + 1, size))
+def _node(number: Column) -> Column:
+    """The element with a number, NULL if there is none."""
+    return F.get(F.col("nodes"), number)
+
+
+def _within(outer: Column) -> Column:
+    """The elements inside an element: a range of the list."""
+    return F.slice(F.col("nodes"), outer["id"] + 2, outer["last"] - outer["id"])
 
 
-def _inside(node: Column, outer: Column) -> Column:
-    return (node["id"] > outer["id"]) & (node["id"] <= outer["last"])
+def _cut(node: Column) -> Column:
+    """The text of an element, cut out by bytes, so that its cost does not depend on its place in the page."""
+    return F.trim(F.substring(F.col("raw"), node["s"] + 1, F.greatest(node["e"] - node["s"], F.lit(0))).cast("string"))
 
 
 EDGE = r"^[ ,;:\-–—]+|[ ,;:\-–—]+$"
@@ -195,23 +282,34 @@ def _first(items: Column, test) -> Column:
     return F.get(F.filter(items, test), F.lit(0))
 
 
-def _mail_and_profile(area: Column) -> Column:
-    """struct(emails, profile) found in a list of elements: text addresses, else mailto links; first profile link."""
-    def hrefs(a: Column) -> Column:
-        inside = F.filter(F.col("nodes"), lambda n: n["href"].isNotNull() & _inside(n, a))
-        return F.transform(inside, lambda n: n["href"])
+def _facts(a: Column) -> Column:
+    """What an element holds: addresses in its text, its mailto links, its first profile link."""
+    hrefs = F.transform(F.filter(_within(a), lambda n: n["href"].isNotNull()), lambda n: n["href"])
 
-    def mailto(a: Column) -> Column:
-        address = F.transform(F.filter(hrefs(a), lambda h: F.lower(h).startswith("mailto:")), lambda h: F.trim(
+    def found(links: Column) -> Column:
+        address = F.transform(F.filter(links, lambda h: F.lower(h).startswith("mailto:")), lambda h: F.trim(
             F.element_at(F.split(F.substr(h, F.lit(8)), r"\?"), 1)))
-        return F.filter(address, lambda m: m.rlike("^" + vocab.EMAIL_IN_TEXT))
+        profile = _first(links, lambda h: h.rlike(vocab.PROFILE_IN_TEXT))
+        return F.struct(
+            tx.emails(_cut(a)).alias("emails"), F.filter(address, lambda m: m.rlike("^" + vocab.EMAIL_IN_TEXT)).alias("mailto"),
+            F.regexp_extract(profile, vocab.PROFILE_IN_TEXT, 0).alias("profile"))
+
+    return tx.let(hrefs, found)
 
+
+def _mail_and_profile(area: Column) -> Column:
+    """struct(emails, profile) of a list of facts: text addresses, else mailto links; first profile link."""
     # Element by element: addresses in its text; its mailto links only while nothing is found yet.
     emails = F.aggregate(area, tx.strings([]), lambda found, a: tx.let(
-        F.concat(found, tx.emails(_cut(a))), lambda now: F.when(F.size(now) > 0, now).otherwise(mailto(a))))
-    link = F.coalesce(_first(F.flatten(F.transform(area, hrefs)), lambda h: h.rlike(vocab.PROFILE_IN_TEXT)), F.lit(""))
-    return F.struct(
-        F.array_distinct(emails).alias("emails"), F.regexp_extract(link, vocab.PROFILE_IN_TEXT, 0).alias("profile"))
+        F.concat(found, a["emails"]), lambda now: F.when(F.size(now) > 0, now).otherwise(a["mailto"])))
+    profile = _first(F.transform(area, lambda a: a["profile"]), lambda p: p.isNotNull())
+    return F.struct(F.array_distinct(emails).alias("emails"), F.coalesce(profile, F.lit("")).alias("profile"))
+
+
+def _area(h: Column) -> Column:
+    """Numbers of the elements in which a heading's addresses are looked for: its parent, what follows it, its grandparent."""
+    grand = F.filter(F.array(_node(h["parent"])["parent"]), lambda i: i >= 0)
+    return F.concat(F.filter(F.array(h["parent"]), lambda i: i >= 0), h["after"], grand)
 
 
 def _before_mark(text: Column) -> Column:
@@ -219,13 +317,9 @@ def _before_mark(text: Column) -> Column:
 
 
 def _heading_person(h: Column) -> Column:
-    """Person of a heading row {id, parent, text, name}."""
-    nodes = F.col("nodes")
-    after = F.filter(nodes, lambda n: (n["parent"] == h["parent"]) & (n["id"] > h["id"]))
-    parent = F.filter(nodes, lambda n: n["id"] == h["parent"])
-    grand = F.filter(nodes, lambda n: F.exists(parent, lambda p: p["parent"] == n["id"]))
+    """Person of a heading row {parent, after, text, name, area}; ``_facts`` has the place of each element."""
     by_sibling = _first(
-        F.transform(F.slice(after, 1, 4), lambda n: _before_mark(_cut(n))),
+        F.transform(F.slice(h["after"], 1, 4), lambda i: _before_mark(_cut(_node(i)))),
         lambda t: (t != "") & _looks_like_title(t) & (F.length(t) < 160))
 
     def behind(around: Column) -> Column:
@@ -233,9 +327,9 @@ def _heading_person(h: Column) -> Column:
         chunks = F.transform(F.split(rest, r"[.|•\n]"), lambda c: F.regexp_replace(c, EDGE, ""))
         return _first(chunks, lambda c: _looks_like_title(c) & (F.length(c) > 3) & (F.length(c) < 160))
 
-    by_parent = tx.let(_cut(F.get(parent, F.lit(0))), behind)
-    found = _mail_and_profile(F.concat(parent, F.slice(after, 1, 6), grand))
-    return _person(h["name"], F.coalesce(by_sibling, by_parent, F.lit("")), found, "heading_tag_dom")
+    by_parent = tx.let(_cut(_node(h["parent"])), behind)
+    facts = F.transform(h["area"], lambda i: F.get(F.col("_facts"), i))
+    return _person(h["name"], F.coalesce(by_sibling, by_parent, F.lit("")), _mail_and_profile(facts), "heading_tag_dom")
 
 
 def _block_person(b: Column) -> Column:
@@ -248,7 +342,7 @@ def _block_person(b: Column) -> Column:
             b["text"], F.concat(F.lit(r"(?i)[A-Z][^.\n]{0,80}"), kw, F.lit(r"[^.\n]{0,60}"))))
         return F.when(_looks_like_title(near), near).otherwise(F.coalesce(F.trim(_first(spans, lambda x: x.isNotNull())), near))
 
-    found = _mail_and_profile(F.array(b["node"]))
+    found = _mail_and_profile(F.array(_facts(b["node"])))
     return _person(b["name"], F.substring(tx.let(_before_mark(rest), title), 1, 160), found, "card_block_fallback")
 
 
@@ -262,25 +356,29 @@ def _person(name: Column, title: Column, found: Column, strategy: str) -> Column
 def _once(rows: Column) -> Column:
     """Named rows, the first of each name (case-insensitive)."""
     named = F.filter(rows, lambda p: p["name"].isNotNull())
-    return tx.let(named, lambda kept: F.filter(kept, lambda p, i: F.array_position(
-        F.transform(kept, lambda k: F.lower(k["name"])), F.lower(p["name"])) == i + 1))
+    return tx.let(named, lambda kept: tx.let(
+        F.transform(kept, lambda k: F.lower(k["name"])),
+        lambda names: F.filter(kept, lambda p, i: F.array_position(names, F.lower(p["name"])) == i + 1)))
 
 
 def people(pages: DataFrame, keep: Sequence[str], html: str = "html") -> DataFrame:
     """People of each page: names in headings with a title nearby; if fewer than two, card blocks when they give more."""
     parsed = elements(pages, keep, html, ("script", "style", "nav", "footer", "header", "form"))
     headings = F.transform(
-        F.filter("nodes", lambda n: n["tag"].isin("h1", "h2", "h3", "h4", "h5")),
-        lambda n: F.struct(n["id"].alias("id"), n["parent"].alias("parent"), _cut(n).alias("text"), card_name(_cut(n)).alias("name")))
+        F.filter("nodes", lambda n: n["tag"].isin(*HEADINGS)),
+        lambda n: tx.let(_cut(n), lambda text: F.struct(
+            n["parent"].alias("parent"), n["after"].alias("after"), text.alias("text"), card_name(text).alias("name"), _area(n).alias("area"))))
     blocks = F.transform(
-        F.filter("nodes", lambda n: n["tag"].isin("div", "li", "article", "section") & (n["e"] - n["s"]).between(1, 500)),
-        lambda n: F.struct(n.alias("node"), _cut(n).alias("text"), card_name(F.substring(_cut(n), 1, 100)).alias("name")))
+        F.filter("nodes", lambda n: n["tag"].isin("div", "li", "article", "section") & n["n"].between(1, 500)),
+        lambda n: tx.let(_cut(n), lambda text: F.struct(n.alias("node"), text.alias("text"), card_name(F.substring(text, 1, 100)).alias("name"))))
     found = parsed.withColumn("_heads", _once(headings))
     found = found.withColumn("_blocks", F.when(F.size("_heads") < 2, _once(
         F.filter(blocks, lambda b: _looks_like_title(b["text"])))))
-    # Blocks count only if they name more people; the costly parts run for the chosen list alone.
+    # Blocks count only if they name more people; the costly parts run for the chosen list alone, once per element.
     use_blocks = F.coalesce(F.size("_blocks"), F.lit(0)) > F.size("_heads")
-    chosen = F.when(use_blocks, F.transform("_blocks", _block_person)).otherwise(F.transform("_heads", _heading_person))
+    found = found.withColumn("_use", use_blocks)
+    found = tx.pin(found, _facts=F.when(~F.col("_use"), F.transform("nodes", lambda n: F.when(n["near"], _facts(n)))))
+    chosen = F.when(F.col("_use"), F.transform("_blocks", _block_person)).otherwise(F.transform("_heads", _heading_person))
     return found.select(*keep, F.inline(chosen))
 
 
@@ -301,17 +399,19 @@ def contact_routes(pages: DataFrame, keep: Sequence[str], homepage: Column, html
     The card of a link is the nearest enclosing element of 8-900 characters that
     holds both a role and a person heading, else the widest of that size.
     """
-    heads = ("h1", "h2", "h3", "h4", "h5", "strong", "b")
+    heads = (*HEADINGS, "strong", "b")
     parsed = elements(pages, sorted({*keep, url}), html)
     nodes = F.col("nodes")
 
-    def card(n: Column) -> Column:
-        titles = F.filter(nodes, lambda m: _inside(m, n) & m["tag"].isin(*heads))
-        return F.struct(_cut(n).alias("text"), F.transform(F.slice(titles, 1, 8), _cut).alias("heads"))
+    def card(number: Column) -> Column:
+        def of(n: Column) -> Column:
+            titles = F.filter(_within(n), lambda m: m["tag"].isin(*heads))
+            return F.struct(_cut(n).alias("text"), F.transform(F.slice(titles, 1, 8), _cut).alias("heads"))
+
+        return tx.let(_node(number), of)
 
     def chain(a: Column) -> Column:
-        outer = F.filter(nodes, lambda n: _inside(a, n) & ~n["tag"].isin("body", "html") & ((n["e"] - n["s"]).between(8, 900)))
-        return F.reverse(F.transform(outer, card))
+        return F.transform(a["around"], card)
 
     links = F.filter(nodes, lambda n: n["href"].isNotNull() & _route_of(n["href"], F.col(url)).isNotNull())
     routes = parsed.withColumn("_links", F.transform(
@@ -346,7 +446,7 @@ def directory_links(pages: DataFrame, keep: Sequence[str], phrase: str = "family
         F.filter(nodes, lambda n: n["href"].isNotNull()),
         lambda a: F.struct(
             resolve_url(F.col(url), a["href"]).alias("href"), _cut(a).alias("label"),
-            F.coalesce(F.get(F.transform(F.filter(nodes, lambda n: n["id"] == a["parent"]), _cut), F.lit(0)), _cut(a)).alias("parent")))
+            F.coalesce(_cut(_node(a["parent"])), _cut(a)).alias("parent")))
     rows = parsed.select(*sorted({*keep, url}), F.posexplode(links).alias("pos", "_a"))
     context = F.when(folded(F.col("_a.parent")).contains(phrase), F.col("_a.parent")).otherwise(F.col("_a.label"))
     rows = rows.select(

@@ -94,3 +94,29 @@ def test_profile_and_snippet_routes(spark):
     text = F.concat_ws(" ", F.lit("Founder Jane Smith:"), "mail")
     routes = extract.snippet_routes(hits, text, F.lit("https://acme.com"), name_pattern=r"Jane [A-Z][a-z]+").collect()
     assert [(r.name, r.email, r.role_class) for r in routes] == [("Jane Smith", "jane@acme.com", "executive_decision_maker")]
+
+
+def many(n, card):
+    return "<html><body>" + "".join(card.format(a=chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26)) for i in range(n)) + "</body></html>"
+
+
+FLAT = "<h3>Jane S{a}</h3><p>Managing Partner</p><p>write to j.{a}@example.com</p><a href='https://www.linkedin.com/in/{a}'>é</a>"
+NESTED = "<div><section><article><h3>Jane S{a}</h3><p>Managing <b>Partner</b></p><ul><li>x<li><a href='mailto:{a}@example.com'>Mail</a></ul></article></section></div>"
+
+
+def test_large_pages_cost_in_proportion_to_their_elements(spark):
+    import time
+
+    flat, nested = many(12_500, FLAT), many(5_000, NESTED)
+    deep = "<div>" * 20_000 + "<h3>Jane Smith</h3><p>Partner</p>" + "<a href='mailto:x@example.com'>" * 5_000
+    rows = pages(spark, flat, nested, deep)
+    web.people(pages(spark, TEAM), ["id"]).collect()
+    started = time.perf_counter()
+    found = web.people(rows.where("id = 1"), ["id"]).collect()
+    took = time.perf_counter() - started
+    assert len(found) == 5_000 and {(r.title, len(r.emails_on_page) > 0) for r in found} == {("Managing Partner", True)}
+    routes = web.contact_routes(rows.where("id = 1"), ["id"], F.lit("https://example.com/")).collect()
+    assert len(routes) == 5_000 and {(r.name[:6], r.title, r.reason) for r in routes} == {("Jane S", "Managing Partner", None)}
+    assert took < 10
+    assert len(web.contact_routes(rows.where("id = 0"), ["id"], F.lit("https://example.com/")).collect()) == 12_500
+    assert web.elements(rows, ["id"]).selectExpr("max(array_max(transform(nodes, n -> n.id)))").first()[0] >= 49_000
