@@ -27,11 +27,6 @@ def requested_field(request: Col, words=FIELD_WORDS) -> Column:
     return let(low(request), lambda q: F.coalesce(*[F.when(contains_any(q, group), F.lit(name)) for name, group in words]))
 
 
-def mentioned_role(request: Col, roles=vocab.QUESTION_ROLES) -> Column:
-    """First role phrase (in list order) named in a request, or NULL."""
-    return let(low(request), lambda q: F.coalesce(*[F.when(q.contains(r), F.lit(r)) for r in roles]))
-
-
 def request_filters(request: Col) -> Column:
     """Map of record filters named in a request."""
     q = low(request)

@@ -83,25 +83,34 @@ def title_rejection(
     ])
 
 
+def name_tokens(value: Col, stops: Sequence[str] = vocab.NAME_STOP_TOKENS) -> Column:
+    """The words of a name that are no stop words, in lower case."""
+    return F.filter(F.split(F.trim(F.lower(text_or_empty(value))), r"\s+"), lambda t: ~t.isin(list(stops)) & (t != ""))
+
+
+def name_opener(value: Col) -> Column:
+    """The first meaningful word of a name in lower case, NULL if there is none."""
+    return F.get(name_tokens(value), F.lit(0))
+
+
+def word_before_kind(value: Col, kind_phrase: str = "family office") -> Column:
+    """The last meaningful word before the kind phrase in lower case, NULL if the phrase is absent or first."""
+    low = F.lower(text_or_empty(value))
+    before = name_tokens(F.substring_index(low, kind_phrase, 1))
+    return F.when(F.instr(low, kind_phrase) > 1, F.get(before, F.size(before) - 1))
+
+
 def is_entity_name(
     value: Col, generic: Sequence[str] = vocab.GENERIC_NAMES, stops: Sequence[str] = vocab.NAME_STOP_TOKENS,
-    starters: Sequence[str] = (), verbs: Sequence[str] = vocab.VERB_TOKENS, min_len: int = 5, max_len: int = 80,
+    verbs: Sequence[str] = vocab.VERB_TOKENS, min_len: int = 5, max_len: int = 80,
     token: str = r"^[A-Z][A-Za-z'’\-]{2,}$", generic_prefix: str = vocab.GENERIC_PREFIX,
-    kind_phrase: str = "family office",
 ) -> Column:
-    """Is a captured string a plausible organisation name?
-
-    ``starters`` are words that can neither open a name nor stand right before
-    the kind phrase; pass the curated list of the domain.
-    """
+    """Is a captured string a plausible organisation name? Words that rule one out by their place are a table: ``extract.not_vetoed``."""
     name = text_or_empty(value)
     low = F.lower(name)
     parts = F.filter(F.split(F.trim(name), r"\s+"), lambda t: t != "")
     meaningful = F.filter(parts, lambda t: ~F.lower(t).isin(list(stops)))
     first = F.get(meaningful, F.lit(0))
-    before = F.filter(
-        F.split(F.trim(F.substring_index(low, kind_phrase, 1)), r"\s+"), lambda t: ~t.isin(list(stops)) & (t != "")
-    )
     ok = (
         F.length(name).between(min_len, max_len)
         & ~low.isin(list(generic))
@@ -110,24 +119,9 @@ def is_entity_name(
         & ~low.rlike(generic_prefix)
         & ~F.exists(parts, lambda t: F.lower(t).isin(list(verbs)))
     )
-    if starters:
-        last_before = F.when(F.instr(low, kind_phrase) > 1, F.get(before, F.size(before) - 1))
-        ok = ok & ~yes(F.lower(first).isin(list(starters))) & ~yes(last_before.isin(list(starters)))
     return ok
 
 
-def is_short_entity_name(value: Col, bad_first: Sequence[str], bad_parts: Sequence[str]) -> Column:
-    """The shorter test for pattern-captured names: 4-55 characters, two tokens, no bad opener or part."""
-    name = text_or_empty(value)
-    parts = F.split(F.trim(name), r"\s+")
-    return (
-        F.length(name).between(4, 55)
-        & ~contains_any(F.lower(name), bad_parts)
-        & ~F.lower(F.element_at(parts, 1)).isin(list(bad_first))
-        & (F.size(parts) >= 2)
-    )
-
-
 def is_shared_mailbox(email: Col, generic: Sequence[str] = vocab.SHARED_MAILBOXES) -> Column:
     local = F.translate(email_local(F.lower(normalize_space(email))), ".-_", "")
     return local.isin(list(generic))
@@ -220,10 +214,6 @@ def route_qualifies(route: Column) -> Column:
     return F.size(route_reasons(route)) == 0
 
 
-def email_qualifies(route: Column) -> Column:
-    return yes(route["type"] == "email") & route_qualifies(route)
-
-
 def qualifying_routes(routes: Col = "contact_routes") -> Column:
     present = F.coalesce(col(routes), F.array().cast(schemas.RECORD["contact_routes"].dataType))
     return F.filter(present, route_qualifies)

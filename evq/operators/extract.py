@@ -83,11 +83,25 @@ def candidates(
         F.lit("candidate").alias("status"))
 
 
-def entity_mentions(hits: DataFrame, text: Column, patterns=vocab.ENTITY_PATTERNS, **rules) -> DataFrame:
-    """Valid entity names captured from hit text, with their dedup key."""
+def not_vetoed(names: DataFrame, veto: DataFrame, name: str = "firm_name", kind_phrase: str = "family office") -> DataFrame:
+    """Names whose words are not ruled out by their place.
+
+    ``veto`` (place, word) holds lower-case words that can't open a name (``opener``) or stand right before the kind phrase
+    (``before``). It is a table of any length: a name looks up its two words by key instead of being matched with a list.
+    """
+    words = veto.select("place", F.lower("word").alias("_word")).distinct()
+    rows = names.withColumns({"_opener": policy.name_opener(name), "_before": policy.word_before_kind(name, kind_phrase)})
+    for place in ("opener", "before"):
+        rows = rows.join(words.where(F.col("place") == place).select(F.col("_word").alias(f"_{place}")), f"_{place}", "left_anti")
+    return rows.select(*names.columns)
+
+
+def entity_mentions(hits: DataFrame, text: Column, veto: DataFrame, patterns=vocab.ENTITY_PATTERNS, **rules) -> DataFrame:
+    """Valid entity names captured from hit text and not vetoed by ``veto`` (see ``not_vetoed``), with their dedup key."""
     names = tx.entity_names(text, patterns)
-    found = hits.withColumn("firm_name", F.explode(names))
-    return found.where(policy.is_entity_name("firm_name", **rules)).withColumn("normalized_name", tx.dedup_key("firm_name"))
+    found = tx.pin(hits, _names=names).withColumn("firm_name", F.explode("_names")).drop("_names")
+    valid = not_vetoed(found.where(policy.is_entity_name("firm_name", **rules)), veto)
+    return valid.withColumn("normalized_name", tx.dedup_key("firm_name"))
 
 
 def snippet_routes(

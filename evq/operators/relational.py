@@ -54,10 +54,6 @@ def blocklist(df: DataFrame, blocked: DataFrame, key: str, exempt: Column | None
 # Sides are not hinted: adaptive execution broadcasts a side when its measured
 # size is under the threshold and splits skewed partitions otherwise.
 
-def attach(facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    return facts.join(dimension, key, how)
-
-
 def group_counts(dimension: DataFrame, facts: DataFrame, key: str, out: str = "n", keep_zero: bool = False) -> DataFrame:
     """Facts per dimension row, counted before the join so that hot keys travel as one row."""
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias(out))

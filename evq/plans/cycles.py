@@ -24,13 +24,6 @@ def rollup(log: DataFrame, counters: Mapping[str, str], cycle: str = "cycle_id",
     )
 
 
-def publishable_counts(judged: DataFrame) -> DataFrame:
-    """Publishable records, and those with a qualifying email: one aggregate per batch."""
-    ok = policy.one_of("lifecycle_status", ["publish"]) & F.col("qualifies")
-    return judged.agg(
-        F.count_if(ok).alias("records"), F.count_if(ok & (F.col("qualifying_email_count") > 0)).alias("with_email"))
-
-
 def balanced_batch(candidates: DataFrame, limit: int) -> DataFrame:
     """Next candidates in fair order over source classes: least tried, longest waiting, then id."""
     order = [F.coalesce("attempt_count", F.lit(0)), F.coalesce("last_attempted_at", F.lit("")), F.col("candidate_id")]

@@ -2,6 +2,7 @@ from conftest import evidence, golden, route
 from pyspark.sql import functions as F
 
 from evq.functions import policy
+from evq.operators import extract
 
 
 def judge(frame, *records):
@@ -100,8 +101,21 @@ def test_entity_names(spark):
         ("Acme Family Office", True), ("The Family Office", False), ("Global Family Office", False), ("Acme 2 Group", False),
         ("acme family office", False), ("Who Are Acme", False), ("Leading Family Office", False), ("", False), (None, False)]
     rows = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(cases)], "i int, n string")
-    got = rows.select("i", policy.yes(policy.is_entity_name("n", starters=["leading"])).alias("ok")).orderBy("i").collect()
-    assert [r.ok for r in got] == [w for _, w in cases]
+    got = rows.select("i", policy.yes(policy.is_entity_name("n")).alias("ok")).orderBy("i").collect()
+    assert [r.ok for r in got] == [w or n == "Leading Family Office" for n, w in cases]
+
+
+def test_words_rule_names_out_by_their_place(spark):
+    names = spark.createDataFrame([(n,) for n in (
+        "Leading Family Office", "The Leading Family Office", "Acme Zeta Family Office", "Acme Zeta The Family Office", "Zeta Acme Family Office",
+        "Acme Leading", "Family Office Leading", "the", "", None)], "firm_name string")
+    veto = spark.createDataFrame([("opener", "Leading"), ("opener", "leading"), ("before", "zeta"), ("before", None)], "place string, word string")
+    got = {r[0] for r in extract.not_vetoed(names, veto).collect()}
+    assert got == {"Zeta Acme Family Office", "Acme Leading", "the", "", None}
+    assert extract.not_vetoed(names, veto.where("false")).count() == 10
+    hits = spark.createDataFrame([(1, "Read: Acme Zeta Family Office, Smith Jones Family Office and Leading Jones Family Offices.")], "i int, body string")
+    found = extract.entity_mentions(hits, F.col("body"), veto).collect()
+    assert [(r.i, r.firm_name, r.normalized_name) for r in found] == [(1, "Smith Jones Family Office", "smith jones")]
 
 
 def test_codes(spark):
