@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evq import schemas
 from evq.bindings.registry import query
 from evq.functions import policy, text as tx
 from evq.functions.records import build_evidence, build_record, contact_columns, flat_release_columns
 from evq.operators import retrieval, state
-from evq.session import materialize
+from evq.plans import release
+from evq.session import materialize, scratch_path
 
 DIGITS, LETTERS = "0123456789", "abcdefghij"
 OBSERVED = "2024-01-01T00:00:00Z"
@@ -386,3 +388,29 @@ def collapsed_routes(t):
             F.struct(F.lit(phase).alias("phase"), key.alias("key")).alias("seq")))
     kept = state.collapse_routes(parts[0].unionByName(parts[1]), "o_custkey", "value", "seq")
     return kept.select("o_custkey", "value", "phase", F.array_join(policy.route_reasons(F.col("route")), ",").alias("reasons"))
+
+
+@query("record_release", f"""
+WITH {ALL}, asked AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY c_custkey) AS by_id,
+    row_number() OVER (PARTITION BY identity_key ORDER BY c_custkey) AS by_identity FROM rec WHERE lifecycle = 'publish'),
+ok AS (SELECT * FROM asked WHERE len(reasons) = 0 AND by_id = 1 AND by_identity = 1)
+SELECT count(*) AS record_count, count(DISTINCT lower(firm_name)) AS firm_count, count(*) FILTER (WHERE mails > 0) AS qualifying_email_count,
+       'search_discovery=' || count(*) AS source_mix, coalesce(string_agg(DISTINCT n_name, ',' ORDER BY n_name), '') AS countries,
+       concat_ws('; ', CASE WHEN count(*) < 500 THEN 'record_count ' || count(*) || ' < 500' END, CASE WHEN count(*) FILTER (WHERE mails > 0) < 200 THEN
+           'qualifying_email_count ' || count(*) FILTER (WHERE mails > 0) || ' < 200' END) AS readiness_failures,
+       (SELECT count(*) FROM asked) - count(*) AS blocked_count, 'final release gate failed' AS final_gate, 'records requested publication but failed policy' AS strict, true AS reconciled FROM ok
+""")
+def record_release(t):
+    """The release of canonical records: what the policy blocks stays out, the rest is written, counted and reconciled."""
+    rows = materialize(records(t).withColumn("seq", F.col("c_custkey")), "records")
+    publishable, blocked = (materialize(x, "gate") for x in release.prepare(rows))
+    built = release.build(publishable, scratch_path(t.spark, "record-release"), release.release_spec(), OBSERVED)
+    passed = release.reconcile(t.spark, built, release.release_spec(), schemas.RELEASE_COLUMNS).select(F.col("passed").alias("reconciled"))
+    counts = blocked.agg(F.count(F.lit(1)).alias("blocked_count"))
+    said = release.block_message(blocked) or ""
+    mix = F.array_join(F.transform(F.array_sort(F.map_entries("source_mix")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return built.manifest.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(passed)).select(  # one row each
+        "record_count", "firm_count", "qualifying_email_count", mix.alias("source_mix"), F.array_join("countries", ",").alias("countries"),
+        F.array_join("readiness_failures", "; ").alias("readiness_failures"), "blocked_count",
+        F.when(F.size("readiness_failures") > 0, "final release gate failed").otherwise("").alias("final_gate"),
+        F.regexp_extract(F.lit(said), "records requested publication but failed policy", 0).alias("strict"), "reconciled")

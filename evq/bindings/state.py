@@ -10,7 +10,7 @@ from evq.bindings.texts import _sql_html_text
 from evq.functions import policy, text as tx
 from evq.operators import relational as rel, state
 from evq.plans import migration, release
-from evq.session import scratch_path
+from evq.session import materialize, scratch_path
 from evq.sources import files
 
 CUT = "2024-01-20"
@@ -237,6 +237,53 @@ def reconcile(t):
     return outcome.select("passed", F.array_join("problems", "; ").alias("problems"), "release_id", "record_count")
 
 
+DRIFTS = {
+    "as_written": "", "csv_row_missing": "csv checksum differs from manifest; row counts disagree; record IDs or ordering disagree",
+    "json_value": "jsonl checksum differs from manifest",
+    "json_other_release": "jsonl checksum differs from manifest; release IDs disagree"}
+
+
+@query("reconcile_drift", f"""
+WITH {RELEASE_SQL}, n AS (SELECT count(*) AS n FROM r)
+SELECT * FROM (VALUES {", ".join(f"('{k}', {str(not v).lower()}, '{v}')" for k, v in DRIFTS.items())}) AS t("case", passed, problems), n
+""")
+def reconcile_drift(t):
+    """A release as it was written, and copies of it that differ in one way each."""
+    built, spec = supplier_release(t)
+    spark, out = t.spark, []
+    rows = materialize(files.read_csv(spark, f"{built.path}/csv", CSV_COLUMNS), "rows")
+    last = rows.agg(F.max("Record ID").alias("Record ID"))
+    lines = files.placed_lines(spark, f"{built.path}/jsonl").select("value")
+    edits = {
+        "csv_row_missing": lambda to: files.write_csv(rows.join(last, "Record ID", "left_anti"), f"{to}/csv", CSV_COLUMNS, ["Record ID"]),
+        "json_value": lambda to: lines.withColumn("value", F.replace("value", F.lit("Supplier"), F.lit("supplier"))).write.text(f"{to}/jsonl"),
+        "json_other_release": lambda to: lines.withColumn("value", F.regexp_replace("value", "REL_[0-9A-F]+", "REL_0")).write.text(f"{to}/jsonl"),
+    }
+    for case in DRIFTS:
+        path = built.path
+        if case in edits:
+            path = scratch_path(spark, "drift")
+            edits[case](path)
+            if case.startswith("csv"):
+                lines.write.text(f"{path}/jsonl")
+            else:
+                files.write_csv(rows, f"{path}/csv", CSV_COLUMNS, ["Record ID"])
+        if case.startswith("json"):  # these files hold the same rows in other part files: take their checksum as given
+            sums = release.representation_digests(release.read_written(spark, path, spec)).first()
+            manifest = built.manifest.withColumn("csv_sha256", F.lit(sums["csv_sha256"]))
+        elif case.startswith("csv"):
+            sums = release.representation_digests(release.read_written(spark, path, spec)).first()
+            manifest = built.manifest.withColumn("jsonl_sha256", F.lit(sums["jsonl_sha256"]))
+        else:
+            manifest = built.manifest
+        outcome = release.reconcile(spark, release.Release(path, built.release_id, manifest), spec, CSV_COLUMNS)
+        out.append(outcome.select(F.lit(case).alias("case"), "passed", F.array_join("problems", "; ").alias("problems")))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole.crossJoin(F.broadcast(t("supplier").agg(F.count(F.lit(1)).alias("n"))))  # one row
+
+
 @query("legacy_migration", """
 WITH c AS (SELECT s_suppkey, 'Firm ' || s_nationkey AS firm, CASE WHEN s_acctbal < 0 THEN 'Our Team' ELSE 'Jane Smith' END AS person,
                   CASE WHEN s_acctbal > 9000 THEN '' ELSE 'https://example.com/' || s_suppkey END AS url FROM supplier)

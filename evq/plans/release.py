@@ -1,8 +1,8 @@
 """Release build: gate, ids, both representations, manifest, reconciliation.
 
-A release is a folder with ``jsonl``, ``csv`` and, written last, ``manifest``.
-Checksums are order-free digests of the lines, so that no file passes through
-one task: count, xor and sum of a 60-bit hash per line.
+A release is a folder with ``jsonl``, ``csv`` and, written last, ``manifest``. Its id is an order-free digest of the rows
+(count, xor and sum of a 60-bit hash per line); checksums of files are hash trees over their lines. Neither lets a file or
+a table pass through one task.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
-from evq import schemas
+from evq import schemas, vocab
 from evq.functions import keys, policy
 from evq.functions.records import flat_release_columns
 from evq.operators import ordering, relational
@@ -85,7 +84,10 @@ def release_spec(minimums: Mapping[str, int] | None = None) -> ReleaseSpec:
         record_id="record_id",
         statistics={
             "record_count": F.count(F.lit(1)), "firm_count": F.countDistinct(F.lower("firm.name")),
-            "qualifying_email_count": F.count_if(F.col("qualifying_email_count") > 0)},
+            "qualifying_email_count": F.count_if(F.col("qualifying_email_count") > 0),
+            "source_mix": F.map_filter(
+                F.create_map(*(x for c in vocab.SOURCE_CLASSES for x in (F.lit(c), F.count_if(F.col("discovery.source_class") == c)))), lambda _, n: n > 0),
+            "countries": F.array_sort(F.collect_set("firm.country"))},  # names of countries: a short list
         minimums=minimums or {"record_count": 500, "qualifying_email_count": 200},
         flat=flat_release_columns("release_id"), id_column="Record ID", release_column="Release ID")
 
@@ -112,7 +114,7 @@ def build(rows: DataFrame, path: str, spec: ReleaseSpec, created_at: str, final_
     files.write_csv(flat, f"{path}/csv", flat.columns, [spec.id_column])
 
     stats = rows.agg(*[c.alias(n) for n, c in spec.statistics.items()])
-    sums = representation_digests(spark, path)
+    sums = representation_digests(read_written(spark, path, spec))
     failures = relational.readiness_failures(spec.minimums)
     manifest = stats.crossJoin(F.broadcast(sums)).select(  # two one-row frames
         F.lit("2.0").alias("schema_version"), F.lit(release_id).alias("release_id"), F.lit(created_at).alias("created_at"),
@@ -136,47 +138,68 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).json(f"{path}/manifest")
 
 
-def representation_digests(spark: SparkSession, path: str) -> DataFrame:
-    """One row: SHA-256 of each representation, over the SHA-256 of the bytes of its part files in name order.
-
-    Part files are read whole, one per row: their size is bounded by the writing tasks, and so is the list of digests.
-    """
-    parts = []
+@dataclass(frozen=True)
+class Written:
+    """The files of a release as rows, each read once: lines of both representations (name, file, size, n, digest, id, rel)."""
+
+    lines: DataFrame
+    csv_rows: DataFrame | None  # (file, n, id, rel) of the CSV records
+
+
+def read_written(spark: SparkSession, path: str, spec: ReleaseSpec, csv_columns: Sequence[str] = ()) -> Written:
+    """Large files are split at any line feed; line texts are kept for the CSV records only."""
+    value = F.col("value")
+    ids = [F.get_json_object(value, f"$.{spec.record_id}").alias("id"), F.get_json_object(value, "$.release_id").alias("rel")]
+    place = ("file", "size", "block", "line")
+    of_json = files.placed_lines(spark, f"{path}/jsonl").select(F.lit("jsonl").alias("name"), *place, F.sha2(value, 256).alias("digest"), *ids)
+    csv_lines = materialize(files.placed_lines(spark, f"{path}/csv"), "csv")
+    none = F.lit(None).cast("string")
+    of_csv = csv_lines.select(F.lit("csv").alias("name"), *place, F.sha2(value, 256).alias("digest"), none.alias("id"), none.alias("rel"))
+    parts = [files.numbered(x) for x in (materialize(of_json, "json"), of_csv)]
+    rows = None
+    if csv_columns:
+        rows = files.csv_records(csv_lines, csv_columns).select(
+            "file", "n", F.col(f"`{spec.id_column}`").alias("id"), F.col(f"`{spec.release_column}`").alias("rel"))
+    return Written(parts[0].unionByName(parts[1]), rows)
+
+
+def representation_digests(written: Written) -> DataFrame:
+    """One row: SHA-256 of each representation, over the hash trees and sizes of its part files in name order."""
+    sums = []
     for name in ("csv", "jsonl"):
-        content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{name}")
-        parts.append(content.select(
-            F.lit(name).alias("name"), F.struct(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("d")).alias("p")))
-    sums = parts[0].unionByName(parts[1]).groupBy("name").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p"))["d"], ""), 256).alias("d"))
-    return sums.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("d"))), F.lit("")).alias(f"{n}_sha256") for n in ("csv", "jsonl")])
+        parts = files.tree_digests(written.lines.where(F.col("name") == name))
+        node = F.concat_ws(":", F.col("size").cast("string"), "digest")
+        sums.append(parts.agg(F.array_sort(F.collect_list(F.struct("file", node.alias("d")))).alias("p")).select(  # one entry per part file
+            F.when(F.size("p") > 0, F.sha2(F.array_join(F.col("p")["d"], ""), 256)).otherwise("").alias(f"{name}_sha256")))
+    return sums[0].crossJoin(F.broadcast(sums[1]))  # one row each
 
 
-def _disorder(rows: DataFrame) -> DataFrame:
-    """Number of rows (id, file, block, line) that stand behind a greater id of their representation."""
-    within = F.lag("id").over(Window.partitionBy("file").orderBy("block", "line"))
-    inside = rows.withColumn("before", within).groupBy("file").agg(
-        F.count_if(F.col("before") > F.col("id")).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
-    across = F.coalesce(F.lag("most").over(Window.orderBy("file")) > F.col("least"), F.lit(False))  # one row per part file
-    return inside.select("n", across.cast("bigint").alias("gap")).agg(F.coalesce(F.sum(F.col("n") + F.col("gap")), F.lit(0)).alias("disorder"))
+#: Rows of a file that are compared in one task.
+STRETCH = 100_000
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("line"))
+def _disorder(rows: DataFrame) -> DataFrame:
+    """Number of rows (id, file, n) that stand behind a greater id of their representation.
+
+    Neighbours are compared within stretches of a file; only the first and last id of each stretch meet in one task.
+    """
+    placed = rows.withColumn("stretch", F.floor(F.col("n") / STRETCH))
+    lagged = placed.withColumn("before", F.lag("id").over(Window.partitionBy("file", "stretch").orderBy("n")))
+    ends = lagged.groupBy("file", "stretch").agg(
+        F.count_if(F.col("before") > F.col("id")).alias("inside"), F.min_by("id", "n").alias("first"), F.max_by("id", "n").alias("last"))
+    gap = F.coalesce(F.lag("last").over(Window.orderBy("file", "stretch")) > F.col("first"), F.lit(False))
+    return ends.select("inside", gap.cast("bigint").alias("gap")).agg(F.coalesce(F.sum(F.col("inside") + F.col("gap")), F.lit(0)).alias("disorder"))
 
 
 def reconcile(spark: SparkSession, release: Release, spec: ReleaseSpec, csv_columns: Sequence[str]) -> DataFrame:
     """One row: passed, problems, record_count of a written release.
 
     Ids are compared as multisets, and both files must be in id order, so equal
-    ids mean equal order. Digests are those of the files' bytes.
+    ids mean equal order. Digests are those of the files' lines, sizes and order.
     """
-    path = release.path
-    json_rows = _placed(spark.read.text(f"{path}/jsonl")).select(
-        F.get_json_object("value", f"$.{spec.record_id}").alias("id"), F.get_json_object("value", "$.release_id").alias("rel"),
-        F.lit(1).alias("j"), F.lit(0).alias("c"), "file", "block", "line")
-    csv_rows = _placed(files.csv_scan(spark, f"{path}/csv", csv_columns)).select(
-        F.col(f"`{spec.id_column}`").alias("id"), F.col(f"`{spec.release_column}`").alias("rel"), F.lit(0).alias("j"), F.lit(1).alias("c"),
-        "file", "block", "line")
+    written = read_written(spark, release.path, spec, csv_columns)
+    json_rows = written.lines.where(F.col("name") == "jsonl").select("id", "rel", F.lit(1).alias("j"), F.lit(0).alias("c"), "file", "n")
+    csv_rows = materialize(written.csv_rows, "csv-rows").select("id", "rel", F.lit(0).alias("j"), F.lit(1).alias("c"), "file", "n")
     disorder = _disorder(json_rows).unionByName(_disorder(csv_rows)).agg(F.sum("disorder").alias("disorder"))
     per_id = json_rows.unionByName(csv_rows).groupBy("id", "rel").agg(F.sum("j").alias("j"), F.sum("c").alias("c"))
     own = F.col("rel").eqNullSafe(F.lit(release.release_id))
@@ -185,7 +208,7 @@ def reconcile(spark: SparkSession, release: Release, spec: ReleaseSpec, csv_colu
     ).agg(
         F.coalesce(F.sum("j"), F.lit(0)).alias("json_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("csv_rows"),
         F.count_if(F.col("j") != F.col("c")).alias("id_gaps"), F.count_if(F.col("foreign")).alias("foreign_ids"))
-    now = representation_digests(spark, path).select(
+    now = representation_digests(written).select(
         F.col("csv_sha256").alias("now_csv"), F.col("jsonl_sha256").alias("now_jsonl"))
     facts = totals.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(disorder)).crossJoin(F.broadcast(release.manifest))  # one row each
     problems = policy.fired([

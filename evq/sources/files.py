@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,16 +61,79 @@ def write_jsonl(df: DataFrame, path: str, sort_key: str | None = None) -> None:
     lines.write.text(path)
 
 
-def csv_scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV scan with header and quoted line breaks, which makes every file one task; part files are of bounded size."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their place: value, file, size (of the file), block, and ``line``, which ascends in a block.
+
+    Only line feeds end a line, so large files are split at any of them. Write the result before it is read twice.
+    """
+    rows = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(path)
+    return rows.select(
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def numbered(lines: DataFrame, *sums: str) -> DataFrame:
+    """``lines`` with ``n``, the number of each line in its file from 0, and ``<sum>_before`` for each of ``sums``, its total over earlier blocks.
+
+    Lines are counted per block; only the blocks of a file, not its lines, meet in one task.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.min("line").alias("_first"), F.count(F.lit(1)).alias("_lines"), *[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_lines", *sums)]
+    placed = lines.join(blocks.select("file", "block", "_first", *before), ["file", "block"])
+    return placed.withColumn("n", F.col("line") - F.col("_first") + F.col("_lines_before")).drop("_first", "_lines_before")
+
+
+#: Children of a node in the hash tree of a file.
+BRANCH = 4096
+
+
+def tree_digests(lines: DataFrame) -> DataFrame:
+    """(file, size, digest) from lines (file, size, n, digest): SHA-256 over up to BRANCH digests in order, on three levels.
+
+    Three levels hold 6.9e10 lines a file; a row never holds more than BRANCH digests.
+    """
+    level = lines.select("file", "size", "n", "digest")
+    for _ in range(3):
+        grouped = level.groupBy("file", "size", F.floor(F.col("n") / BRANCH).alias("up")).agg(F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("c"))
+        level = grouped.select("file", "size", F.col("up").alias("n"), F.sha2(F.array_join(F.col("c")["digest"], ""), 256).alias("digest"))
+    return level.drop("n")
+
+
+def csv_records(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The records of CSV files with a header (file, n, columns) from their written ``placed_lines``; blank ones are skipped.
+
+    A line belongs to the record of the last line before it that starts outside quotes. Whether one does follows from the
+    number of quotes before it, which is added up per block first; so a file is split at any line, also inside a record.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = numbered(lines.withColumn("_quotes", quotes), "_quotes")
+    here = Window.partitionBy("file", "block").orderBy("line")
+    earlier = F.coalesce(F.sum("_quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = counted.withColumn("_open", (F.col("_quotes_before") + earlier) % 2 == 1)
+    marked = materialize(marked.withColumn("_start", F.last(F.when(~F.col("_open"), F.col("n")), ignorenulls=True).over(
+        here.rowsBetween(Window.unboundedPreceding, Window.currentRow))), "csv-lines")
+    whole = ~F.col("_open") & (F.col("_quotes") % 2 == 0)
+    single = marked.where(whole).select("file", "n", "value")
+    blocks = marked.groupBy("file", "block").agg(F.max("_start").alias("_last"))
+    carried = blocks.select("file", "block", F.max("_last").over(
+        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    split = marked.where(~whole).join(carried, ["file", "block"]).select("file", F.coalesce("_start", "_carried").alias("_record"), "n", "value")
+    joined = split.groupBy("file", F.col("_record").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("i"), "value"))).alias("v"))
+    records = single.unionByName(joined.select("file", "n", F.array_join(F.col("v")["value"], "\n").alias("value")))
+    fields = [f"c{i}" for i in range(len(columns))]
+    row = F.from_csv("value", ", ".join(f"{c} string" for c in fields), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    parsed = records.where(F.col("value") != "").select("file", "n", row.alias("r"))
+    header = F.array(*(F.col(f"r.{c}") for c in fields)) == F.array(*(F.lit(c) for c in columns))
+    wrong = F.raise_error(F.concat(F.col("file"), F.lit(": the header differs from the expected columns"))).cast("boolean")
+    kept = F.when(F.col("n") > 0, F.lit(True)).when(F.coalesce(header, F.lit(False)), F.lit(False)).otherwise(wrong)
+    return parsed.where(kept).select("file", "n", *[F.col(f"r.{c}").alias(name) for c, name in zip(fields, columns, strict=True)])
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """``csv_scan`` with every column as text, where '' stays ''."""
-    raw = csv_scan(spark, path, columns)
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    """CSV files with header and quoted line breaks; every column is text, where '' stays ''."""
+    rows = csv_records(materialize(placed_lines(spark, path), "lines"), columns)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str] = ()) -> None:

@@ -38,6 +38,27 @@ def test_csv_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got] == [("1", 'say "hi",\nbye', ""), ("2", " x ", "")]
 
 
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    """Splits fall into headers, quotes and quoted line breaks."""
+    notes = ['say "hi",\nbye', "", " x ", 'a\n\n\n"b"\r\n', "é,;\"", "plain", '"', "\n", '""']
+    rows = spark.createDataFrame([(f"{i:04d}", notes[i % len(notes)], None if i % 3 else "z") for i in range(700)], "id string, note string, e string")
+    files.write_csv(rows.coalesce(1), str(tmp_path / "c"), ["id", "note", "e"], ["id"])
+    session = spark.newSession()
+    for name, value in (("maxPartitionBytes", "150"), ("openCostInBytes", "0")):
+        session.conf.set(f"spark.sql.files.{name}", value)
+    lines = files.placed_lines(session, str(tmp_path / "c"))
+    assert lines.select("block").distinct().count() > 40
+    got = files.read_csv(session, str(tmp_path / "c"), ["id", "note", "e"]).collect()
+    assert sorted(map(tuple, got)) == sorted((r.id, r.note, r.e or "") for r in rows.collect())
+    numbers = files.numbered(lines).select("n").orderBy("n").collect()
+    assert [r.n for r in numbers] == list(range(len(numbers)))
+    split = files.tree_digests(files.numbered(lines).withColumn("digest", F.sha2("value", 256))).collect()
+    whole = files.tree_digests(files.numbered(files.placed_lines(spark, str(tmp_path / "c"))).withColumn("digest", F.sha2("value", 256))).collect()
+    assert split == whole and len(split) == 1, "the digest does not depend on the splits"
+    with pytest.raises(Exception, match="header differs"):
+        files.read_csv(spark, str(tmp_path / "c"), ["id", "other", "e"]).collect()
+
+
 def test_snapshots_and_logs(spark, tmp_path):
     base = str(tmp_path / "s")
     assert files.read_snapshot(spark, base) is None
