@@ -138,8 +138,8 @@ WITH c AS (
     SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t
     FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id),
 p AS (
-    SELECT a.conv_id AS pair_id, a.t AS c, a.t[:len(a.t) // 2] || b.t[len(b.t) // 2 + 1:] AS r
-    FROM c AS a JOIN c AS b ON b.conv_id = xor(a.conv_id, 1)),
+    SELECT a.conv_id AS pair_id, a.t AS c, a.t[:len(a.t) // 2] || coalesce(b.t[len(b.t) // 2 + 1:], []) AS r
+    FROM c AS a LEFT JOIN c AS b ON b.conv_id = xor(a.conv_id, 1)),
 n AS (
     SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1,
                        least(len(c), len(r))) AS n FROM p),
@@ -158,13 +158,14 @@ SELECT pair_id, n::INTEGER AS n_prompt_turns, sha256(texts[1]) AS prompt_sha256,
 
 @query("op8_preference_formatting", PREFERENCE_SQL)
 def op8_preference_formatting(spark, sf_dir):
-    """Every conversation is the chosen one; the rejected one leaves it half way for the end of its neighbour."""
+    """Every conversation is the chosen one; the rejected one leaves it half way for the end of its neighbour, if there is one."""
     own = preferences.conversations(table(spark, sf_dir, "conversations"))
     other = own.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("turns").alias("end"))
     half = F.floor(F.size("turns") / 2).cast("int")
     after = F.floor(F.size("end") / 2).cast("int")
-    rejected = F.concat(F.slice("turns", F.lit(1), half), F.slice("end", after + 1, F.size("end") - after))
-    pairs = own.join(other, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen_turns"), rejected.alias("rejected_turns"))
+    end = F.coalesce(F.slice("end", after + 1, F.size("end") - after), F.slice("turns", F.lit(1), F.lit(0)))
+    rejected = F.concat(F.slice("turns", F.lit(1), half), end)
+    pairs = own.join(other, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen_turns"), rejected.alias("rejected_turns"))
     made = preferences.format_pairs(pairs)
 
     def runs(c: str):

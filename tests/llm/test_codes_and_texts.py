@@ -17,6 +17,7 @@ from test_models_and_rules import COLUMNS, components, frame, shingle_set
 import corpus_pipeline
 from __spark_entry__ import queries
 from evq.llm import licenses, packing, preferences, quality, secrets, sentencepiece_codec, simple8b
+from evq.llm import queries as llm_queries
 from evq.llm.tokens import tokenizer
 
 ODD = ["", " ", "  a", "a  ", "a   b", "▁x ▁", "日本語 漢字", "é́ ñ", "\n\n", "\0 a", "😀😀 x", "a" * 3000, "=" * 999, "<s> </s> <unk> <0x0A>",
@@ -399,3 +400,12 @@ def test_queries_are_registered():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11))
     assert "pipeline" in queries()
+
+
+def test_conversations_without_a_neighbour_stay(spark, tmp_path):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (6, 0, "user", "alone"), (6, 1, "assistant", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = {r["pair_id"]: r for r in llm_queries.QUERIES["op8_preference_formatting"](spark, str(tmp_path)).collect()}
+    assert sorted(made) == [0, 1, 6]
+    assert [made[i]["usable"] for i in (0, 1, 6)] == [True, True, False]
+    assert made[6]["n_prompt_turns"] == 1 and made[6]["rejected_mask"] == ""
