@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from evq.bindings.registry import query
 from evq.functions import text
-from evq.operators import ordering, relational as rel
+from evq.operators import ordering, paging, relational as rel
+from evq.session import scratch_path
 
 
 def customers_with_nation(t):
@@ -129,6 +130,35 @@ def page_offset(t):
     return ordering.page(rows, [F.desc("o_totalprice"), F.col("o_orderkey")], limit=50, offset=100)
 
 
+def ordered_orders(t, stretch):
+    """The orders by falling price, then key, as a table that is paged by seeking."""
+    path = scratch_path(t.spark, "ordered")
+    rows = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    paging.write_ordered(rows, path, {"price_key": -F.col("o_totalprice"), "order_key": F.col("o_orderkey")}, stretch)
+    return path
+
+
+@query("ordered_scan", """
+SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders
+""")
+def ordered_scan(t):
+    return paging.read_ordered(t.spark, ordered_orders(t, 1_000)).select("o_orderkey", "o_custkey", "o_totalprice", "position")
+
+
+@query("page_seek", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position, count(*) OVER () AS total FROM orders)
+SELECT 'at' AS kind, o_orderkey, position FROM n WHERE position BETWEEN total // 2 + 1 AND total // 2 + 50
+UNION ALL SELECT 'after', o_orderkey, position FROM n WHERE (o_totalprice < 250000) QUALIFY row_number() OVER (ORDER BY position) <= 50
+""")
+def page_seek(t):
+    """Fifty orders from the middle of the order, and the fifty below a price."""
+    path, half = ordered_orders(t, 1_000), t("orders").count() // 2
+    at = paging.page_at(t.spark, path, half, 50, 1_000).select(F.lit("at").alias("kind"), "o_orderkey", "position")
+    below = t("orders").agg(F.max("o_orderkey")).first()[0]
+    after = paging.page_after(t.spark, path, (-250000.0, below), 50, 1_000).select(F.lit("after").alias("kind"), "o_orderkey", "position")
+    return at.unionByName(after)
+
+
 @query("oldest_first_batch", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date FROM orders WHERE o_orderstatus = 'O'
 ORDER BY o_orderdate, o_orderkey LIMIT 50

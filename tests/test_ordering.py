@@ -122,3 +122,22 @@ def test_curation_joins(spark):
     assert [r.k for r in relational.blocklist(rows, blocked, "k", exempt=F.col("k") == "b").orderBy("k").collect()] == ["b", "c"]
     old = spark.createDataFrame([("a", 3)], "k string, n int")
     assert {r.k: r.n for r in relational.carry_over(rows, old, "k", {"n": 0}).collect()} == {"a": 3, "b": 0, "c": 0}
+
+
+def test_pages_seek_in_an_ordered_table(spark, tmp_path):
+    from evq.operators import paging
+
+    rows = spark.range(5_000).select((F.col("id") % 37).alias("g"), F.col("id"), F.when(F.col("id") % 11 > 0, F.col("id") % 5).alias("v"))
+    path = str(tmp_path / "ordered")
+    paging.write_ordered(rows, path, {"k1": F.col("v"), "k2": F.col("id")}, stretch=400)
+    want = sorted(((r.v is not None, r.v or 0, r.id) for r in rows.collect()))
+    got = paging.read_ordered(spark, path).orderBy("position").collect()
+    assert [(r.v is not None, r.v or 0, r.id) for r in got] == want and [r.position for r in got] == list(range(1, 5_001))
+    for offset in (0, 399, 1_234, 4_990, 9_000):
+        page = paging.page_at(spark, path, offset, 50, stretch=400)
+        assert [r.id for r in page.collect()] == [w[2] for w in want[offset:offset + 50]]
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(stretch" in plan, "a page reads only its folders"
+    for key in ((0, 10), (0, -1), (3, 10**9), (2, 7), (9, 9), (None, -5)):
+        place = sum(w <= (key[0] is not None, key[0] or 0, key[1]) for w in want)
+        assert [r.id for r in paging.page_after(spark, path, key, 30, stretch=400).collect()] == [w[2] for w in want[place:place + 30]]
