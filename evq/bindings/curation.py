@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evq.bindings.registry import query, sql_norm
 from evq.functions import keys, text as tx
-from evq.operators import ordering
+from evq.operators import ordering, relational as rel
 
 
 def text_key():
@@ -109,12 +109,8 @@ FROM k LEFT JOIN b USING (token) GROUP BY doc_id
 """)
 def token_sets(t):
     words = lambda: tx.tokens(F.lower("text"))
-    docs = t("documents").select("doc_id", F.explode(F.array_distinct(words())).alias("token"))
-    bench = t("benchmark").select(F.explode(words()).alias("token")).distinct()
-    marked = docs.join(bench.withColumn("_in", F.lit(True)), "token", "left")
-    return marked.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("distinct_tokens"), F.count("_in").alias("shared"),
-        (F.count(F.lit(1)) - F.count("_in")).alias("own"))
+    bench = t("benchmark").select(F.explode(words()).alias("token"))
+    return rel.token_overlap(t("documents").select("doc_id", "text"), "doc_id", words(), bench)
 
 
 @query("token_overlap_rows", f"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evq.functions.text import contains_fold, pin, text_or_empty
 from evq.operators import ordering
+from evq.session import materialize
 
 # Fixed value: reason of a row that no list mentions.
 DEFAULT_REJECTION = "Not in curated allowlist for final build."
@@ -54,6 +55,24 @@ def blocklist(df: DataFrame, blocked: DataFrame, key: str, exempt: Column | None
 # Sides are not hinted: adaptive execution broadcasts a side when its measured
 # size is under the threshold and splits skewed partitions otherwise.
 
+#: Distinct tokens (one short string each) up to which a token set is broadcast.
+BROADCAST_TOKENS = 1_000_000
+
+
+def token_overlap(docs: DataFrame, key: str, tokens: Column, known: DataFrame, most: int = BROADCAST_TOKENS) -> DataFrame:
+    """Per key: distinct_tokens, shared (those in ``known.token``) and own.
+
+    The known set is written and counted. Up to ``most`` tokens it is broadcast, so that the tokens of a document meet it
+    where they are and only one row per document and task is shuffled; a larger set meets them in a shuffle join.
+    """
+    known = materialize(known.select("token").distinct().withColumn("_in", F.lit(True)), "tokens")
+    if known.count() <= most:
+        known = F.broadcast(known)
+    marked = docs.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(known, "token", "left")
+    return marked.groupBy(key).agg(
+        F.count(F.lit(1)).alias("distinct_tokens"), F.count("_in").alias("shared"), (F.count(F.lit(1)) - F.count("_in")).alias("own"))
+
+
 def group_counts(dimension: DataFrame, facts: DataFrame, key: str, out: str = "n", keep_zero: bool = False) -> DataFrame:
     """Facts per dimension row, counted before the join so that hot keys travel as one row."""
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias(out))

@@ -46,8 +46,14 @@ def test_first_per_key_cuts_rows_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_token_sets_shuffle_documents_and_not_their_tokens(spark):
+    plan = queries()["token_sets"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(token" not in plan
+
+
 VARIED = ["request_intents", "url_site_match", "plausible_rows", "tier_matrix", "cosine_gate", "weighted_fit", "blocklist_filter",
-          "people_from_pages", "page_routes", "fair_batch", "stream_dedup"]
+          "people_from_pages", "page_routes", "fair_batch", "stream_dedup", "trust_refresh", "source_observations", "refresh_events",
+          "entity_mentions", "profile_titles", "profile_routes", "ordered_scan", "page_seek"]
 
 
 @pytest.mark.parametrize("name", VARIED)
