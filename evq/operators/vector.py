@@ -19,7 +19,7 @@ TITLE_BONUS = 0.15
 
 @dataclass(frozen=True)
 class TopK:
-    """Shape of a top-k search: column names, k, and the rows of one block of queries, slice of records and tile."""
+    """Shape of a top-k search: column names, k, queries of one pass over the corpus (and their bytes), queries of a block, records of a tile."""
 
     k: int = 10
     query_id: str = "query_id"
@@ -30,8 +30,9 @@ class TopK:
     title: str | None = None  # record column searched for the phrase
     bonus: float = TITLE_BONUS
     digits: int = 6
+    pass_rows: int = 16_384
+    pass_bytes: int = 64 << 20
     block_rows: int = 1024
-    slice_rows: int = 16_384
     tile_rows: int = 2048
 
 
@@ -42,14 +43,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def usable(vector: Column) -> Column:
+    """Has a vector a direction: no null or non-finite component, and not all of them zero?"""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x.cast("double")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.asarray(vectors.tolist(), dtype=np.float64)
+    matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)  # squares of very small or large components stay in range
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _tile(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame:
+def _tile(query: pd.DataFrame, unit: np.ndarray, record: pd.DataFrame, spec: TopK) -> pd.DataFrame:
     """Top k records of one tile for every query, by (rounded effective distance, record id)."""
-    distance = 1.0 - _unit(query["vec"]) @ _unit(record["vec"]).T
+    distance = 1.0 - unit @ _unit(record["vec"]).T
     effective = distance.copy()
     if spec.phrase:
         titles = record["title"].fillna("").str.lower()
@@ -67,12 +75,6 @@ def _tile(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame
     return _cut(out, spec.k)
 
 
-def _best(query: pd.DataFrame, record: pd.DataFrame, spec: TopK) -> pd.DataFrame:
-    """Top k records of a slice for every query; the product exists for one tile at a time."""
-    found = [_tile(query, record[i:i + spec.tile_rows], spec) for i in range(0, len(record), spec.tile_rows)]
-    return _cut(pd.concat(found), spec.k)
-
-
 def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = found.sort_values(["query_id", "effective_distance", "record_id"], kind="stable")
     return ordered[ordered.groupby("query_id").cumcount() < k]
@@ -81,37 +83,51 @@ def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
 def cosine_topk(queries: DataFrame, corpus: DataFrame, spec: TopK) -> DataFrame:
     """The k nearest records of every query: query_id, record_id, distance, effective_distance, rank.
 
-    Blocks of queries meet slices of the corpus by key; each task holds one block and one slice, works through the slice
-    in tiles and keeps only its best k, so memory is bounded and k rows per query and slice are shuffled.
+    The corpus stays where it is. Queries are dealt into passes of bounded rows and bytes; those of a pass are sent to every
+    task, which works through its records in tiles and keeps only the best k per query, so that k rows per query and task
+    are shuffled. Vectors without a direction (see ``usable``) take no part, nor do pairs of different lengths.
     """
     q = queries.select(
         F.col(spec.query_id).alias("id"), F.col(spec.query_vec).alias("vec"),
-        (F.lower(spec.phrase) if spec.phrase else F.lit(None).cast("string")).alias("phrase"))
+        (F.lower(spec.phrase) if spec.phrase else F.lit(None).cast("string")).alias("phrase")).where(usable(F.col("vec")))
     c = corpus.select(
         F.col(spec.record_id).alias("id"), F.col(spec.record_vec).alias("vec"),
-        (F.col(spec.title) if spec.title else F.lit(None).cast("string")).alias("title"))
+        (F.col(spec.title) if spec.title else F.lit(None).cast("string")).alias("title")).where(usable(F.col("vec")))
     schema = (
         f"query_id {q.schema['id'].dataType.simpleString()}, record_id {c.schema['id'].dataType.simpleString()}, "
         "distance double, effective_distance double")
-    partial = _search_blocks(q, c, spec, schema)
+    rows, size = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(8 * F.size("vec") + F.coalesce(F.octet_length("phrase"), F.lit(0))), F.lit(0))).first()
+    passes = max(1, -(-rows // spec.pass_rows), -(-size // spec.pass_bytes))
+    found = None
+    for i in range(passes):
+        block = q.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).toPandas()  # about pass_rows and pass_bytes
+        part = c.mapInPandas(_search(q.sparkSession.sparkContext.broadcast(block), spec), schema)
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("effective_distance", "record_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).withColumn(
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).withColumn(
         "rank", F.col("rank").cast("bigint"))
 
 
-def _search_blocks(queries: DataFrame, corpus: DataFrame, spec: TopK, schema: str) -> DataFrame:
-    blocks = queries.count() // spec.block_rows + 1
-    slices = corpus.count() // spec.slice_rows + 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
-    c = corpus.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["query_id", "record_id", "distance", "effective_distance"])
-        return _best(left, right, spec)
-
-    return q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice")).applyInPandas(search, schema)
+def _search(sent, spec: TopK):
+    def run(batches):
+        asked = sent.value
+        blocks = []  # (length, queries, unit vectors)
+        for length, same in asked.groupby(asked["vec"].map(len)):
+            for i in range(0, len(same), spec.block_rows):
+                some = same[i:i + spec.block_rows]
+                blocks.append((length, some, _unit(some["vec"])))
+        best = None
+        for batch in batches:
+            for length, same in batch.groupby(batch["vec"].map(len)):
+                for i in range(0, len(same), spec.tile_rows):
+                    tile = same[i:i + spec.tile_rows]
+                    found = [_tile(some, unit, tile, spec) for n, some, unit in blocks if n == length]
+                    if found:
+                        best = _cut(pd.concat([*([best] if best is not None else []), *found]), spec.k)
+        if best is not None:
+            yield best
+
+    return run
 
 
 def gate(hits: DataFrame, requests: DataFrame, records: DataFrame, stored_fields=("email",), refuse: float = REFUSE_DISTANCE) -> DataFrame:

@@ -14,7 +14,7 @@ def test_search_by_blocks_equals_brute_force(spark):
     corpus = spark.createDataFrame([(i, v.tolist(), f"x P{i % 5}") for i, v in enumerate(c)], "record_id long, record_vec array<double>, title string")
     spec = vector.TopK(k=4, phrase="phrase", title="title")
     small = vector.cosine_topk(queries, corpus, spec)
-    large = vector.cosine_topk(queries, corpus, dataclasses.replace(spec, block_rows=5, slice_rows=90, tile_rows=20))
+    large = vector.cosine_topk(queries, corpus, dataclasses.replace(spec, pass_rows=9, block_rows=5, tile_rows=20))
     assert relational.difference_counts(small, large).first() == (0, 0)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     d = 1 - unit(q) @ unit(c).T - 0.15 * (np.arange(23)[:, None] % 3 == np.arange(400)[None, :] % 5)
@@ -27,6 +27,17 @@ def test_search_by_blocks_equals_brute_force(spark):
     assert abs(pair.select(vector.cosine_distance(F.col("query_vec"), F.col("record_vec"))).first()[0] - (1 - unit(q)[0] @ unit(c)[1])) < 1e-9
 
 
+def test_vectors_without_a_direction_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 0.0, 0.0], [1e-200, 0.0], [3.0, 4.0]]
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "record_id long, record_vec array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "query_id long, query_vec array<double>")
+    got = {(r.query_id, r.record_id): (r["rank"], r.distance) for r in vector.cosine_topk(queries, corpus, vector.TopK(k=3)).collect()}
+    assert got == {(6, 6): (1, 0.0), (7, 7): (1, 0.0), (7, 8): (2, 0.4), (8, 8): (1, 0.0), (8, 7): (2, 0.4)}
+    for q, c in ((queries.limit(3), corpus), (queries, corpus.limit(3)), (queries.limit(0), corpus.limit(0))):
+        assert vector.cosine_topk(q, c, vector.TopK(k=3)).collect() == []
+
+
 def test_gates(spark):
     hits = spark.createDataFrame([(1, 10, 0.2, 0.2, 1), (2, 10, 0.9, 0.9, 1), (3, 11, 0.1, 0.1, 1), (4, 10, 0.1, 0.1, 1), (5, 11, .1, .1, 1)],
                                  "query_id long, record_id long, distance double, effective_distance double, rank long")
