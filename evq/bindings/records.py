@@ -307,13 +307,14 @@ def route_mix(t):
 @query("contact_cards", f"""
 WITH {BOTH},
 r AS (SELECT *, 'old' AS phase FROM old_routes WHERE route_reasons = '' UNION ALL SELECT *, 'new' FROM new_routes WHERE route_reasons = ''),
-p AS (SELECT auth.*, r.type, r.value, r.key, row_number() OVER (PARTITION BY auth.c_custkey, auth.phase
-        ORDER BY CASE type WHEN 'email' THEN 0 WHEN 'linkedin' THEN 1 ELSE 2 END, value, key) AS rn
+p AS (SELECT auth.*, r.type, r.value, r.key, r.pr, r.price, row_number() OVER (PARTITION BY auth.c_custkey, auth.phase
+        ORDER BY CASE type WHEN 'email' THEN 0 WHEN 'linkedin' THEN 1 ELSE 2 END, value, pr = '2-HIGH' AND price > 300000, price < 50000,
+          sha256('https://example.com/p/' || key || '|{OBSERVED}|' || value)) AS rn
       FROM auth JOIN r ON r.o_custkey = auth.c_custkey AND r.phase = auth.phase)
 SELECT 'REL_X' AS "Release ID", record_id AS "Record ID", firm_name AS "Family Office Name",
   CASE seg WHEN 'BUILDING' THEN 'single_family_office' WHEN 'MACHINERY' THEN 'multi_family_office' ELSE 'family_investment_office' END AS "Family Office Type",
   n_name AS "Family Office Country", person AS "Contact Full Name", seg || ' lead' AS "Contact Job Title", 'partner_or_principal' AS "Contact Role",
-  type AS "Primary Route Type", value AS "Primary Route Value",
+  type AS "Primary Route Type", value AS "Primary Route Value", 'https://example.com/p/' || key AS "Route Evidence URL",
   CASE WHEN type = 'direct_phone' THEN 'source_names_person_direct_line' ELSE 'source_names_person' END AS "Route Ownership Basis",
   CASE WHEN type = 'linkedin' THEN 'profile_link_currently_published' ELSE 'published_on_current_official_source' END AS "Route Current-Use Basis",
   CASE WHEN type = 'email' THEN 'yes' ELSE 'no' END AS "Qualifying Professional Email",
@@ -323,7 +324,53 @@ SELECT 'REL_X' AS "Release ID", record_id AS "Record ID", firm_name AS "Family O
 FROM p WHERE rn = 1
 """)
 def contact_cards(t):
-    return corpus(t).select(*flat_release_columns(F.lit("REL_X"))).drop("Route Evidence URL")
+    return corpus(t).select(*flat_release_columns(F.lit("REL_X")))
+
+
+EACH_FILTER = {
+    "firm_name": "nation_1", "country": "NATION_2", "firm_type": "single_family_office", "role_class": "partner_or_principal", "route_type": "linkedin",
+    "has_email": False, "intelligence_kind": "sector", "intelligence_term": "mach", "source_class": "search_discovery", "trust_state": "supported_current"}
+
+
+@query("filter_counts", f"""
+WITH {BOTH}, linked AS (
+    SELECT DISTINCT o_custkey, 'old' AS phase FROM old_routes WHERE route_reasons = '' AND type = 'linkedin'
+    UNION ALL SELECT DISTINCT o_custkey, 'new' FROM new_routes WHERE route_reasons = '' AND type = 'linkedin')
+SELECT count(*) FILTER (WHERE contains(lower(firm_name), 'nation_1')) AS firm_name, count(*) FILTER (WHERE contains(lower(n_name), 'nation_2')) AS country,
+       count(*) FILTER (WHERE seg = 'BUILDING') AS firm_type, count(*) FILTER (WHERE nk < 20) AS role_class, count(linked.o_custkey) AS route_type,
+       count(*) FILTER (WHERE mails = 0) AS has_email, count(*) FILTER (WHERE nk <> 7) AS intelligence_kind,
+       count(*) FILTER (WHERE contains(lower(seg), 'mach')) AS intelligence_term, count(*) AS source_class,
+       count(*) FILTER (WHERE trust = 'supported_current') AS trust_state
+FROM auth LEFT JOIN linked ON linked.o_custkey = auth.c_custkey AND linked.phase = auth.phase
+""")
+def filter_counts(t):
+    """How many records of the authorised corpus each of the ten filters lets through."""
+    return corpus(t).agg(*[F.count_if(retrieval.record_filter(n, v)).alias(n) for n, v in EACH_FILTER.items()])
+
+
+@query("fit_comparison", f"""
+WITH c AS (SELECT n_name || '-' || c_custkey % 20 AS firm, 'FOC_' || lpad(c_custkey::VARCHAR, 9, '0') AS record_id, c_acctbal > 0 AS mail, c_mktsegment AS s, c_acctbal AS b
+           FROM customer JOIN nation ON n_nationkey = c_nationkey),
+f AS (SELECT firm, coalesce(bool_or(s = 'BUILDING'), false) AS healthcare_services, coalesce(bool_or(s = 'MACHINERY' AND b > 0), false) AS lower_middle_market,
+             coalesce(bool_or(s = 'AUTOMOBILE'), false) AS private_markets, coalesce(bool_or(s = 'HOUSEHOLD' AND b > 1000), false) AS limited_partner_signal,
+             min(record_id) FILTER (WHERE mail) AS with_mail, min(record_id) AS any_record FROM c GROUP BY firm),
+g AS (SELECT *, (35 + 25 * lower_middle_market::INT + 20 * private_markets::INT + 20 * limited_partner_signal::INT)::BIGINT AS fit_score FROM f WHERE healthcare_services)
+SELECT firm, healthcare_services, lower_middle_market, private_markets, limited_partner_signal, fit_score,
+       CASE WHEN lower_middle_market AND private_markets AND limited_partner_signal THEN 'high' WHEN fit_score >= 55 THEN 'medium' ELSE 'low' END AS confidence,
+       coalesce(with_mail, any_record) AS recommended_contact,
+       concat_ws(' ', CASE WHEN NOT limited_partner_signal THEN '{retrieval.FIT_LIMITS["limited_partner_signal"]}' END,
+                 CASE WHEN NOT lower_middle_market THEN '{retrieval.FIT_LIMITS["lower_middle_market"]}' END) AS limitations FROM g
+""")
+def fit_comparison(t):
+    """Fit of small firms whose records publish one signal each, some of them only with enough balance."""
+    balance, segment = F.col("c_acctbal"), F.col("c_mktsegment")
+    value = (F.when(segment == "BUILDING", "Healthcare Services fund").when((segment == "MACHINERY") & (balance > 0), "Lower-Middle-Market buyers")
+             .when(segment == "AUTOMOBILE", "Private Equity and buyouts").when((segment == "HOUSEHOLD") & (balance > 1000), "external funds").otherwise("Energy"))
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.struct(F.concat_ws("-", "n_name", F.col("c_custkey") % 20).alias("name")).alias("firm"),
+        F.concat(F.lit("FOC_"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("record_id"),
+        (balance > 0).cast("long").alias("qualifying_email_count"), F.array(F.struct(value.alias("value"))).alias("enrichments"))
+    return retrieval.compare_fit(rows).withColumn("limitations", F.array_join("limitations", " "))
 
 
 @query("contact_rows", """

@@ -448,13 +448,13 @@ def entity_extract(t):
 
 MAIL_DOMAINS = r"""
 m AS (SELECT DISTINCT lower(split_part(email, '@', 2)) AS domain, regexp_matches(split_part(email, '@', 2), '[1-5]\.') AS has_mx
-      FROM (SELECT unnest(regexp_extract_all(text, '""" + EMAIL_SQL + r"""')) AS email FROM documents WHERE lang IN ('en', 'de')))
+      FROM (SELECT unnest(regexp_extract_all(text, '""" + EMAIL_SQL + r"""')) AS email FROM documents))
 """
 
 
 def mail_domains(t):
-    """Known mail domains, derived from the addresses in English and German documents."""
-    domains = t("documents").where(F.col("lang").isin("en", "de")).select(F.explode(tx.emails("text")).alias("email"))
+    """Known mail domains, derived from the addresses in all documents."""
+    domains = t("documents").select(F.explode(tx.emails("text")).alias("email"))
     return domains.select(tx.email_domain("email").alias("domain")).distinct().withColumn(
         "has_mx", F.col("domain").rlike(r"[1-5]\."))
 
