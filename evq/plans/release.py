@@ -122,11 +122,27 @@ def build(rows: DataFrame, path: str, spec: ReleaseSpec, created_at: str, final_
         "csv_sha256", "jsonl_sha256")
     files.write_manifest(manifest, f"{path}/manifest")
     written = read_manifest(spark, path, manifest.schema)
+    built = Release(path, release_id, written)
     if final_gate:
-        failed = written.first()["readiness_failures"]
-        if failed:
-            raise ValueError("final release gate failed: " + "; ".join(failed))
-    return Release(path, release_id, written)
+        check_gate(built.manifest.first()["readiness_failures"])
+    return built
+
+
+GATE_FAILED = "final release gate failed"
+
+
+def check_gate(failures: Sequence[str]) -> None:
+    """Refuse a release that misses a minimum."""
+    if failures:
+        raise ValueError(f"{GATE_FAILED}: " + "; ".join(failures))
+
+
+def gate_outcome(minimums: Mapping[str, int | Column]) -> Column:
+    """What the final gate says of a manifest row held to these minimums: '' if it lets the release pass."""
+    missed = F.lit(False)
+    for name, least in minimums.items():
+        missed = missed | (F.col(name) < least)
+    return F.when(missed, GATE_FAILED).otherwise("")
 
 
 def _content_columns(rows: DataFrame) -> list[str]:
@@ -232,9 +248,8 @@ def export_release(records: DataFrame, path: str, created_at: str, seq: str = "s
     spec = release_spec(minimums)
     release = build(publishable, path, spec, created_at)
     check_release(records.sparkSession, release, spec)
-    failed = release.manifest.first()["readiness_failures"]
-    if final_gate and failed:
-        raise ValueError("final release gate failed: " + "; ".join(failed))
+    if final_gate:
+        check_gate(release.manifest.first()["readiness_failures"])
     return release
 
 

@@ -128,6 +128,12 @@ def test_blocked_releases(frame, tmp_path):
         release.export_release(frame(golden()), str(tmp_path / "c"), NOW, final_gate=True)
 
 
+def test_gate_outcome_depends_on_the_minimums_alone(spark):
+    rows = spark.createDataFrame([(3822, 2222)], "record_count long, qualifying_email_count long")
+    asked = [{"record_count": 500, "qualifying_email_count": 200}, {"record_count": F.col("record_count") + 1}, {}]
+    assert list(rows.select(*[release.gate_outcome(m).alias(str(i)) for i, m in enumerate(asked)]).first()) == ["", "final release gate failed", ""]
+
+
 def test_merge_keeps_newer_base_and_adds_what_it_lacks(frame):
     old = golden(contact_routes=[route(), route(value="j@example.com"), route(value="info@example.com")],
                  enrichments=[enrichment("sector", "Energy")])
