@@ -12,9 +12,9 @@ from evq.streaming import jobs
 NOW = {"availableNow": True}
 
 
-def event_stream(t, folder=None, glob="events.parquet", per_batch=None, settings=None):
+def event_stream(t, folder=None, glob="events.parquet", settings=None):
     schema = t("events").schema
-    stream = jobs.read_stream(t.spark, folder or t.folder, schema, glob, per_batch, settings)
+    stream = jobs.read_stream(t.spark, folder or t.folder, schema, glob, settings=settings)
     return stream.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -26,12 +26,14 @@ def finish(started):
     started.awaitTermination()
 
 
-def arrivals(t, part, n):
-    """(folder, files per batch): the events as they arrive, in ``n`` parts one after the other, for ``n`` batches or more."""
+def arrivals(t, parts):
+    """The folder that the events reach in parts, and the parts as steps that bring one each.
+
+    A job that runs to the end behind each step sees a part as one batch, however many files it has: files of one folder
+    are read in the order of their times, in which those of two parts can mix.
+    """
     folder = scratch_path(t.spark, "arrivals")
-    for i in range(n):
-        t("events").where(part == i).write.mode("append").parquet(folder)
-    return folder, max(1, len(t.spark.read.parquet(folder).inputFiles()) // n)
+    return folder, [lambda part=part: t("events").where(part).write.mode("append").parquet(folder) for part in parts]
 
 
 #: Three arrivals by time, in which rows come up to four hours late.
@@ -49,10 +51,15 @@ SELECT user_id, event_type, event_id, value FROM k
 """)
 def stream_dedup(t):
     job = new_job(t, "dedup")
-    folder, per_batch = arrivals(t, F.expr(SPREAD), 3)
-    stream = event_stream(t, folder, "*.parquet", per_batch, jobs.KEYED_STATE)
-    jobs.run_to_end(lambda: jobs.dedup(
-        jobs.with_end_mark(stream, job), ["user_id", "event_type"], "at", "5 days", ["event_id"], "6 hours", job), stream.schema, "at", job)
+    folder, steps = arrivals(t, [F.expr(SPREAD) == i for i in range(3)])
+    for step in steps[:-1]:
+        step()
+        stream = event_stream(t, folder, "*.parquet", jobs.KEYED_STATE)
+        start = lambda: jobs.dedup(
+            jobs.with_end_mark(stream, job), ["user_id", "event_type"], "at", "5 days", ["event_id"], "6 hours", job)
+        finish(start())
+    steps[-1]()
+    jobs.run_to_end(start, stream.schema, "at", job)
     return t.spark.read.schema(stream.schema).parquet(job.table).select("user_id", "event_type", "event_id", "value")
 
 
@@ -91,9 +98,13 @@ SELECT user_id, event_id, previous, event_type AS current FROM l WHERE previous
 """)
 def stream_change_state(t):
     job = new_job(t, "changes")
-    folder, per_batch = arrivals(t, F.least(F.floor(F.dayofmonth("ts") / 11), F.lit(2)), 3)
-    stream = event_stream(t, folder, "*.parquet", per_batch, jobs.KEYED_STATE).select("user_id", "event_id", "event_type")
-    finish(jobs.changes(stream, "user_id", "event_id", "event_type", job))
+    low, high = t("events").agg(F.min("event_id"), F.max("event_id")).first()
+    place = F.lit(0) if low is None else F.least(F.floor((F.col("event_id") - low) * 3 / (high - low + 1)), F.lit(2))
+    folder, steps = arrivals(t, [place == i for i in range(3)])  # in the order that the changes are read in
+    for step in steps:
+        step()
+        stream = event_stream(t, folder, "*.parquet", jobs.KEYED_STATE).select("user_id", "event_id", "event_type")
+        finish(jobs.changes(stream, "user_id", "event_id", "event_type", job))
     return t.spark.read.parquet(job.table)
 
 

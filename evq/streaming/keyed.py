@@ -1,113 +1,106 @@
-"""Processors for the engine's keyed state: what each key keeps between batches, and when it goes.
+"""Functions on the engine's keyed state: what each key keeps between batches, and when it goes.
 
-The state lies in the engine's store, one entry per key, and a batch reads and writes the keys it holds. Times are
-microseconds since the epoch.
+An entry of the engine's store holds the keys of one bucket (a hash of the key), so that rows and state of many keys reach a
+function at once; a batch reads and writes the buckets of its own keys. Within a bucket every key is followed on its own.
+Times are microseconds since the epoch.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
+#: The state of a bucket: what is kept of each key.
+STATE = "kept binary"
 
-class LastValue(StatefulProcessor):
+
+def _rows(frames: Iterator[pd.DataFrame], columns: Sequence[str]) -> list[tuple]:
+    return [row for f in frames for row in zip(*(f[c].tolist() for c in columns), strict=True)]
+
+
+def _kept(state: GroupState) -> dict:
+    return pickle.loads(state.get[0]) if state.exists else {}
+
+
+def _keep(state: GroupState, kept: dict) -> None:
+    if kept:
+        state.update((pickle.dumps(kept),))
+    elif state.exists:
+        state.remove()
+
+
+class LastValue:
     """Changes of a value per key: each row against the one before it, in this batch or an earlier one.
 
-    Rows come as (order, value). A row that is not behind the kept one in order is late and compared with nothing.
+    Rows come as (key, order, value), the order never null. A row that is not behind the kept one in order is late and
+    compared with nothing. With ``ttl_ms`` a key is forgotten so long after its last row.
     """
 
-    def __init__(self, key: str, order: str, value: str, state: str, ttl_ms: int | None):
-        self.names, self.state, self.ttl_ms = (key, order, value), state, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.state, self.ttl_ms)
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        _, order, value = self.names
-        batch = pd.concat([r[[order, value]] for r in rows]).dropna(subset=[order]).sort_values(order, kind="stable")
-        known = tuple(self.last.get()) if self.last.exists() else None
+    def __call__(self, bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = _kept(state)
+        now_ms = state.getCurrentProcessingTimeMs() if self.ttl_ms else 0
+        if self.ttl_ms:
+            kept = {k: v for k, v in kept.items() if v[2] + self.ttl_ms > now_ms}
         found = []
-        for at, now in zip(batch[order].tolist(), batch[value].tolist(), strict=True):
-            now = None if pd.isna(now) else now
+        rows = [] if state.hasTimedOut else _rows(frames, ("key", "at", "value"))
+        for key, at, value in sorted(rows, key=lambda r: r[1]):
+            now = None if pd.isna(value) else value
+            known = kept.get(key)
             if known is not None and at <= known[0]:
                 continue
             if known is not None and known[1] is not None and known[1] != now:
-                found.append((key[0], at, known[1], now))
-            known = (at, now)
-        if known is not None:
-            self.last.update(known)
+                found.append((key, at, known[1], now))
+            kept[key] = (at, now, now_ms)
+        _keep(state, kept)
+        if kept and self.ttl_ms:
+            state.setTimeoutDuration(max(1, min(v[2] for v in kept.values()) + self.ttl_ms - now_ms))
         if found:
             yield pd.DataFrame(found, columns=["key", "at", "previous", "current"])
 
-    def close(self) -> None:
-        pass
-
 
 def _due(at: int) -> int:
     """The first millisecond that has passed a time in microseconds."""
     return -(-at // 1000) + 1
 
 
-class FirstWithin(StatefulProcessor):
+class FirstWithin:
     """Rows that come ``span`` or more after the last kept row of their key, in the order of event time.
 
-    The columns of ``order`` are never null. Rows wait until the watermark has passed them, so the borders of batches and the order of arrival do not matter. The
+    The columns of ``order`` are never null. Rows wait until the watermark has passed them, so the borders of batches and the order of arrival do not matter. A
     key is forgotten when nothing waits and the span after its last kept row is over.
     """
 
-    def __init__(self, span: int, order: Sequence[str], state: str):
-        self.span, self.order, self.state = span, list(order), state
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.state)
-        self.last = handle.getValueState("last", "at long")
-        self.alarm = handle.getValueState("alarm", "at long")
-
-    def _wake(self, at: int | None, now: int | None) -> None:
-        """Move the timer of the key to ``at``."""
-        if now is not None:
-            self.handle.deleteTimer(now)
-        if at is None:
-            self.alarm.clear()
-        else:
-            self.handle.registerTimer(_due(at))
-            self.alarm.update((_due(at),))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["at_us", *self.order, "whole"]
-        batch = pd.concat([r[columns] for r in rows])
-        self.waiting.appendList(list(batch.itertuples(index=False, name=None)))
-        first, now = int(batch["at_us"].min()), self.alarm.get()[0] if self.alarm.exists() else None
-        if now is None or _due(first) < now:
-            self._wake(first, now)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        last = self.last.get()[0] if self.last.exists() else None
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] <= passed else later).append(tuple(row))
-        kept = []
-        for row in sorted(ready, key=lambda r: tuple((x is not None, x) for x in r[:-1])):
-            if last is None or row[0] >= last + self.span:
-                kept.append(row[-1])
-                last = row[0]
-        self.alarm.clear()
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        if later or (last is not None and last + self.span > passed):
-            self.last.update((last,)) if last is not None else None
-            self._wake(min(r[0] for r in later) if later else last + self.span, None)
-        else:
-            self.last.clear()
+    def __init__(self, span: int, order: Sequence[str]):
+        self.span, self.columns = span, ["key", "at_us", *order, "whole"]
+
+    def __call__(self, bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = _kept(state)
+        if not state.hasTimedOut:
+            for key, *row in _rows(frames, self.columns):
+                kept.setdefault(key, (None, []))[1].append(tuple(row))
+        passed = state.getCurrentWatermarkMs() * 1000
+        out, alarms = [], []
+        for key, (last, waiting) in list(kept.items()):
+            later = []
+            for row in sorted(waiting):
+                if row[0] > passed:
+                    later.append(row)
+                elif last is None or row[0] >= last + self.span:
+                    out.append(row[-1])
+                    last = row[0]
+            if later or (last is not None and last + self.span > passed):
+                kept[key] = (last, later)
+                alarms.append(later[0][0] if later else last + self.span)
+            else:
+                del kept[key]
+        _keep(state, kept)
         if kept:
-            yield pd.DataFrame({"whole": kept})
-
-    def close(self) -> None:
-        pass
+            state.setTimeoutTimestamp(_due(min(alarms)))
+        if out:
+            yield pd.DataFrame({"whole": out})

@@ -2,7 +2,9 @@ import glob
 import json
 import os
 
+import pandas as pd
 import pytest
+from __spark_entry__ import queries
 from conftest import OBSERVED, enrichment, golden, route
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from evq.operators import state
 from evq.plans import cycles, migration, release
 from evq.sources import files
-from evq.streaming import jobs
+from evq.streaming import jobs, keyed
 
 NOW = "2024-05-02T00:00:00Z"
 
@@ -178,6 +180,68 @@ def test_migration_quarantines(spark):
     assert moved.person.role_evidence.support == "unresolved"
 
 
+def test_event_streams_do_not_depend_on_the_files_of_the_events(spark, tmp_path):
+    events = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 14 as int), 0)").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.when(F.hash("id") % 3 == 0, "view").otherwise("click").alias("event_type"), F.lit(1.5).alias("value"))
+    for day, parts in ((11, 9), (32, 2)):  # the first arrival has many files, the others few
+        rows = events.where(F.dayofmonth("ts").between(0 if day == 11 else 11, day - 1))
+        for part in range(parts):
+            rows.where(F.pmod(F.hash("event_id"), F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # a task for each file
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    try:
+        got = {name: sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) for name in ("stream_change_state", "stream_dedup")}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    changed, kept, before, last = [], [], {}, {}
+    for r in events.orderBy("event_id").collect():
+        if before.get(r.user_id, r.event_type) != r.event_type:
+            changed.append((r.user_id, r.event_id, before[r.user_id], r.event_type))
+        before[r.user_id] = r.event_type
+        key = (r.user_id, r.event_type)
+        if key not in last or (r.ts - last[key]).total_seconds() >= 5 * 86400:
+            kept.append((*key, r.event_id, r.value))
+            last[key] = r.ts
+    assert got == {"stream_change_state": sorted(changed), "stream_dedup": sorted(kept)}
+
+
+def test_keyed_functions_follow_every_key_of_a_bucket_on_its_own():
+    class State:
+        exists = hasTimedOut = False
+        getCurrentWatermarkMs = lambda self: self.mark
+        getCurrentProcessingTimeMs = lambda self: self.mark
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.alarm = at
+
+        setTimeoutDuration = setTimeoutTimestamp  # noqa: N815
+
+    state, first = State(), keyed.FirstWithin(10_000, ["n"])
+    rows = pd.DataFrame([("a", 9_000, 1, "a9"), ("b", 3_000, 2, "b3"), ("a", 2_000, 3, "a2"), ("a", 12_000, 4, "a12")], columns=["key", "at_us", "n", "whole"])
+    state.mark = 0
+    assert list(first((0,), iter([rows]), state)) == [] and state.alarm == 3
+    state.mark, state.hasTimedOut = 4, True
+    assert sorted(pd.concat(first((0,), iter([]), state)).whole) == ["a2", "b3"] and state.alarm == 10
+    state.mark = 20
+    assert list(pd.concat(first((0,), iter([]), state)).whole) == ["a12"] and state.exists and state.alarm == 23
+    state.mark = 30
+    assert list(first((0,), iter([]), state)) == [] and not state.exists
+    state, follow = State(), keyed.LastValue(100)
+    state.mark = 1_000
+    batch = pd.DataFrame([("a", 2, "y"), ("b", 1, "x"), ("a", 1, "x")], columns=["key", "at", "value"])
+    assert pd.concat(follow((0,), iter([batch]), state)).values.tolist() == [["a", 2, "x", "y"]] and state.alarm == 100
+    state.mark, late = 1_200, pd.DataFrame([("b", 5, "z")], columns=["key", "at", "value"])
+    assert list(follow((0,), iter([late]), state)) == [], "a key is forgotten after its time"
+
+
 def test_streams_over_many_batches_equal_the_batch_answer(spark, tmp_path):
     events = spark.range(600).select(
         (F.col("id") % 7).alias("url"), F.col("id").alias("seq"), (F.floor(F.col("id") / 50) % 3).cast("string").alias("hash"),
