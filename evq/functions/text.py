@@ -30,6 +30,11 @@ def pin(df, **columns: Column):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def bound(df):
+    """The same rows, whose columns the optimizer does not work out again where later expressions mention them."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def any_of(words: Sequence[str]) -> str:
     """A pattern that finds any of the (literal) words."""
     return "|".join(_quoted(w) for w in words)

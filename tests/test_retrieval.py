@@ -1,5 +1,6 @@
 import pytest
 from conftest import enrichment, golden, route
+from pyspark.sql import functions as F
 
 from evq.operators import retrieval
 from evq.operators.retrieval import RetrievalQuery
@@ -82,3 +83,17 @@ def test_best_contact_has_email_first(frame):
     people = [golden(person="Jane Smith"), golden(person="Mary Jones", contact_routes=[link])]
     best = retrieval.compare_fit(retrieval.authorized(frame(*people))).first()
     assert best.recommended_contact == golden(person="Jane Smith")["record_id"]
+
+
+def test_corpus_is_built_and_judged_in_one_pass(spark, monkeypatch):
+    from evq.bindings import records, registry
+    from evq.functions import text as tx
+
+    written = []
+    monkeypatch.setattr(records, "materialize", lambda df, name: written.append((name, df)) or df.limit(0))
+    records.corpus(registry.Tables(spark, "/root/testdata/sf0.001"))
+    assert [name for name, _ in written] == ["judged"]
+    plan = written[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1 and plan.count("RepartitionByExpression [o_custkey") == 2
+    rows = spark.range(3).select("id", F.struct("id").alias("s"))
+    assert tx.bound(rows).collect() == rows.collect() and tx.bound(rows).schema.names == rows.schema.names
