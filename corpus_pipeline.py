@@ -19,6 +19,8 @@ ORACLE_SQL = None
 
 #: Keys of dropped documents (two long values each) up to which they are broadcast, so that texts need no shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Words of which a tokenizing worker keeps the ids: few, because the executors' heaps are as large as the stages before left them.
+KEPT_WORDS = 200_000
 
 
 def without(docs: DataFrame, dropped: DataFrame, mark) -> DataFrame:
@@ -54,7 +56,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of 2048 ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, kept=KEPT_WORDS)
 
 
 STAGES = [

@@ -25,18 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evq.llm.tokens import texts_of, tokenizer
+from evq.llm.tokens import KEPT, texts_of, tokenizer
 from evq.session import materialize
 
 PIECES = "part int, place long, doc_id {key}, piece int, start long, length long, ids_crc32 long"
+#: Bytes of text that a worker cuts into words at once; as Python strings these take over ten times as much.
+SLICE = 1 << 20
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, key: str = "doc_id", text: str = "text", end_id: int = 0,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """The pieces of every document: its ids and one end id, cut only where it is longer than ``capacity``.
 
     ``part`` is the task and ``place`` the number of equally long pieces before it in that task: together with the
-    length they number the pieces, so the table must be written before it is used twice.
+    length they number the pieces, so the table must be written before it is used twice. A worker remembers the ids of
+    ``kept`` words at most, which decides its memory and not its results.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
@@ -46,9 +49,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, key: str = "doc_
     def run(batches):
         part, met = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for i, j, texts in texts_of(batch):
+            for i, j, texts in texts_of(batch, limit=SLICE):
                 rows, owner = [], []
-                for k, ids in enumerate(tokenizer(tokenizer_path).encode(texts)):
+                for k, ids in enumerate(tokenizer(tokenizer_path, kept).encode(texts)):
                     ids += end
                     for number, a in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[a:a + 4 * capacity]
@@ -207,9 +210,9 @@ def pack(made: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, key: str = "doc_id", text: str = "text",
-                   end_id: int = 0, with_ids: bool = False) -> DataFrame:
+                   end_id: int = 0, with_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    made = materialize(pieces(docs, tokenizer_path, capacity, key, text, end_id, with_ids), "pieces")
+    made = materialize(pieces(docs, tokenizer_path, capacity, key, text, end_id, with_ids, kept), "pieces")
     return pack(made, capacity)
 
 

@@ -3,7 +3,8 @@
 Both tokenizer files of this kind split a text by a pattern before they merge, and no split crosses a single space that
 stands between two other characters. Such a space is therefore a safe cut: the ids of a text are the ids of its cuts in
 a row, and a worker keeps the ids of cuts it has met. Between a Latin letter and a comma or stop that ends a cut is a split
-too, so "word", "word," and "word." are encoded once. The memory is bounded; what falls out is encoded again.
+too, so "word", "word," and "word." are encoded once. The memory is bounded; what falls out is encoded again. A piece takes
+a few hundred bytes, so the bound is an argument, for workers that share their executor with full heaps.
 """
 
 from __future__ import annotations
@@ -27,36 +28,43 @@ KEPT, LONGEST = 1_200_000, 64
 
 
 class PieceMemory:
-    """Ids (little-endian unsigned 32-bit, as bytes) of pieces; ``encode`` gives those of a list of new ones."""
+    """Ids (little-endian unsigned 32-bit, as bytes) of pieces; ``encode`` gives those of a list of new ones.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    Once there are more than ``kept``, only the pieces of the latest texts stay, among them nearly all frequent ones.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
+        self.encode, self.kept, self.known = encode, kept, {}
 
     def of(self, texts: list[list[str]]) -> list[bytes]:
         """The joined ids of every text, given as its list of pieces."""
-        if len(self.known) > KEPT:
-            self.known = {}
         known = self.known
-        new = list(set().union(*texts).difference(known)) if texts else []
+        used = set().union(*texts)
+        new = list(used.difference(known))
         long = {}
         for piece, ids in zip(new, self.encode(new), strict=True):
             (known if len(piece) <= LONGEST else long)[piece] = ids
         if not long:
-            return [b"".join(map(known.__getitem__, t)) for t in texts]
-        return [b"".join([known[p] if p in known else long[p] for p in t]) for t in texts]
+            out = [b"".join(map(known.__getitem__, t)) for t in texts]
+        else:
+            out = [b"".join([known[p] if p in known else long[p] for p in t]) for t in texts]
+        if len(known) > self.kept:
+            latest = {p: known[p] for p in used if p in known}
+            self.known = latest if len(latest) <= self.kept else {}
+        return out
 
 
 class Tokenizer:
     """One tokenizer file; special tokens in a text are ordinary text, none are added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Backend
 
         self.backend = Backend.from_file(path)
         self.backend.encode_special_tokens = True
-        self.heads = PieceMemory(self._ids)
-        self.rest = PieceMemory(self._rest)
+        self.heads = PieceMemory(self._ids, kept)
+        self.rest = PieceMemory(self._rest, kept)
         self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
         # Ids that end a word, or else ids that begin one after a space.
         vocabulary = self.backend.get_vocab()
@@ -103,9 +111,9 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    """One per worker process and file."""
-    return Tokenizer(path)
+def tokenizer(path: str, kept: int = KEPT) -> Tokenizer:
+    """One per worker process, file and bound."""
+    return Tokenizer(path, kept)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[int, int, list[str]]]:

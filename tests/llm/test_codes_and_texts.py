@@ -18,7 +18,7 @@ import corpus_pipeline
 from __spark_entry__ import queries
 from evq.llm import licenses, packing, preferences, quality, secrets, sentencepiece_codec, simple8b
 from evq.llm import queries as llm_queries
-from evq.llm.tokens import tokenizer
+from evq.llm.tokens import PieceMemory, Tokenizer, tokenizer
 
 ODD = ["", " ", "  a", "a  ", "a   b", "▁x ▁", "日本語 漢字", "é́ ñ", "\n\n", "\0 a", "😀😀 x", "a" * 3000, "=" * 999, "<s> </s> <unk> <0x0A>",
        "\tx \n y", "abab" * 50, "ſK", "it's don't WE'LL 'tis x's.", "a b c", "x 　 y", "́ a", "<|endoftext|> a<|startoftext|>",
@@ -55,6 +55,47 @@ def test_pieces_between_spaces_give_the_ids_of_the_text(name):
         assert [*np.frombuffer(ids, "<u4").tolist(), 0] == ids_of(name, text), text
 
 
+def test_the_memory_of_pieces_is_bounded_and_keeps_frequent_ones():
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [x.encode() for x in new]
+
+    memory = PieceMemory(encode, kept=50)
+    for k in range(40):
+        text = ["often", *(f"{k}-{i}" for i in range(20))]
+        assert memory.of([text, text[::-1]]) == ["".join(text).encode(), "".join(text[::-1]).encode()]
+        assert len(memory.known) <= 50
+    assert asked.count("often") == 1
+    many = [f"x{i}" for i in range(80)]
+    assert memory.of([many]) == ["".join(many).encode()]
+    assert len(memory.known) <= 50
+
+
+@pytest.mark.parametrize("name", sorted(backend_of))
+def test_ids_do_not_depend_on_what_is_kept(name):
+    texts, small = odd_texts(2000), Tokenizer(public_tokenizers.path(name), kept=100)
+    got = []
+    for i in range(0, len(texts), 50):
+        got += small.encode(texts[i:i + 50])
+        assert max(len(small.heads.known), len(small.rest.known)) <= 100
+    assert got == tokenizer(public_tokenizers.path(name)).encode(texts)
+
+
+def test_packing_remembers_few_words_where_it_is_asked_to(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(odd_texts(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few, plain = (packing.pack_documents(docs, path, capacity=64, **x).select(columns).sort(columns).collect() for x in ({"kept": 5}, {}))
+    assert few == plain
+    asked = {}
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **b: asked.update(b))
+    corpus_pipeline.best_fit_packing(spark, docs, None)
+    assert asked["kept"] <= 200_000
+
+
 # --- SentencePiece ----------------------------------------------------------
 
 def test_sentencepiece_equals_the_library(spark):
