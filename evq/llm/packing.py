@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evq.llm.tokens import KEPT, texts_of, tokenizer
+from evq.llm.flat import slices, text_bytes
+from evq.llm.tokens import KEPT, tokenizer
 from evq.session import materialize
 
 PIECES = "part int, place long, doc_id {key}, piece int, start long, length long, ids_crc32 long"
-#: Bytes of text that a worker cuts into words at once; as Python strings these take over ten times as much.
-SLICE = 1 << 20
+#: Bytes of text that a worker cuts into words at once.
+SLICE = 4 << 20
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, key: str = "doc_id", text: str = "text", end_id: int = 0,
@@ -49,14 +51,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, key: str = "doc_
     def run(batches):
         part, met = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for i, j, texts in texts_of(batch, limit=SLICE):
+            for i, j in slices(text_bytes(batch.column("text"))[1], SLICE):
                 rows, owner = [], []
-                for k, ids in enumerate(tokenizer(tokenizer_path, kept).encode(texts)):
-                    ids += end
-                    for number, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[a:a + 4 * capacity]
+                ids, bounds = tokenizer(tokenizer_path, kept).encode_column(batch.column("text")[i:j], end)
+                for k, (first, last) in enumerate(pairwise(bounds.tolist())):
+                    for number, a in enumerate(range(first, last, 4 * capacity)):
+                        piece = ids[a:min(a + 4 * capacity, last)]
                         n = len(piece) // 4
-                        rows.append((met[n], number, a // 4, n, zlib.crc32(piece), piece))
+                        rows.append((met[n], number, (a - first) // 4, n, zlib.crc32(piece), piece))
                         owner.append(k)
                         met[n] += 1
                 place, number, start, length, crc, data = zip(*rows, strict=True)

@@ -1,28 +1,35 @@
-"""Token ids of whole texts with a tokenizer file, encoding every distinct piece between spaces once.
-
-Both tokenizer files of this kind split a text by a pattern before they merge, and no split crosses a single space that
-stands between two other characters. Such a space is therefore a safe cut: the ids of a text are the ids of its cuts in
-a row, and a worker keeps the ids of cuts it has met. Between a Latin letter and a comma or stop that ends a cut is a split
-too, so "word", "word," and "word." are encoded once. The memory is bounded; what falls out is encoded again. A piece takes
-a few hundred bytes, so the bound is an argument, for workers that share their executor with full heaps.
+"""Token ids of whole texts with a tokenizer file, encoding every distinct piece between blanks once.
+
+Both tokenizer files of this kind split a text by a pattern before they merge, and no split crosses a single space or
+line feed that stands between two other characters. Such a blank is therefore a safe place to cut before: the ids of a text
+are the ids of its cuts in a row, and a worker keeps the ids of cuts it has met. Between a Latin letter and a sign of ASCII
+other than the apostrophe is a split too, so that " word", " word," and " word.)" share an entry. The memory is bounded; what
+falls out is encoded again. A piece takes a few hundred bytes, so the bound is an argument, for workers that share their
+executor with full heaps. Texts are cut, and the ids of their pieces joined, as Arrow columns: Python sees the distinct
+pieces of a part alone.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from evq.llm.flat import slices, text_bytes
 
-CUT = re.compile(r"(?<=\S) (?=\S)")
-BLANK = re.compile(r"[^\S \n]")
-TAILS = ",."
+#: Latin letters of one or two bytes, but for İ: its lower case ends in a combining dot, which is no letter.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+SIGN = np.isin(np.arange(256), [x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27])
+#: Bytes that are blanks of Python's ``str.isspace``, and the blanks of more than one byte.
+BLANK = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+WIDE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Pieces that a worker keeps, and the longest that it keeps.
 KEPT, LONGEST = 1_200_000, 64
 
@@ -36,23 +43,26 @@ class PieceMemory:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         self.encode, self.kept, self.known = encode, kept, {}
 
-    def of(self, texts: list[list[str]]) -> list[bytes]:
-        """The joined ids of every text, given as its list of pieces."""
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of every piece; no piece may occur twice."""
         known = self.known
-        used = set().union(*texts)
-        new = list(used.difference(known))
-        long = {}
-        for piece, ids in zip(new, self.encode(new), strict=True):
-            (known if len(piece) <= LONGEST else long)[piece] = ids
-        if not long:
-            out = [b"".join(map(known.__getitem__, t)) for t in texts]
-        else:
-            out = [b"".join([known[p] if p in known else long[p] for p in t]) for t in texts]
+        out = list(map(known.get, pieces))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(new, self.encode([pieces[k] for k in new]), strict=True):
+            out[k] = ids
+            if len(pieces[k]) <= LONGEST:
+                known[pieces[k]] = ids
         if len(known) > self.kept:
-            latest = {p: known[p] for p in used if p in known}
+            latest = {p: known[p] for p in pieces if p in known}
             self.known = latest if len(latest) <= self.kept else {}
         return out
 
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        """The joined ids of every text, given as its list of pieces."""
+        used = list(set().union(*texts))
+        ids = dict(zip(used, self.each(used), strict=True))
+        return [b"".join(map(ids.__getitem__, t)) for t in texts]
+
 
 class Tokenizer:
     """One tokenizer file; special tokens in a text are ordinary text, none are added."""
@@ -65,49 +75,98 @@ class Tokenizer:
         self.backend.encode_special_tokens = True
         self.heads = PieceMemory(self._ids, kept)
         self.rest = PieceMemory(self._rest, kept)
-        self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
-        # Ids that end a word, or else ids that begin one after a space.
+        # Ids that end a word, or else ids that begin one after a blank.
         vocabulary = self.backend.get_vocab()
         self.ends = any(t.endswith("</w>") for t in vocabulary)
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.marks[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("Ġ"))]] = True
+        self.marks[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith(("Ġ", "Ċ")))]] = True
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.backend.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _words(self, words: list[str], together: int = 256) -> list[bytes]:
-        """Ids of words of Latin letters after a space: encoded as lines of words and cut at the marks."""
-        lines = [words[i:i + together] for i in range(0, len(words), together)]
+    def _words(self, words: pa.LargeStringArray, together: int = 256) -> list[bytes]:
+        """Ids of words of Latin letters after a blank: encoded as lines of words and cut at the marks."""
+        data, offsets = text_bytes(words)
+        first = np.arange(0, len(words), together)
+        lines = strings(data, np.append(offsets[first], len(data))).to_pylist()
         out: list[bytes] = []
-        for line, found in zip(lines, self.backend.encode_batch_fast([f" {' '.join(x)}" for x in lines], add_special_tokens=False), strict=True):
+        for a, found in zip(first.tolist(), self.backend.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.marks[ids])
-            cuts = [0, *(cuts + 1).tolist()] if self.ends else [*cuts.tolist(), len(ids)]
-            if len(cuts) != len(line) + 1 or cuts[0] or cuts[-1] != len(ids):
-                out += self._ids([f" {x}" for x in line])
+            cuts = [0, *(4 * cuts + 4).tolist()] if self.ends else [*(4 * cuts).tolist(), 4 * len(ids)]
+            line = words[a:a + together]
+            if len(cuts) != len(line) + 1 or cuts[0] or cuts[-1] != 4 * len(ids):
+                out += self._ids(line.to_pylist())
                 continue
-            data = ids.tobytes()
-            out += [data[4 * a:4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            joined = ids.tobytes()
+            out += [joined[i:j] for i, j in pairwise(cuts)]
         return out
 
     def _rest(self, new: list[str]) -> list[bytes]:
-        known = self.rest.known
-        cores = [x[:-1] if x[-1:] in self.tails and x[-2:-1].isalpha() and x[-2] <= "ɏ" else x for x in new]
-        fresh = set(cores).difference(known)
-        words = [x for x in fresh if x.isalpha() and (x.isascii() or max(x) <= "ɏ")]
-        other = list(fresh.difference(words))
-        found = dict(zip(words, self._words(words), strict=True))
-        found.update(zip(other, self._ids([f" {x}" for x in other]), strict=True))
-        for x, ids in found.items():
-            if len(x) < LONGEST:
-                known[x] = ids
-        whole = [known[c] if c in known else found[c] for c in cores]
-        return [ids if c == x else ids + self.tails[x[-1]] for c, x, ids in zip(cores, new, whole, strict=True)]
+        """Ids of pieces that begin with a blank."""
+        pieces = pa.array(new, pa.large_string())
+        plain = pc.match_substring_regex(pieces, rf"\A[ \n][{LATIN}]+\z")
+        words = iter(self._words(pieces.filter(plain)))
+        other = iter(self._ids(pieces.filter(pc.invert(plain)).to_pylist()))
+        return [next(words if x else other) for x in plain.to_numpy(zero_copy_only=False).tolist()]
+
+    def _each(self, pieces: pa.LargeStringArray) -> list[bytes]:
+        """Ids of distinct pieces."""
+        after = pc.match_substring_regex(pieces, r"\A[ \n]")
+        rest = iter(self.rest.each(strs(pieces.filter(after))))
+        heads = iter(self.heads.each(strs(pieces.filter(pc.invert(after)))))
+        return [next(rest if x else heads) for x in after.to_numpy(zero_copy_only=False).tolist()]
+
+    def encode_column(self, column: pa.Array, end: bytes = b"") -> tuple[memoryview, np.ndarray]:
+        """(ids of all texts in a row, byte offset of each text and the end); ``end`` follows every text, a null is empty."""
+        data, offsets = text_bytes(column)
+        starts, bounds = cut(data, offsets, pc.match_substring_regex(column, WIDE))
+        pieces = strings(data, np.append(starts, len(data))).dictionary_encode()
+        codes = np.insert(pieces.indices.to_numpy(), bounds[1:], len(pieces.dictionary))
+        ids = pa.array([*self._each(pieces.dictionary), end], pa.large_binary())
+        _, at, joined = ids.take(pa.array(codes)).buffers()
+        return memoryview(joined or b"").cast("B"), np.frombuffer(at, np.int64)[bounds + np.arange(len(bounds))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [CUT.split(t) if "  " in t or " \n" in t or "\n " in t or BLANK.search(t) else t.split(" ") for t in texts]
-        heads = self.heads.of([p[:1] if p[0] else [] for p in pieces])
-        return [a + b for a, b in zip(heads, self.rest.of([p[1:] for p in pieces]), strict=True)]
+        data, bounds = self.encode_column(pa.array(texts, pa.large_string()))
+        return [bytes(data[a:b]) for a, b in pairwise(bounds.tolist())]
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.LargeStringArray:
+    """The strings that ``offsets`` cut out of UTF-8 bytes, without a copy."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+
+
+def strs(values: pa.LargeStringArray) -> list[str]:
+    """As ``to_pylist``, without a scalar for every value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, wide: pa.BooleanArray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of every piece, number of pieces before each text and the end); an empty text has none.
+
+    A piece begins with its text, with a space or line feed inside it that has no blank beside it, or with a sign after a
+    Latin letter. In a text with a blank of several bytes (``wide``) both neighbours of a space must be single bytes.
+    """
+    size = len(data)
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[(at > 0) & (at < size - 1)]
+    left, right = data[at - 1], data[at + 1]
+    safe = ~(BLANK[left] | BLANK[right])
+    rows = pc.fill_null(wide, False).to_numpy(zero_copy_only=False)
+    if rows.any():
+        safe &= ~rows[np.searchsorted(offsets, at, side="right") - 1] | ((left < 0x80) & (right < 0x80))
+    first = np.zeros(size + 1, bool)
+    first[at[safe]] = True
+    first[offsets[1:] - 1] = False
+    at = np.flatnonzero(SIGN[data[1:]]) + 1
+    one, two = data[at - 1], data[np.maximum(at - 2, 0)]
+    letter = LETTER[one] | (one >= 0x80) & (two >= 0xC3) & (two <= 0xC8)  # À to ȿ, but for × ÷ İ
+    letter &= ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7)) | (two == 0xC4) & (one == 0xB0))
+    first[at[letter]] = True
+    first[offsets] = True
+    starts = np.flatnonzero(first[:size])
+    return starts, np.searchsorted(starts, offsets)
 
 
 @lru_cache(maxsize=2)

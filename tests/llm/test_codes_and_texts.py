@@ -10,6 +10,7 @@ from bisect import bisect_left
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from test_models_and_rules import COLUMNS, components, frame, shingle_set
@@ -83,6 +84,28 @@ def test_ids_do_not_depend_on_what_is_kept(name):
     assert got == tokenizer(public_tokenizers.path(name)).encode(texts)
 
 
+@pytest.mark.parametrize("name", sorted(backend_of))
+def test_pieces_between_any_blanks_and_signs_give_the_ids_of_the_text(name):
+    blanks = [" ", "\n", "\r", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", " \n", "\n\n", "  "]
+    parts = ["a", "É", "İ", "×", "÷", "ß", "don't", "'s", "'", ",", ".", "...", "###", "“", "”", "日本", "\u0301", "12", "x_y", "<", "\u0338"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(parts) + rng.choice(blanks + ["", " "] * 6) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["İ.", "x İ, y", "a\n", "\na", " a ", "a\nb\nc"]
+    column = pa.array([None, *texts, ""])[1:]
+    data, bounds = Tokenizer(public_tokenizers.path(name), kept=200).encode_column(column, end=bytes(4))
+    for text, a, b in zip(column.to_pylist(), bounds[:-1], bounds[1:], strict=True):
+        assert np.frombuffer(data[a:b], "<u4").tolist() == ids_of(name, text), text
+
+
+def test_words_that_end_in_signs_or_lines_share_their_entry():
+    asked = []
+    encoder = Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = encoder.rest.encode
+    encoder.rest.encode = lambda new: asked.extend(new) or plain(new)
+    encoder.encode([f"x word{sign} word" for sign in ("", ",", ".", "!", "###", ").", ".\nThen")])
+    assert sorted(asked) == ["\nThen", " word"]
+
+
 def test_packing_remembers_few_words_where_it_is_asked_to(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(odd_texts(300))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
