@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm.tokens import texts_of, tokenizer
+from evq.llm.flat import slices, text_bytes
+from evq.llm.tokens import tokenizer
 
 # Fixed values of the code: ids per word and bits per id, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -175,11 +177,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
                  pa.array([size], pa.int64()), pa.array([data], pa.binary())], schema=FILES)
 
         for batch in batches:
-            for i, j, texts in texts_of(batch):
+            for i, j in slices(text_bytes(batch.column("text"))[1]):
                 keys += batch.column("key")[i:j].to_pylist()
-                found = [np.frombuffer(x + end, "<u4") for x in tokenizer(tokenizer_path).encode(texts)]
-                ids += found
-                size += sum(map(len, found))
+                found, bounds = tokenizer(tokenizer_path).encode_column(batch.column("text")[i:j], end)
+                ids += [np.frombuffer(found[a:b], "<u4") for a, b in pairwise(bounds.tolist())]
+                size += len(found) // 4
                 if size >= file_ids:
                     yield flush()
                     part, first = part + 1, first + size

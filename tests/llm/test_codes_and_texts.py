@@ -119,6 +119,14 @@ def test_packing_remembers_few_words_where_it_is_asked_to(spark, monkeypatch):
     assert asked["kept"] <= 200_000
 
 
+def test_token_files_of_the_word_file_hold_the_ids_of_the_library(spark, tmp_path):
+    name, texts = "word_bpe_49k.json", ["x İ.", "İ, a", "word. word!\nWord", "", "a\u2003b c\u3000d"]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    simple8b.write(docs, str(tmp_path / "files"), public_tokenizers.path(name))
+    got = {r["doc_id"]: r["ids"] for r in simple8b.read(spark, str(tmp_path / "files"), with_ids=True).collect()}
+    assert got == {k: ids_of(name, t) for k, t in enumerate([*texts, None])}
+
+
 # --- SentencePiece ----------------------------------------------------------
 
 def test_sentencepiece_equals_the_library(spark):
